@@ -1,0 +1,5 @@
+"""Empty on purpose: the workload has no stream, watermark or trigger.
+
+Stateless column expressions of ``functions`` and the per-row operators of
+``operators.clean`` can be called inside ``foreachBatch`` unchanged.
+"""
