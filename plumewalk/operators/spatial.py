@@ -62,9 +62,13 @@ def cell_join(
         homes = sites.withColumn("_lv", F.explode(F.array(*[F.lit(v) for v in levels] or [F.lit(0)])))
     homes = homes.withColumn("_cx", _cell(F.col("px"), size)).withColumn("_cy", _cell(F.col("py"), size))
 
+    def boxed(pairs: DataFrame) -> DataFrame:
+        near_x = F.col("px").between(box["minx"] - reach_c, box["maxx"] + reach_c)
+        return pairs.where(near_x & F.col("py").between(box["miny"] - reach_c, box["maxy"] + reach_c))
+
     largest, _ = group_sizes(homes, CELL)
     if largest <= limit:
-        return homes.join(celled, CELL).drop(*CELL)
+        return boxed(homes.join(celled, CELL)).drop(*CELL)
     # At most total/limit cells can be hot, so this table is small by construction.
     hot = (
         homes.groupBy(*CELL)
@@ -78,7 +82,7 @@ def cell_join(
     spread = celled.join(F.broadcast(hot), CELL, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)).cast("long") - 1))
     )
-    return split.drop("_salts").join(spread.drop("_salts"), [*CELL, "_salt"]).drop(*CELL, "_salt")
+    return boxed(split.drop("_salts").join(spread.drop("_salts"), [*CELL, "_salt"])).drop(*CELL, "_salt")
 
 
 def within(sites: DataFrame, features: DataFrame, reach: float, limit: int | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from plumewalk.plans import q_spatial  # noqa: F401
+from plumewalk.plans import q_clean, q_series, q_spatial  # noqa: F401
 from plumewalk.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
