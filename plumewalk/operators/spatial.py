@@ -179,14 +179,15 @@ def tile_pairs(
         point_id, "px", "py", *[a for a in attrs if a not in ("px", "py", point_id)]
     ).withColumns({"_cx": F.floor(F.col("px") / reach).cast("long"), "_cy": F.floor(F.col("py") / reach).cast("long")})
     placed = with_position(celled, ["_cx", "_cy"], [point_id], "_pos", limit)
-    names = ["px", "py", *[a for a in attrs if a not in ("px", "py")]]
+    names = list(dict.fromkeys([point_id, "px", "py", *attrs]))
     tiles = (
         placed.withColumn("_part", F.floor(F.col("_pos") / tile_rows).cast("long"))
         .groupBy("_cx", "_cy", "_part")
-        .agg(F.array_sort(F.collect_list(F.struct(point_id, *[n for n in names if n != point_id]))).alias("rows"))
+        .agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_rows"))
+        .select("_cx", "_cy", "_part", *[F.transform("_rows", lambda r, n=n: r[n]).alias(n) for n in names])
     )
     tiles = durable(tiles)
-    left = tiles.select("_cx", "_cy", F.struct("_cx", "_cy", "_part").alias("ka"), F.col("rows").alias("ra"))
+    left = tiles.select("_cx", "_cy", F.struct("_cx", "_cy", "_part").alias("ka"), *[F.col(n).alias(f"a_{n}") for n in names])
     near = F.array(*[F.lit(v).cast("long") for v in (-1, 0, 1)])
     right = (
         tiles.withColumn("_dx", F.explode(near))
@@ -195,19 +196,17 @@ def tile_pairs(
             (F.col("_cx") + F.col("_dx")).alias("_cx"),
             (F.col("_cy") + F.col("_dy")).alias("_cy"),
             F.struct("_cx", "_cy", "_part").alias("kb"),
-            F.col("rows").alias("rb"),
+            *[F.col(n).alias(f"b_{n}") for n in names],
         )
     )
     pairs = left.join(right, ["_cx", "_cy"]).where(F.col("ka") <= F.col("kb"))
-    pairs = pairs.select("ra", "rb", (F.col("ka") == F.col("kb")).alias("same"))
-
-    def block(rows) -> dict[str, np.ndarray]:
-        frame = pd.DataFrame(list(rows))
-        return {c: frame[c].to_numpy() for c in frame.columns}
+    pairs = pairs.withColumn("same", F.col("ka") == F.col("kb")).drop("_cx", "_cy", "ka", "kb")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ra, rb, same in zip(batch["ra"], batch["rb"], batch["same"]):
-                yield kernel(block(ra), block(rb), bool(same))
+            for row in batch.to_dict("records"):
+                a = {n: np.asarray(row[f"a_{n}"]) for n in names}
+                b = {n: np.asarray(row[f"b_{n}"]) for n in names}
+                yield kernel(a, b, bool(row["same"]))
 
     return pairs.mapInPandas(run, schema)

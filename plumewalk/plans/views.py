@@ -169,8 +169,8 @@ _XY = (
     "45.47162::DOUBLE + 0.01375::DOUBLE * (({k} * 104729) % 9967)::DOUBLE / 9967.0::DOUBLE AS y"
 )
 HAV = (
-    "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * "
-    "cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"
+    "2 * 6371.0 * asin(sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * "
+    "cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))"
 )
 MX = "6378137.0 * radians({0})"
 MY = "6378137.0 * ln(tan(pi() / 4 + radians({0}) / 2))"
@@ -226,7 +226,7 @@ def sql_with(views: str, body: str) -> str:
     ctes = ", ".join(f"{n} AS ({SQL[n][1]})" for n in done)
     body = body.strip()
     if body.upper().startswith("WITH RECURSIVE "):
-        return f"WITH RECURSIVE {ctes}, {body[len('WITH RECURSIVE '):]}"
+        return f"WITH RECURSIVE {ctes}, {body[len('WITH RECURSIVE ') :]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"
