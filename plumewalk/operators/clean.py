@@ -162,16 +162,15 @@ def drop_invalid_geometry(df: DataFrame, column: str = "rings", least_points: in
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Text columns of which more than half of the filled cells parse become double; a list cell gives its first element."""
+    """Text columns of which more than half of the rows parse become double; a list cell gives its first element."""
     flat = df
     for c in columns:
         if isinstance(df.schema[c].dataType, T.ArrayType):
             flat = flat.withColumn(c, F.try_element_at(F.col(c), F.lit(1)))
     counts = flat.agg(
-        *[F.count(F.col(c).try_cast("double")).alias(f"n_{c}") for c in columns],
-        *[F.count(c).alias(f"a_{c}") for c in columns],
+        F.count(F.lit(1)).alias("rows"), *[F.count(F.col(c).try_cast("double")).alias(f"n_{c}") for c in columns]
     ).first()
-    numeric = {c: F.col(c).try_cast("double") for c in columns if counts[f"n_{c}"] * 2 > counts[f"a_{c}"]}
+    numeric = {c: F.col(c).try_cast("double") for c in columns if counts[f"n_{c}"] * 2 > counts["rows"]}
     return flat.withColumns(numeric) if numeric else flat
 
 

@@ -171,10 +171,14 @@ def tile_pairs(
     """Run ``kernel`` on every pair of neighbouring tiles, each unordered pair once.
 
     Points are cut into tiles of at most ``tile_rows`` rows within cells of
-    side ``reach``; a crowded cell simply has more tiles. Only tiles travel,
+    at least side ``reach``; a crowded cell simply has more tiles. Only tiles travel,
     never pairs of rows: the kernel gets two blocks of column arrays (and
     whether they are the same block) and returns partial sums.
     """
+    box = points.agg(F.max("px") - F.min("px"), F.max("py") - F.min("py"), F.count("px")).first()
+    if box[2]:
+        # Sparse points get wider cells, so that a tile is worth its overhead.
+        reach = max(float(reach), math.sqrt(box[0] * box[1] * (tile_rows / 2) / box[2]))
     celled = points.select(
         point_id, "px", "py", *[a for a in attrs if a not in ("px", "py", point_id)]
     ).withColumns({"_cx": F.floor(F.col("px") / reach).cast("long"), "_cy": F.floor(F.col("py") / reach).cast("long")})
@@ -184,7 +188,7 @@ def tile_pairs(
         placed.withColumn("_part", F.floor(F.col("_pos") / tile_rows).cast("long"))
         .groupBy("_cx", "_cy", "_part")
         .agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_rows"))
-        .select("_cx", "_cy", "_part", *[F.transform("_rows", lambda r, n=n: r[n]).alias(n) for n in names])
+        .select("_cx", "_cy", "_part", *[F.col(f"_rows.{n}").alias(n) for n in names])
     )
     tiles = durable(tiles)
     left = tiles.select("_cx", "_cy", F.struct("_cx", "_cy", "_part").alias("ka"), *[F.col(n).alias(f"a_{n}") for n in names])
