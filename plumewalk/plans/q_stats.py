@@ -40,12 +40,12 @@ def n03_residual_summary(spark, sf_dir):
     return _rounded(me.residual_summary(_yp(spark, sf_dir), "y", "f", KEYS), mean=4, std=4, skew=6, kurtosis=6)
 
 
-@query("n04_guarded_mse", sql_with("preds", "WITH e AS (SELECT row_id % 50 AS g, pred, 500.0::DOUBLE AS y, pred IS NOT NULL AND isfinite(pred) AS ok FROM preds), m AS (SELECT g, sum((NOT ok)::INT) AS bad, avg(CASE WHEN ok THEN pow(y - pred, 2) END) AS mse FROM e GROUP BY 1) SELECT g, CASE WHEN bad > 0 OR mse IS NULL OR mse > 1e10 THEN 'Infinity'::DOUBLE ELSE round(mse, 4) END AS mse FROM m"))
+@query("n04_guarded_mse", sql_with("preds", "WITH e AS (SELECT row_id % 50 AS g, pred, 500.0::DOUBLE AS y, pred IS NOT NULL AND isfinite(pred) AS ok FROM preds), m AS (SELECT g, sum((NOT ok)::INT) AS bad, avg(CASE WHEN ok THEN pow(y - pred, 2) END) AS mse FROM e GROUP BY 1) SELECT g, bad > 0 OR mse IS NULL OR mse > 1e10 AS infinite, CASE WHEN bad = 0 AND mse <= 1e10 THEN round(mse, 4) END AS mse FROM m"))
 def n04_guarded_mse(spark, sf_dir):
     p = v.preds(spark, sf_dir).select((F.col("row_id") % 50).alias("g"), "pred", F.lit(500.0).alias("y"))
     m = me.guarded_mse(p, "y", "pred", ["g"])
-    inf = float("inf")
-    return m.withColumn("mse", F.when(F.col("mse") == inf, inf).otherwise(F.round("mse", 4)))
+    infinite = F.col("mse") == float("inf")
+    return m.select("g", infinite.alias("infinite"), F.when(~infinite, F.round("mse", 4)).alias("mse"))
 
 
 @query("n05_overfit_ratio", _YP + ", m AS (SELECT subject_id, avg(CASE WHEN y > 50000 THEN pow(y - f, 2) END) AS h, avg(CASE WHEN y <= 50000 THEN pow(y - f, 2) END) AS d FROM p GROUP BY 1) SELECT subject_id, round(h / d, 6) AS ratio, CASE WHEN h / d >= 1.25 THEN 'high' WHEN h / d >= 1.1 THEN 'moderate' ELSE 'low' END AS band FROM m")
@@ -101,7 +101,7 @@ def n12_heteroscedasticity(spark, sf_dir):
 
 @query(
     "n13_kpss",
-    sql_with("obs", _ACF + f", e AS (SELECT subject_id, ts, event_id, co2 - avg(co2) OVER (PARTITION BY subject_id) AS e FROM obs), s AS (SELECT subject_id, e, sum(e) {_W} AS s FROM e), t AS (SELECT subject_id, sum(s * s) AS eta, sum(e * e) AS e2, count(*)::DOUBLE AS n FROM s GROUP BY 1), "
+    sql_with("obs", _ACF + f", e AS (SELECT subject_id, ts, event_id, co2 - avg(co2) OVER (PARTITION BY subject_id) AS e FROM obs), ps AS (SELECT subject_id, e, sum(e) {_W} AS s FROM e), t AS (SELECT subject_id, sum(s * s) AS eta, sum(e * e) AS e2, count(*)::DOUBLE AS n FROM ps GROUP BY 1), "
              "w AS (SELECT subject_id, sum((1 - lag / 9.0) * acf) AS w FROM ac WHERE lag <= 8 GROUP BY 1) SELECT subject_id, round(eta / (n * n) / (e2 * (1 + 2 * w) / n), 6) AS kpss, eta / (n * n) / (e2 * (1 + 2 * w) / n) <= 0.463 AS stationary FROM t JOIN w USING (subject_id)"),
 )
 def n13_kpss(spark, sf_dir):
