@@ -1,4 +1,4 @@
-"""Geometry as Column expressions: no UDF, everything stays in generated code.
+"""Geometry as Column expressions, without any UDF.
 
 A ring or line is ``array<struct<x double, y double>>``; a polygon is an array
 of closed-or-open rings, the first being the shell and the others holes.
@@ -7,8 +7,9 @@ of closed-or-open rings, the first being the shell and the others holes.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
@@ -169,78 +170,59 @@ def edge_table(geom_type: Column, rings: Column) -> Column:
     return F.transform(F.when(geom_type == "polygon", closed).otherwise(opened), facts)
 
 
-def edges_distance(edges: Column, px: Column, py: Column) -> Column:
-    """Distance to the nearest edge. The two steps keep the clamped parameter from being evaluated twice."""
-    def clamp(e):
-        u = ((px - e.ax) * e.dx + (py - e.ay) * e.dy) * e.il2
-        return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), u)).alias("u"), e.alias("e"))
+def with_edge_measures(rows: DataFrame, radii: Sequence[float]) -> DataFrame:
+    """Per (position, edge) row: ``_d2`` squared distance, ``_cross`` ray crossing and ``_a{i}`` disc area parts.
 
-    def squared(c):
-        return F.pow(px - c.e.ax - c.u * c.e.dx, 2) + F.pow(py - c.e.ay - c.u * c.e.dy, 2)
-
-    return F.sqrt(F.array_min(F.transform(F.transform(edges, clamp), squared)))
-
-
-def edges_contain(edges: Column, px: Column, py: Column) -> Column:
-    """Ray-crossing parity over all rings, so a hole is outside."""
-    crossed = F.filter(edges, lambda e: ((e.ay > py) != (e.by > py)) & (px < e.ax + (py - e.ay) * e.slope))
-    return F.size(crossed) % 2 == 1
-
-
-def geometry_distance(geom_type: Column, edges: Column, px: Column, py: Column) -> Column:
-    """Distance from a position to a point, line or polygon given by ``edge_table``."""
-    return F.when((geom_type == "polygon") & edges_contain(edges, px, py), 0.0).otherwise(
-        edges_distance(edges, px, py)
-    )
-
-
-def disc_overlap_area(edges: Column, px: Column, py: Column, r: float) -> Column:
-    """Area of a polygon, given by ``edge_table``, inside the disc of radius r around (px, py).
-
-    Per edge: the signed area of the triangle (centre, a, b) cut to the disc.
-    Each step of the chain binds its intermediate values once.
+    The rows hold px, py and one entry of ``edge_table``. Every step is a
+    projection of its own, so each intermediate is evaluated once in
+    generated code. The smallest ``_d2`` of a feature gives its distance, an
+    odd number of crossings says the position lies inside, and the ``_a{i}``
+    sum to the area of the polygon within radius i: each is the signed area of
+    the triangle (position, a, b) cut to the disc.
     """
-    r2 = float(r) * float(r)
-
-    def relative(e):
-        return F.struct((e.ax - px).alias("x"), (e.ay - py).alias("y"), e.dx.alias("dx"), e.dy.alias("dy"), e.l2.alias("qa"), e.il2.alias("ia"))
-
-    def quadratic(e):
-        qb, qc = e.x * e.dx + e.y * e.dy, e.x * e.x + e.y * e.y - r2
-        return F.struct(e.alias("e"), qb.alias("qb"), (qb * qb - e.qa * qc).alias("disc"))
-
-    def hits(q):
-        root = F.sqrt(F.greatest(q.disc, F.lit(0.0)))
-        return F.struct(q.e.alias("e"), q.disc.alias("disc"), ((-q.qb - root) * q.e.ia).alias("lo"), ((-q.qb + root) * q.e.ia).alias("hi"))
-
-    def inside(h):
-        crosses = (h.e.qa > 0) & (h.disc > 0) & (h.hi > 0) & (h.lo < 1)
-        zero = F.lit(0.0)
-        return F.struct(
-            h.e.alias("e"), crosses.alias("crosses"),
-            F.when(crosses, F.greatest(h.lo, zero)).otherwise(zero).alias("t0"),
-            F.when(crosses, F.least(h.hi, F.lit(1.0))).otherwise(zero).alias("t1"),
-        )
-
-    def corners(c):
-        e = c.e
-        return F.struct(
-            c.crosses.alias("crosses"), e.x.alias("ax"), e.y.alias("ay"), (e.x + e.dx).alias("bx"), (e.y + e.dy).alias("by"),
-            (e.x + c.t0 * e.dx).alias("px"), (e.y + c.t0 * e.dy).alias("py"),
-            (e.x + c.t1 * e.dx).alias("sx"), (e.y + c.t1 * e.dy).alias("sy"),
-        )
-
-    def area(k):
-        def sector(ux, uy, vx, vy):
-            return r2 / 2 * F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)
-
-        cut = sector(k.ax, k.ay, k.px, k.py) + (k.px * k.sy - k.py * k.sx) / 2 + sector(k.sx, k.sy, k.bx, k.by)
-        return F.when(k.crosses, cut).otherwise(sector(k.ax, k.ay, k.bx, k.by))
-
-    steps = edges
-    for step in (relative, quadratic, hits, inside, corners, area):
-        steps = F.transform(steps, step)
-    return F.greatest(F.aggregate(steps, F.lit(0.0), lambda acc, a: acc + a), F.lit(0.0))
+    c = F.col
+    rows = rows.withColumns({"_x": c("ax") - c("px"), "_y": c("ay") - c("py")})
+    rows = rows.withColumns({"_u": F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(c("_x") * c("dx") + c("_y") * c("dy")) * c("il2")))})
+    rows = rows.withColumns(
+        {
+            "_d2": F.pow(c("_x") + c("_u") * c("dx"), 2) + F.pow(c("_y") + c("_u") * c("dy"), 2),
+            "_cross": F.when(
+                ((c("ay") > c("py")) != (c("by") > c("py"))) & (c("px") < c("ax") + (c("py") - c("ay")) * c("slope")), 1
+            ).otherwise(0),
+        }
+    )
+    for i, r in enumerate(radii):
+        rows = _with_disc_part(rows, float(r) * float(r), f"_a{i}")
+    return rows
+
+
+def _with_disc_part(rows: DataFrame, r2: float, name: str) -> DataFrame:
+    c, zero = F.col, F.lit(0.0)
+
+    def sector(ux, uy, vx, vy):
+        return r2 / 2 * F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)
+
+    rows = rows.withColumn("_qb", c("_x") * c("dx") + c("_y") * c("dy"))
+    rows = rows.withColumn("_disc", c("_qb") * c("_qb") - c("l2") * (c("_x") * c("_x") + c("_y") * c("_y") - r2))
+    rows = rows.withColumn("_root", F.sqrt(F.greatest(c("_disc"), zero)))
+    rows = rows.withColumns({"_lo": (-c("_qb") - c("_root")) * c("il2"), "_hi": (-c("_qb") + c("_root")) * c("il2")})
+    rows = rows.withColumn("_hit", (c("l2") > 0) & (c("_disc") > 0) & (c("_hi") > 0) & (c("_lo") < 1))
+    rows = rows.withColumns({"_t0": F.greatest(c("_lo"), zero), "_t1": F.least(c("_hi"), F.lit(1.0))})
+    rows = rows.withColumns(
+        {
+            "_px": c("_x") + c("_t0") * c("dx"), "_py": c("_y") + c("_t0") * c("dy"),
+            "_sx": c("_x") + c("_t1") * c("dx"), "_sy": c("_y") + c("_t1") * c("dy"),
+            "_bx": c("_x") + c("dx"), "_by": c("_y") + c("dy"),
+        }
+    )
+    cut = (
+        sector(c("_x"), c("_y"), c("_px"), c("_py"))
+        + (c("_px") * c("_sy") - c("_py") * c("_sx")) / 2
+        + sector(c("_sx"), c("_sy"), c("_bx"), c("_by"))
+    )
+    part = F.when(c("_hit"), cut).otherwise(sector(c("_x"), c("_y"), c("_bx"), c("_by")))
+    gone = ["_qb", "_disc", "_root", "_lo", "_hi", "_hit", "_t0", "_t1", "_px", "_py", "_sx", "_sy", "_bx", "_by"]
+    return rows.withColumn(name, part).drop(*gone)
 
 
 def line_length(line: Column, metric=euclid) -> Column:

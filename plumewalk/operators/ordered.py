@@ -23,10 +23,25 @@ from plumewalk.session import durable, group_limit
 Keys = Sequence[str]
 
 
+_measured: dict[tuple[str, int], tuple[DataFrame, tuple[int, int]]] = {}
+
+
 def group_sizes(df: DataFrame, keys: Keys) -> tuple[int, int]:
-    """(rows of the largest group, all rows); one partial aggregation, two numbers back."""
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
-    return int(row[0] or 0), int(row[1] or 0)
+    """(rows of the largest group, all rows); one partial aggregation, two numbers back.
+
+    The answer for a plan is remembered, since several steps of one query ask
+    the same question. It only picks between two plans with equal results.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n"))
+    at = (df.sparkSession.sparkContext.applicationId, sizes.semanticHash())
+    seen = _measured.get(at)
+    if seen is not None and seen[0].sameSemantics(sizes):
+        return seen[1]
+    row = sizes.first()
+    if len(_measured) >= 256:
+        _measured.pop(next(iter(_measured)))
+    _measured[at] = (sizes, (int(row[0] or 0), int(row[1] or 0)))
+    return _measured[at][1]
 
 
 def range_chunks(df: DataFrame, keys: Keys, order: Sequence[str], chunks: int) -> DataFrame:

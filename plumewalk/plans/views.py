@@ -135,7 +135,7 @@ def preds(spark, sf_dir) -> DataFrame:
     k = F.col("l_orderkey") + F.col("l_suppkey")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("row_id"), sub.alias("subject_id"),
-        F.when(k % 23 == 0, None).when(k % 101 == 0, float("inf")).otherwise(F.col("l_extendedprice") / 100).alias("pred"),
+        F.when(k % 23 == 0, None).when(k % 101 == 0, float("inf")).otherwise(F.col("l_extendedprice") / 97.3).alias("pred"),
     )
 
 
@@ -202,7 +202,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
             "CASE WHEN sex = 'M' THEN 0.5::DOUBLE ELSE 0 END AS fvc_predicted FROM (SELECT DISTINCT sex, (floor(age / 3.0) * 3)::INT AS age, "
             "(floor(height / 5) * 5)::DOUBLE AS height FROM profiles)"),
     "preds": ((), "SELECT l_orderkey AS row_id, l_suppkey % 16 AS subject_id, CASE WHEN (l_orderkey + l_suppkey) % 23 = 0 THEN NULL "
-              "WHEN (l_orderkey + l_suppkey) % 101 = 0 THEN 'Infinity'::DOUBLE ELSE l_extendedprice / 100 END AS pred FROM lineitem"),
+              "WHEN (l_orderkey + l_suppkey) % 101 = 0 THEN 'Infinity'::DOUBLE ELSE l_extendedprice / 97.3::DOUBLE END AS pred FROM lineitem"),
     "env": ((), "SELECT c_mktsegment AS subject, c_acctbal AS temperature, (30 + (c_custkey * 13) % 61)::DOUBLE AS humidity, "
             "(1000 + (c_custkey * 7) % 29)::DOUBLE AS pressure, ((c_custkey * 37) % 360)::DOUBLE AS wind_direction FROM customer"),
     "reg": ((), "SELECT l_suppkey AS subject_id, l_extendedprice AS y, l_quantity AS x1, l_discount AS x2, l_tax AS x3 FROM lineitem"),
