@@ -38,7 +38,7 @@ def read_series(spark: SparkSession, folder: str, variables: Sequence[str] = tup
         except AnalysisException:
             continue
         value, ts, signal = raw.columns[:3]
-        sid = F.regexp_extract(F.col("_metadata.file_path"), r"/S(\d+)_[^/]*$", 1).cast("int")
+        sid = F.regexp_extract(F.col("_metadata.file_path"), r"/S(\d+)_[^/]*_TableResampled", 1).try_cast("int")
         clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
         parts.append(
             raw.select(
