@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from plumewalk.functions.geo import euclid
 from plumewalk.operators.ordered import group_sizes, with_position
-from plumewalk.session import durable, group_limit
+from plumewalk.session import block_partitions, durable, group_limit
 
 CELL = ["_lv", "_cx", "_cy"]
 
@@ -203,7 +203,8 @@ def tile_pairs(
             *[F.col(n).alias(f"b_{n}") for n in names],
         )
     )
-    pairs = left.join(right, ["_cx", "_cy"]).where(F.col("ka") <= F.col("kb"))
+    width = block_partitions(points.sparkSession, box[2])
+    pairs = left.repartition(width, "_cx", "_cy").join(right.repartition(width, "_cx", "_cy"), ["_cx", "_cy"]).where(F.col("ka") <= F.col("kb"))
     pairs = pairs.withColumn("same", F.col("ka") == F.col("kb")).drop("_cx", "_cy", "ka", "kb")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -68,12 +68,15 @@ def test_pair_counts_with_crowded_cells(spark, sides, monkeypatch, tile_rows):
     assert got == want
 
 
-def square(spark, rings, at, radii):
+def measure(spark, rings, at, radii):
+    """Distances and disc areas of one polygon as seen from several positions."""
     ring = [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
-    df = spark.createDataFrame([(i, float(x), float(y), "polygon", ring) for i, (x, y) in enumerate(at)], "i int, px double, py double, g string, rings array<array<struct<x:double,y:double>>>")
-    edges = df.select("i", "px", "py", F.inline(geo.edge_table(F.col("g"), F.col("rings"))))
-    m = geo.with_edge_measures(edges, radii).groupBy("i").agg(F.min("_d2").alias("d2"), F.sum("_cross").alias("c"), *[F.sum(f"_a{k}").alias(f"a{k}") for k in range(len(radii))])
-    return {r["i"]: r for r in m.collect()}
+    df = spark.createDataFrame([("polygon", ring)], "g string, rings array<array<struct<x:double,y:double>>>")
+    edges = df.select(F.inline(geo.edge_table(F.col("g"), F.col("rings")))).toPandas()
+    t = {c: edges[c].to_numpy() for c in edges.columns} | {"_solid": np.ones(1)}
+    px, py = (np.array([p[i] for p in at], dtype=float)[:, None] for i in (0, 1))
+    d, a = en.shape_measures(px, py, t, np.array([0]), radii)
+    return d[:, 0], {r: v[:, 0] for r, v in a.items()}
 
 
 SQUARE = [(0, 0), (4, 0), (4, 4), (0, 4)]
@@ -81,18 +84,42 @@ SQUARE = [(0, 0), (4, 0), (4, 4), (0, 4)]
 
 @pytest.mark.parametrize("ring", [SQUARE, SQUARE[::-1], [*SQUARE, SQUARE[0]]])
 def test_disc_areas_of_a_square(spark, ring):
-    m = square(spark, [ring], [(2, 2), (0, 2), (0, 0), (-9, 0), (6, 2)], [1.0, 10.0])
-    np.testing.assert_allclose([m[i]["a0"] for i in range(5)], [math.pi, math.pi / 2, math.pi / 4, 0, 0], atol=1e-9)
-    np.testing.assert_allclose(m[0]["a1"], 16.0)
-    assert m[0]["c"] % 2 == 1 and m[4]["c"] % 2 == 0
-    assert math.sqrt(m[4]["d2"]) == pytest.approx(2.0)
+    d, a = measure(spark, [ring], [(2, 2), (0, 2), (0, 0), (-9, 0), (6, 2)], [1.0, 10.0])
+    np.testing.assert_allclose(a[1.0], [math.pi, math.pi / 2, math.pi / 4, 0, 0], atol=1e-9)
+    assert a[10.0][0] == pytest.approx(16.0)
+    np.testing.assert_allclose(d, [0, 0, 0, 9, 2], atol=1e-12)
 
 
 def test_hole_is_outside(spark):
     hole = [(1, 1), (3, 1), (3, 3), (1, 3)]
-    m = square(spark, [SQUARE, hole], [(2, 2), (0.5, 0.5)], [0.4, 10.0])
-    assert m[0]["c"] % 2 == 0 and m[0]["a0"] == pytest.approx(0, abs=1e-9) and m[0]["a1"] == pytest.approx(12.0)
-    assert m[1]["c"] % 2 == 1
+    d, a = measure(spark, [SQUARE, hole], [(2, 2), (0.5, 0.5)], [0.4, 10.0])
+    np.testing.assert_allclose(d, [1.0, 0.0])
+    np.testing.assert_allclose(a[0.4], [0.0, math.pi * 0.16], atol=1e-9)
+    assert a[10.0][0] == pytest.approx(12.0)
+
+
+@pytest.mark.parametrize("site_tile, edge_tile", [(3, 5), (512, 2048)])
+def test_shape_blocks_in_crowded_cells(spark, monkeypatch, site_tile, edge_tile):
+    monkeypatch.setattr(en, "SITE_TILE", site_tile)
+    monkeypatch.setattr(en, "EDGE_TILE", edge_tile)
+    rng = np.random.default_rng(8)
+    sites = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 50, (40, 2)))]
+    boxes = []
+    for i, (x, y) in enumerate(rng.uniform(0, 50, (30, 2))):
+        h = 25.0 if i == 0 else float(rng.uniform(0.5, 6))
+        boxes.append((float(x), float(y), h, float(i % 4)))
+    ring = lambda x, y, h: [[{"x": x + a * h, "y": y + b * h} for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]]
+    layer = spark.createDataFrame([("polygon", ring(x, y, h), v) for x, y, h, v in boxes] * 2, "geom_type string, rings array<array<struct<x:double,y:double>>>, v double")
+    pts = spark.createDataFrame(sites, "pid int, x double, y double")
+    specs = [en.FeatureSpec("b", "l", [1, 4], "count"), en.FeatureSpec("b", "l", [4], "mean", "v"), en.FeatureSpec("b", "l", [100], "proximity")]
+    got = {r["pid"]: r for r in en.enrich(pts, {"l": layer}, specs, crs="deg").collect()}
+    for pid, x, y in sites:
+        d = [math.hypot(max(abs(x - bx) - h, 0), max(abs(y - by) - h, 0)) for bx, by, h, _ in boxes]
+        for r in (1, 4):
+            assert got[pid][f"num_b_{r}"] == 2 * sum(v <= r for v in d)
+        near = [b[3] for v, b in zip(d, boxes) if v <= 4]
+        assert got[pid]["average_b_4"] == (pytest.approx(np.mean(near)) if near else None)
+        assert got[pid]["close2b_100"] == 1
 
 
 def test_radius_monotone_and_copies(spark):
@@ -186,3 +213,23 @@ def test_variogram_fit_recovers_shape(spark):
     pts = spark.createDataFrame([(i, float(x), float(y), float(math.sin(x) + y)) for i, (x, y) in enumerate(rng.uniform(0, 3, (150, 2)))], "pid int, px double, py double, v double")
     fit = gs.fit_variogram(pts, "pid", "v", "exponential", lags=8)
     assert fit["psill"] > 0 and fit["nugget"] >= 0 and fit["reach"] > 0
+
+
+def test_workers_need_no_package(tmp_path):
+    """A session started far from the repository runs the block kernels."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from plumewalk import get_session\n"
+        "from plumewalk.operators import enrich as en\n"
+        "spark = get_session('far')\n"
+        "pts = spark.createDataFrame([(1, 9.23, 45.478)], 'pid int, x double, y double')\n"
+        "print('found', en.enrich(pts, {'l': pts}, [en.FeatureSpec('t', 'l', [10], 'count')]).first()['num_t_10'])\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "found 1" in out.stdout, out.stderr[-2000:]
