@@ -228,15 +228,19 @@ def row_at_middle(df: DataFrame, order: Sequence[str], columns: Sequence[str]) -
 
 
 def match_lung_capacity(people: DataFrame, fvc: DataFrame) -> DataFrame:
-    """fvc_predicted per person: same sex, nearest age, then nearest height; the first row on ties.
+    """fvc_predicted per person: same sex, nearest age, then nearest height; the smaller one on ties.
 
-    Matching runs on the distinct (sex, age, height) combinations and combines
-    before it shuffles, so it does not grow with the number of people.
+    Ages are matched on the distinct (sex, age) pairs and heights on the
+    distinct combinations, so the work does not grow with repeated people.
     """
-    combos = people.select("sex", "age", "height").distinct()
     table = fvc.select("sex", F.col("age").alias("_a"), F.col("height").alias("_h"), "fvc_predicted")
-    order = F.struct(F.abs(F.col("_a") - F.col("age")), "_a", F.abs(F.col("_h") - F.col("height")), "_h")
-    best = combos.join(table, "sex").groupBy("sex", "age", "height").agg(F.min_by("fvc_predicted", order).alias("fvc_predicted"))
+    known = table.select("sex", "_a").distinct()
+    ages = people.select("sex", "age").distinct().join(known, "sex").groupBy("sex", "age").agg(
+        F.min_by("_a", F.struct(F.abs(F.col("_a") - F.col("age")), "_a")).alias("_a")
+    )
+    combos = people.select("sex", "age", "height").distinct().join(ages, ["sex", "age"]).join(table, ["sex", "_a"])
+    order = F.struct(F.abs(F.col("_h") - F.col("height")), "_h")
+    best = combos.groupBy("sex", "age", "height").agg(F.min_by("fvc_predicted", order).alias("fvc_predicted"))
     return people.join(best, ["sex", "age", "height"], "left")
 
 

@@ -312,7 +312,7 @@ def predict_all(df: DataFrame, registry: DataFrame, row: str, xs: Sequence[str],
     """
     models = registry.where("error is null")
     n = models.count()
-    if n > 100_000:
+    if n > 10_000:
         raise ValueError(f"{n} models are too many to send to every row")
     packed = models.agg(F.collect_list(F.struct(subject, "intercept", "coef", F.col("train_mse").alias("variance")))).scalar()
     each = df.select(row, *xs, packed.alias("_m")).select(row, *xs, F.inline("_m"))

@@ -22,6 +22,9 @@ from plumewalk.session import durable, group_limit
 
 Keys = Sequence[str]
 
+#: More chunks than this cost more in shuffle bookkeeping than their sorts would in spills.
+MOST_CHUNKS = 20_000
+
 
 _measured: dict[tuple[str, int], tuple[DataFrame, tuple[int, int]]] = {}
 
@@ -44,13 +47,13 @@ def group_sizes(df: DataFrame, keys: Keys) -> tuple[int, int]:
     return _measured[at][1]
 
 
-def range_chunks(df: DataFrame, keys: Keys, order: Sequence[str], chunks: int) -> DataFrame:
-    """Adds ``_chunk``: ordered, balanced pieces of the (key, order) sequence.
+def range_chunks(df: DataFrame, keys: Keys, order: Sequence[str], total: int, limit: int) -> DataFrame:
+    """Adds ``_chunk``: ordered, balanced pieces of the (key, order) sequence, about ``limit`` of ``total`` rows each.
 
     The bounds come from a sample, so the result is written down once; both the
     chunk totals and the rows must see the same pieces.
     """
-    ranged = df.repartitionByRange(chunks, *keys, *order)
+    ranged = df.repartitionByRange(min(math.ceil(total / limit), MOST_CHUNKS), *keys, *order)
     return durable(ranged.withColumn("_chunk", F.spark_partition_id()))
 
 
@@ -69,7 +72,7 @@ def prefix_sums(
         return df.select("*", *[F.sum(F.coalesce(c, F.lit(0))).over(w).alias(n) for n, c in sums.items()])
 
     staged = df.select("*", *[F.coalesce(c, F.lit(0)).alias(f"_v_{n}") for n, c in sums.items()])
-    chunked = range_chunks(staged, keys, order, math.ceil(total / limit))
+    chunked = range_chunks(staged, keys, order, total, limit)
     totals = chunked.groupBy("_chunk", *keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -146,7 +149,7 @@ def fill_gaps(
             {c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead)) for c in columns}
         )
 
-    chunked = range_chunks(df, keys, order, math.ceil(total / limit))
+    chunked = range_chunks(df, keys, order, total, limit)
     at = F.struct(*order)
     edges = chunked.groupBy("_chunk", *keys).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_l_{c}") for c in columns],

@@ -93,9 +93,9 @@ def within(sites: DataFrame, features: DataFrame, reach: float, limit: int | Non
 
 def beyond_all(sites: DataFrame, features: DataFrame, reach: float, site_id: str) -> DataFrame:
     """Sites with no point feature closer than ``reach`` (strictly closer disqualifies)."""
-    near = within(sites.select(site_id, "px", "py"), features.select("fx", "fy"), reach)
-    taken = near.where(F.col("dist") < float(reach)).select(site_id).distinct()
-    return sites.join(taken, site_id, "left_anti")
+    near = within(sites.select("px", "py").distinct(), features.select("fx", "fy").distinct(), reach)
+    taken = near.where(F.col("dist") < float(reach)).select("px", "py").distinct()
+    return sites.join(taken, ["px", "py"], "left_anti")
 
 
 def nearest(
@@ -124,6 +124,10 @@ def nearest(
     width = max(box[1], reachable[1]) - min(box[0], reachable[0])
     height = max(box[3], reachable[3]) - min(box[2], reachable[2])
     everything = 2 * (width + height) + 1.0
+    # Of features at one spot only the first few ids can be among the k nearest.
+    spot = Window.partitionBy("fx", "fy").orderBy(feature_id)
+    features = features.withColumn("_nth", F.row_number().over(spot)).where(F.col("_nth") <= k + int(skip_self)).drop("_nth")
+    features = durable(features)
     if reach is None:
         area = max(box[1] - box[0], 1e-9) * max(box[3] - box[2], 1e-9)
         reach = 1.5 * math.sqrt(area * (k + 1) / box[4])

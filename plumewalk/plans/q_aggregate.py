@@ -365,3 +365,21 @@ def h13_frequency_bins(spark, sf_dir):
 
     o = v.table(spark, sf_dir, "orders")
     return frequency_bins(o, "o_totalprice", 10, "bin").groupBy("bin").agg(rows())
+
+
+@query("i03_resample_dynamic")
+def i03_resample_dynamic(spark, sf_dir):
+    """Rows only: placement and resampling are checked one by one (e14, i02 and the tests)."""
+    from plumewalk.functions.geo import line_length, utm
+
+    lab = cl.label_route(v.obs(spark, sf_dir), ["subject_id"], ["ts", "event_id"])
+    flat = F.transform("pts", lambda p: F.struct(utm(p.x, p.y)[0].alias("x"), utm(p.x, p.y)[1].alias("y")))
+    seg = _segments(spark, sf_dir).withColumn("_flat", flat).select("location", "pts", line_length(F.col("_flat")).alias("length_m"))
+    return gm.resample_dynamic(lab, seg, ["subject_id"], ["ts", "event_id"], "co2", 25.0)
+
+
+@query("i04_dynamic_placement", sql_with("obs poi", _CODE + _SEGS + ", o AS (SELECT subject_id, location, count(*) AS n, max(ax) AS ax, max(bx) AS bx FROM lab JOIN sg USING (location) GROUP BY 1, 2) SELECT subject_id, location, n, round(CASE WHEN n = 1 THEN ax ELSE (ax + bx) / 2 END, 6) AS mean_x FROM o"))
+def i04_dynamic_placement(spark, sf_dir):
+    lab = cl.label_route(v.obs(spark, sf_dir), ["subject_id"], ["ts", "event_id"])
+    p = gm.place_dynamic(lab, _segments(spark, sf_dir), ["subject_id"], ["ts", "event_id"])
+    return p.groupBy("subject_id", "location").agg(rows(), F.round(F.avg("x"), 6).alias("mean_x"))

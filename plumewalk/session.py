@@ -38,11 +38,11 @@ def group_limit(spark: SparkSession, limit: int | None = None) -> int:
 def block_partitions(spark: SparkSession, rows: int, per_task: int = 4096) -> int:
     """Partitions for a step that does far more work than its input size shows, such as block kernels.
 
-    Every core gets a share; beyond that the count follows the rows up to the
-    session's shuffle partitions.
+    Every core gets a few shares, so that uneven blocks even out; beyond that
+    the count follows the rows up to the session's shuffle partitions.
     """
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(spark.sparkContext.defaultParallelism, min(most, -(-rows // per_task)))
+    return max(3 * spark.sparkContext.defaultParallelism, min(most, -(-rows // per_task)))
 
 
 def durable(df: DataFrame) -> DataFrame:
