@@ -63,10 +63,15 @@ def prefix_sums(
     order: Sequence[str],
     sums: dict[str, Column],
     limit: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
-    """Inclusive running sums of ``sums`` within ``keys`` in ``order``; a null adds nothing."""
+    """Inclusive running sums of ``sums`` within ``keys`` in ``order``; a null adds nothing.
+
+    A caller that knows a bound on all rows gives it as ``at_most``; below the
+    limit it spares the count.
+    """
     limit = group_limit(df.sparkSession, limit)
-    largest, total = group_sizes(df, keys)
+    largest, total = (at_most, at_most) if at_most is not None and at_most <= limit else group_sizes(df, keys)
     if largest <= limit:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(F.coalesce(c, F.lit(0))).over(w).alias(n) for n, c in sums.items()])
@@ -88,10 +93,10 @@ def prefix_sums(
 
 
 def with_position(
-    df: DataFrame, keys: Keys, order: Sequence[str], name: str = "pos", limit: int | None = None
+    df: DataFrame, keys: Keys, order: Sequence[str], name: str = "pos", limit: int | None = None, at_most: int | None = None
 ) -> DataFrame:
     """0-based position of each row within its key."""
-    out = prefix_sums(df, keys, order, {name: F.lit(1).cast("long")}, limit)
+    out = prefix_sums(df, keys, order, {name: F.lit(1).cast("long")}, limit, at_most)
     return out.withColumn(name, F.col(name) - 1)
 
 

@@ -186,7 +186,7 @@ def tile_pairs(
     celled = points.select(
         point_id, "px", "py", *[a for a in attrs if a not in ("px", "py", point_id)]
     ).withColumns({"_cx": F.floor(F.col("px") / reach).cast("long"), "_cy": F.floor(F.col("py") / reach).cast("long")})
-    placed = with_position(celled, ["_cx", "_cy"], [point_id], "_pos", limit)
+    placed = with_position(celled, ["_cx", "_cy"], [point_id], "_pos", limit, at_most=box[2])
     names = list(dict.fromkeys([point_id, "px", "py", *attrs]))
     tiles = (
         placed.withColumn("_part", F.floor(F.col("_pos") / tile_rows).cast("long"))

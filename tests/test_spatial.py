@@ -102,6 +102,8 @@ def test_hole_is_outside(spark):
 def test_shape_blocks_in_crowded_cells(spark, monkeypatch, site_tile, edge_tile):
     monkeypatch.setattr(en, "SITE_TILE", site_tile)
     monkeypatch.setattr(en, "EDGE_TILE", edge_tile)
+    assert len(en.radius_classes([(0, 1.0, "a"), (0, 4.0, "b"), (0, 100.0, "c")])) == 2
+    assert len(en.radius_classes([(0, 1.0, "a"), (0, 100.0, "c")], floor=200.0)) == 1
     rng = np.random.default_rng(8)
     sites = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 50, (40, 2)))]
     boxes = []
