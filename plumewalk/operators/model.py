@@ -11,13 +11,13 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumewalk.functions.geo import euclid
 from plumewalk.functions.scalar import clip, feature_similarity, finite
-from plumewalk.operators.ordered import sliding
+from plumewalk.operators.ordered import sliding, with_position
 from plumewalk.operators.quantile import quantiles
 
 MIN_ROWS = 10
@@ -362,6 +362,54 @@ def knn_predict(targets: DataFrame, samples: DataFrame, target_id: str, sample_i
     return sums.select(target_id, "uniform", F.coalesce("_exact", F.col("_wv") / F.col("_w")).alias("weighted"))
 
 
+def knn_features(
+    targets: DataFrame, samples: DataFrame, keys: Sequence[str], target_id: str, sample_id: str, xs: Sequence[str], value: str, k: int,
+    metric: str = "euclidean", p: float = 2.0, block: int = 512,
+) -> DataFrame:
+    """Exact k nearest neighbours on any number of features within each key: keys, target_id, uniform, weighted.
+
+    Both sides are cut into blocks of bounded size; a kernel keeps the k best
+    of each block pair and the k best of those are merged. The plan of block
+    pairs is a table of its own, so the blocks of a hot key spread over all tasks.
+    """
+    types = dict(targets.dtypes) | dict(samples.dtypes)
+    # In a block a sample keeps its id for ties, a target its own.
+    def blocks(df: DataFrame, row_id: str, cols: Sequence[str], tag: str) -> DataFrame:
+        placed = with_position(df.select(*keys, row_id, *cols), keys, [row_id], "_pos")
+        packed = placed.groupBy(*keys, F.floor(F.col("_pos") / block).alias(f"_{tag}")).agg(F.array_sort(F.collect_list(F.struct(row_id, *cols))).alias("_r"))
+        return packed.select(*keys, f"_{tag}", *[F.col(f"_r.{c}").alias(f"{tag}_{c}") for c in (row_id, *cols)])
+
+    a, b = blocks(targets, target_id, xs, "a"), blocks(samples, sample_id, [*xs, value], "b")
+    many = lambda df, tag: df.groupBy(*keys).agg(F.max(f"_{tag}").alias(f"_n{tag}"))
+    grid = many(a, "a").join(many(b, "b"), list(keys))
+    zero = F.lit(0).cast("long")
+    grid = grid.withColumn("_a", F.explode(F.sequence(zero, F.col("_na")))).withColumn("_b", F.explode(F.sequence(zero, F.col("_nb")))).drop("_na", "_nb")
+    pairs = grid.join(a, [*keys, "_a"]).join(b, [*keys, "_b"]).drop("_a", "_b")
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, target_id)) + f", _s {types[sample_id]}, _d double, _v double"
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.to_dict("records"):
+                d = np.zeros((len(t[f"a_{target_id}"]), len(t[f"b_{sample_id}"])))
+                for x in xs:
+                    step = np.abs(np.asarray(t[f"a_{x}"], dtype=float)[:, None] - np.asarray(t[f"b_{x}"], dtype=float)[None, :])
+                    d = np.maximum(d, step) if metric == "chebyshev" else d + step ** {"euclidean": 2.0, "manhattan": 1.0}.get(metric, p)
+                if metric not in ("chebyshev", "manhattan"):
+                    d = d ** (1 / (2.0 if metric == "euclidean" else p))
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                rows, width = np.repeat(np.arange(len(d)), best.shape[1]), best.ravel()
+                out = {c: t[c] for c in keys} | {target_id: np.asarray(t[f"a_{target_id}"])[rows], "_s": np.asarray(t[f"b_{sample_id}"])[width]}
+                yield pd.DataFrame(out | {"_d": d[rows, width], "_v": np.asarray(t[f"b_{value}"], dtype=float)[width]})
+
+    order = Window.partitionBy(*keys, target_id).orderBy("_d", "_s")
+    near = pairs.mapInPandas(run, schema).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    w = F.try_divide(F.lit(1.0), F.col("_d"))
+    sums = near.groupBy(*keys, target_id).agg(
+        F.avg("_v").alias("uniform"), F.sum(w * F.col("_v")).alias("_wv"), F.sum(w).alias("_w"), F.avg(F.when(F.col("_d") == 0, F.col("_v"))).alias("_exact")
+    )
+    return sums.select(*keys, target_id, "uniform", F.coalesce("_exact", F.col("_wv") / F.col("_w")).alias("weighted"))
+
+
 def forest_registry(df: DataFrame, xs: Sequence[str], y: str, kind: str = "forest", **params):
     """A fitted ``pyspark.ml`` pipeline: 'forest', 'boosted' or 'robust' (Huber linear)."""
     from pyspark.ml import Pipeline

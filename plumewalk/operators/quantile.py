@@ -41,7 +41,7 @@ def quantiles(
         )
     running = prefix_sums(counted, keys, ["_v"], {"_cum": F.col("_n")}, limit)
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    placed = running.join(totals, list(keys)) if keys else running.crossJoin(totals)
+    placed = running.join(totals, list(keys)) if keys else running.withColumn("_total", totals.scalar())
     picks = []
     for i, p in enumerate(probs):
         at = F.lit(float(p)) * (F.col("_total") - 1)

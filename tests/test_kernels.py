@@ -257,3 +257,19 @@ def test_bad_options(spark):
         cl.pick_rows(df, regime_name="nope")
     with pytest.raises(ValueError):
         mo.register_step("x")(lambda p: None) and mo.register_step("x")(lambda p: None)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev"])
+def test_knn_on_features_in_small_blocks(sample, metric):
+    df, x, y = sample
+    rows = df.withColumn("id", F.monotonically_increasing_id()).cache()
+    got = mo.knn_features(rows, rows.withColumnRenamed("id", "sid"), ["k"], "id", "sid", ["a", "b", "c", "d"], "y", 3, metric, block=16)
+    got = {r["id"]: r["uniform"] for r in got.collect()}
+    ids = [r["id"] for r in rows.orderBy("id").collect()]
+    keyed = {r["id"]: (r["k"], np.array([r["a"], r["b"], r["c"], r["d"]]), r["y"]) for r in rows.collect()}
+    norm = {"euclidean": lambda d: np.sqrt((d**2).sum()), "manhattan": lambda d: np.abs(d).sum(), "chebyshev": lambda d: np.abs(d).max()}[metric]
+    assert len(got) == len(ids)
+    for i in ids[:40]:
+        k, v, _ = keyed[i]
+        near = sorted((norm(v - w), j) for j, (kk, w, _) in keyed.items() if kk == k)[:3]
+        assert got[i] == pytest.approx(np.mean([keyed[j][2] for _, j in near]))
