@@ -1,5 +1,7 @@
 """Queries over readers, cleaning rules and scalar formulas."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumewalk.functions import geo, scalar
@@ -8,8 +10,9 @@ from plumewalk.operators.ordered import prefix_sums
 from plumewalk.plans import views as v
 from plumewalk.plans.registry import query
 from plumewalk.plans.views import HAV, MX, MY, sql_with
+from plumewalk.session import shared_folder
 from plumewalk.sources import readers as rd
-from plumewalk.sources.sinks import attach_signal
+from plumewalk.sources import sinks as sk
 
 _CODE = (
     "WITH c AS (SELECT *, sum(signal) OVER (PARTITION BY subject_id ORDER BY ts, event_id)::BIGINT AS code FROM obs), "
@@ -61,7 +64,7 @@ def a01_read_series(spark, sf_dir):
 def a02_attach_signal(spark, sf_dir):
     o = v.obs(spark, sf_dir)
     table = o.select("subject_id", "ts", "event_id", "co2")
-    out = attach_signal(table, o, ["subject_id"], ["ts", "event_id"])
+    out = sk.attach_signal(table, o, ["subject_id"], ["ts", "event_id"])
     return out.select("event_id", "co2", "signal")
 
 
@@ -463,3 +466,49 @@ def h15_yeo_johnson(spark, sf_dir):
 @query("h17_casts", sql_with("edges", "SELECT u, v, oneway::INT AS oneway, try_cast(maxspeed AS DOUBLE) AS speed, try_cast(highway AS DOUBLE) AS none FROM edges"))
 def h17_casts(spark, sf_dir):
     return v.edges(spark, sf_dir).select("u", "v", F.col("oneway").cast("int").alias("oneway"), F.col("maxspeed").try_cast("double").alias("speed"), F.col("highway").try_cast("double").alias("none"))
+
+
+def _target(spark) -> str:
+    return f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"
+
+
+@query("a16_subject_sink", sql_with("obs", "SELECT subject_id, count(*) AS n, round(sum(co2), 4) AS total FROM obs GROUP BY 1"))
+def a16_subject_sink(spark, sf_dir):
+    """Written by subject, read back with the subject from the folder names."""
+    path = _target(spark)
+    sk.write_subjects(v.obs(spark, sf_dir), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("subject_id").cast("long").alias("subject_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("co2"), 4).alias("total"))
+
+
+@query("a18_csv_sink", sql_with("loc", "SELECT pid, x, y, co2 FROM loc"))
+def a18_csv_sink(spark, sf_dir):
+    path = _target(spark)
+    sk.write_csv(v.loc(spark, sf_dir).select("pid", "x", "y", "co2"), path)
+    return spark.read.schema("pid long, x double, y double, co2 double").csv(path, header=True)
+
+
+@query("a19_chunk_sink", sql_with("profiles", "SELECT sex, count(*) AS n, TRUE AS small FROM profiles GROUP BY 1"))
+def a19_chunk_sink(spark, sf_dir):
+    path = _target(spark)
+    sk.write_chunks(v.profiles(spark, sf_dir), path, 100)
+    back = spark.read.schema("profile_id long, age int, sex string, height double, fb double, hr double").csv(path, header=True)
+    sized = back.groupBy("sex", F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("k"))
+    return sized.groupBy("sex").agg(F.sum("k").alias("n"), (F.max("k") <= 100).alias("small"))
+
+
+@query("a20_trial_tables", sql_with("trials", "SELECT state, count(*) AS n, min(value) AS best FROM trials GROUP BY 1"))
+def a20_trial_tables(spark, sf_dir):
+    path = _target(spark)
+    t = v.trials(spark, sf_dir)
+    summary = t.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("best"))
+    sk.write_trials({"trials": t.select("trial", "value")}, summary, path)
+    return spark.read.schema("state string, n long, best double").json(f"{path}/summary")
+
+
+@query("a21_parquet_to_csv", "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
+def a21_parquet_to_csv(spark, sf_dir):
+    path = _target(spark)
+    sk.parquet_to_csv(spark, f"{sf_dir}/customer.parquet", path)
+    schema = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    return spark.read.schema(schema).csv(path, header=True).select("c_custkey", "c_acctbal", "c_mktsegment")

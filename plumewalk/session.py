@@ -46,13 +46,8 @@ def block_partitions(spark: SparkSession, rows: int, per_task: int = 4096) -> in
     return max(3 * spark.sparkContext.defaultParallelism, min(most, -(-rows // per_task)))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
-
-    The rows survive the loss of executors. A private folder is made only for a
-    local master that names none.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; one of its own only for a local master that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -61,4 +56,10 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="plumewalk-ckpt-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder; the rows survive the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
