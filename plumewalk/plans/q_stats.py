@@ -24,10 +24,10 @@ def _rounded(df, **digits):
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
-@query("n01_metrics", _YP + ", m AS (SELECT subject_id, count(*) AS n, avg(pow(y - f, 2)) AS mse, avg(abs(y - f)) AS mae, var_pop(y) AS v FROM p GROUP BY 1) SELECT subject_id, n, round(mse, 2) AS mse, round(sqrt(mse), 4) AS rmse, round(mae, 4) AS mae, round(1 - mse / v, 6) AS r2, round(1 - (mse / v) * (n - 1) / (n - 4), 6) AS adj_r2 FROM m")
+@query("n01_metrics", _YP + ", m AS (SELECT subject_id, count(*) AS n, avg(pow(y - f, 2)) AS mse, avg(abs(y - f)) AS mae, var_pop(y) AS v FROM p GROUP BY 1) SELECT subject_id, n, round(mse, 0) AS mse, round(sqrt(mse), 4) AS rmse, round(mae, 4) AS mae, round(1 - mse / v, 6) AS r2, round(1 - (mse / v) * (n - 1) / (n - 4), 6) AS adj_r2 FROM m")
 def n01_metrics(spark, sf_dir):
     m = me.regression_metrics(_yp(spark, sf_dir), "y", "f", KEYS, p=3)
-    return _rounded(m, mse=2, rmse=4, mae=4, r2=6, adj_r2=6).select("subject_id", "n", "mse", "rmse", "mae", "r2", "adj_r2")
+    return _rounded(m, mse=0, rmse=4, mae=4, r2=6, adj_r2=6).select("subject_id", "n", "mse", "rmse", "mae", "r2", "adj_r2")
 
 
 @query("n02_mape", _YP + "SELECT subject_id, round(avg(abs(y - f) / greatest(abs(y), 2.220446049250313e-16)) * 100, 6) AS mape FROM p GROUP BY 1")
@@ -176,10 +176,10 @@ def n22_compare_models(spark, sf_dir):
     return _rounded(me.compare_models(m, "bic", "subject_id"), aic=4, bic=4).select("subject_id", "aic", "bic", "best")
 
 
-@query("n23_evaluation_report", _YP + ", t AS (SELECT *, CASE WHEN subject_id % 5 = 0 THEN 'holdout' ELSE 'development' END AS role FROM p), m AS (SELECT role, count(*) AS n, avg(pow(y - f, 2)) AS mse, avg(pow(y - f, 2)) / var_pop(y) AS u FROM t GROUP BY 1) SELECT round(max(CASE WHEN role = 'development' THEN mse END), 2) AS dev_mse, round(max(CASE WHEN role = 'holdout' THEN mse END), 2) AS holdout_mse, round(1 - max(CASE WHEN role = 'development' THEN u END), 6) AS dev_r2, round(1 - max(CASE WHEN role = 'holdout' THEN u END), 6) AS holdout_r2, round(max(CASE WHEN role = 'holdout' THEN mse END) / max(CASE WHEN role = 'development' THEN mse END), 6) AS ratio FROM m")
+@query("n23_evaluation_report", _YP + ", t AS (SELECT *, CASE WHEN subject_id % 5 = 0 THEN 'holdout' ELSE 'development' END AS role FROM p), m AS (SELECT role, count(*) AS n, avg(pow(y - f, 2)) AS mse, avg(pow(y - f, 2)) / var_pop(y) AS u FROM t GROUP BY 1) SELECT round(max(CASE WHEN role = 'development' THEN mse END), 0) AS dev_mse, round(max(CASE WHEN role = 'holdout' THEN mse END), 0) AS holdout_mse, round(1 - max(CASE WHEN role = 'development' THEN u END), 6) AS dev_r2, round(1 - max(CASE WHEN role = 'holdout' THEN u END), 6) AS holdout_r2, round(max(CASE WHEN role = 'holdout' THEN mse END) / max(CASE WHEN role = 'development' THEN mse END), 6) AS ratio FROM m")
 def n23_evaluation_report(spark, sf_dir):
     p = _yp(spark, sf_dir).withColumn("role", F.when(F.col("subject_id") % 5 == 0, "holdout").otherwise("development"))
     r = me.evaluation_report(p, "y", "f", "role")
-    return _rounded(r, dev_mse=2, holdout_mse=2, dev_r2=6, holdout_r2=6, ratio=6)
+    return _rounded(r, dev_mse=0, holdout_mse=0, dev_r2=6, holdout_r2=6, ratio=6)
 
 
