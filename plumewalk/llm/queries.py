@@ -5,19 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumewalk.llm import mixing, simhash
-from plumewalk.llm.common import documents
+from plumewalk.llm import language_id, mixing, quality_pu, quality_rules, simhash, toxicity
+from plumewalk.llm.common import documents, id_remainder, labels
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = documents(spark, sf_dir), id_remainder("doc_id", 3) != 1
+    network = quality_pu.fit_quality(docs, labels(spark, sf_dir).where(learn & (F.col("quality") == 1)), docs.where(learn))
+    scored = quality_pu.score_quality(docs, network)
+    return scored.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op6_simhash)}
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    forest = quality_rules.fit_rules(docs, labels(spark, sf_dir).select("doc_id", F.col("quality").alias("label")))
+    return quality_rules.apply_rules(docs, forest)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), id_remainder("doc_id", 5) == 0
+    machine = toxicity.fit_toxicity(docs, labels(spark, sf_dir).where(~held_out).select("doc_id", F.col("toxic").alias("label")))
+    scored = toxicity.score_toxicity(docs, machine)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_word")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), id_remainder("doc_id", 5) == 0
+    model = language_id.fit_languages(docs.where(~held_out))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_mixing, op4_quality, op6_simhash, op7_rules, op8_toxicity, op10_language)
+}
 
 ORACLE_SQL: dict[str, str] = {}
