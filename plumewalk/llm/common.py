@@ -51,7 +51,7 @@ def per_text(docs: DataFrame, make: Callable[[], Kernel], schema: str, carry: Se
             for lo, hi in slices([len(t or "") for t in texts], most_chars):
                 found = kernel(texts[lo:hi])
                 given = [batch.column(i).slice(lo, hi - lo) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*given, *[pa.array(found[n]) for n in names]], [*carry, *names])
+                yield pa.RecordBatch.from_arrays([*given, *[v if isinstance(v, pa.Array) else pa.array(v) for v in (found[n] for n in names)]], [*carry, *names])
 
     return kept.mapInArrow(run, out_schema)
 

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def tokens(text: str) -> set[str]:
     signs taken out or read as letters, and letters that are spaced out."""
     words = set(LETTERS.findall(text))
     for w in set(CHUNK.findall(text)) - words:
-        core = w.strip(".,;:!?#*%&|\"'()[]")
+        core = w.strip(".,;:!?#*%&|\"'()[]$@")
         if len(core) <= 40 and not core.isalpha():
             words.add("".join(LETTERS.findall(core)))
             words.add("".join(LETTERS.findall(core.translate(STANDS_FOR))))
@@ -113,7 +114,7 @@ class Machine:
         return np.concatenate([np.zeros(0), *found]) + self.offset
 
 
-def fit_machine(insults: list[str], insult_weight: np.ndarray, clean: list[str], clean_weight: np.ndarray, landmarks: list[str], cost: float = 30.0) -> Machine:
+def fit_machine(insults: list[str], insult_weight: np.ndarray, clean: list[str], clean_weight: np.ndarray, landmarks: list[str], cost: float = 3000.0) -> Machine:
     """Squared-hinge support vector machine on Nystroem features of the landmarks, by Newton steps."""
     base = Triples(landmarks).image()
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
@@ -150,10 +151,10 @@ def sentence_words(labelled: DataFrame) -> DataFrame:
     """
 
     def split():
-        return lambda texts: {"sentences": [sorted(set(sentences(t))) for t in texts]}
+        return lambda texts: {"sentences": pa.array([sorted(set(sentences(t))) for t in texts], pa.list_(pa.string()))}
 
     def cut():
-        return lambda texts: {"words": [sorted(tokens(t)) for t in texts]}
+        return lambda texts: {"words": pa.array([sorted(tokens(t)) for t in texts], pa.list_(pa.string()))}
 
     each = per_text(labelled, split, "sentences array<string>", ("label",)).select("label", F.explode("sentences").alias("text"))
     known = each.groupBy("text").agg(F.min("label").alias("label"))
@@ -161,13 +162,31 @@ def sentence_words(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("label").alias("toxic_n"), F.sum(1 - F.col("label")).alias("clean_n"))
 
 
+def credited(toxic: DataFrame, suspects: dict[str, int]) -> dict[str, int]:
+    """In how many toxic texts each suspect stands that no other suspect there outnumbers four times; one number per suspect."""
+
+    def make():
+        def kernel(texts):
+            out = []
+            for t in texts:
+                own = [w for w in tokens((t or "").lower()) if w in suspects]
+                most = max((suspects[w] for w in own), default=0)
+                out.append(sorted(w for w in own if 4 * suspects[w] >= most))
+            return {"words": pa.array(out, pa.list_(pa.string()))}
+
+        return kernel
+
+    rows = per_text(toxic, make, "words array<string>", ("label",)).select(F.explode("words").alias("word"))
+    return {r["word"]: r["n"] for r in rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def worst_words(labelled: DataFrame, machine: Machine) -> DataFrame:
     """(label, word, value): the word of each text with the highest decision; texts without words have none."""
 
     def make():
         def kernel(texts):
             found = _worst(texts, machine)
-            return {"word": [w for w, _ in found], "value": [v for _, v in found]}
+            return {"word": pa.array([w for w, _ in found], pa.string()), "value": [v for _, v in found]}
 
         return kernel
 
@@ -227,16 +246,18 @@ def _least_count(counts: DataFrame, share: float = 0.05, wrong: float = 0.05) ->
     return 1 << 60
 
 
-def fit_toxicity(docs: DataFrame, labelled: DataFrame, most: int = 20_000, words: int = 6_000, landmarks: int = 240) -> Machine:
+def fit_toxicity(docs: DataFrame, labelled: DataFrame, most: int = 20_000, words: int = 6_000, landmarks: int = 240, rounds: int = 2) -> Machine:
     """A machine from ``labelled`` (doc_id, label 0/1), at most ``most`` of its rows; equal texts count once, as toxic if any is.
 
-    A first list of insults holds the words that stand in toxic sentences too
-    often, and in clean ones too seldom, for chance. The machine trained on
-    them picks the worst word of each text: those of toxic texts join the list,
-    those of clean texts join the clean words, and the second machine is
-    calibrated on the worst words of all sampled texts. The driver sees at most
-    ``words`` words of each kind and two numbers for each sampled row. Without
-    toxic or clean rows every text scores low.
+    The insults to learn from are words that stand in toxic sentences too
+    often, and in clean ones too seldom, for chance, and that still explain
+    enough toxic texts when a text is credited to its most frequent such words
+    (so the ordinary words of copied toxic texts get no credit). The worst
+    words of the clean texts under the first machine join the clean words, and
+    the machine is trained again; the last one is calibrated on the worst words
+    of all sampled texts. The driver sees at most ``words`` words of each kind
+    and two numbers for each sampled row. Without toxic or clean rows every
+    text scores low.
     """
     chosen = bounded_sample(labelled.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("double").alias("label")), most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -247,9 +268,10 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, most: int = 20_000, words
     clean_words = counts.where("clean_n > toxic_n")
     common = clean_words.orderBy(F.desc("clean_n"), "word").limit(words // 2).collect()
     others = clean_words.orderBy(F.xxhash64("word"), "word").limit(words).collect()
-    if not first or not common:
+    credit = credited(sample.where("label = 1"), {r["word"]: int(r["toxic_n"]) for r in first})
+    insults = {r["word"]: float(r["toxic_n"]) for r in first if credit.get(r["word"], 0) >= least}
+    if not insults or not common:
         return NEVER
-    insults = {r["word"]: float(r["toxic_n"]) for r in first}
     clean = {r["word"]: float(r["clean_n"]) for r in [*common, *others]}
     half = landmarks // 2
 
@@ -259,15 +281,12 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, most: int = 20_000, words
         return fit_machine(bad, np.sqrt([insults[w] for w in bad]), good, np.sqrt([clean[w] for w in good]), marks)
 
     machine = trained()
-    worst = worst_words(sample, machine).where("word is not null").groupBy("word").agg(F.sum("label").alias("toxic_n"), F.sum(1 - F.col("label")).alias("clean_n"), F.first("value").alias("value"))
-    worst = durable(worst)
-    for r in worst.where("value > 0 and toxic_n > 2 * clean_n").orderBy(F.desc("toxic_n"), "word").limit(words).collect():
-        insults.setdefault(r["word"], float(r["toxic_n"]))
-        clean.pop(r["word"], None)
-    for r in worst.where("clean_n > toxic_n").orderBy(F.desc("value"), "word").limit(words).collect():
-        if r["word"] not in insults:
-            clean[r["word"]] = max(clean.get(r["word"], 0.0), float(r["clean_n"]))
-    machine = trained()
+    for _ in range(rounds):
+        worst = worst_words(sample.where("label = 0"), machine).where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"))
+        for r in worst.orderBy(F.desc("value"), "word").limit(words).collect():
+            if r["word"] not in insults:
+                clean[r["word"]] = max(clean.get(r["word"], 0.0), float(r["n"]))
+        machine = trained()
     found = worst_words(sample, machine).select("label", "value").collect()
     scale, shift = _calibrate(np.array([r["value"] for r in found]), np.array([r["label"] for r in found]))
     return Machine(machine.weights, machine.offset, scale, shift)
@@ -284,7 +303,7 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
         def kernel(texts):
             found = _worst(texts, machine)
             value = np.array([v for _, v in found]) * machine.scale + machine.shift
-            return {"score": (1 / (1 + np.exp(-np.clip(value, -40, 40)))).tolist(), "worst_word": [w for w, _ in found]}
+            return {"score": (1 / (1 + np.exp(-np.clip(value, -40, 40)))).tolist(), "worst_word": pa.array([w for w, _ in found], pa.string())}
 
         return kernel
 
