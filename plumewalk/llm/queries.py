@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumewalk.llm import decontaminate, language_id, mixing, quality_pu, quality_rules, simhash, toxicity
+from plumewalk.llm import decontaminate, language_id, lm_score, mixing, quality_pu, quality_rules, simhash, toxicity
 from plumewalk.llm.common import documents, id_remainder, labels
 
 
@@ -43,6 +43,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_word")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), id_remainder("doc_id", 7) == 2
+    automaton, counts = lm_score.fit_automaton(docs.where(~held_out))
+    scored = lm_score.score_texts(docs, automaton, counts)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(automaton.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), id_remainder("doc_id", 5) == 0
     model = language_id.fit_languages(docs.where(~held_out))
@@ -50,7 +59,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_decontaminate, op4_quality, op6_simhash, op7_rules, op8_toxicity, op10_language)
+    f.__name__: f for f in (op1_mixing, op2_decontaminate, op4_quality, op6_simhash, op7_rules, op8_toxicity, op9_lm_score, op10_language)
 }
 
 ORACLE_SQL: dict[str, str] = {}
