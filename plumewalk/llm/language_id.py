@@ -183,7 +183,8 @@ def fit_languages(docs: DataFrame, path: str | None = None, most: int = 20_000,
     from plumewalk.session import durable
 
     pieces = read_pieces(path)
-    sample = bounded_sample(docs.where("lang is not null").select("doc_id", "text", "lang"), most)
+    chosen = bounded_sample(docs.where("lang is not null and doc_id is not null").select("doc_id"), most)
+    sample = docs.where("lang is not null").select("doc_id", "text", "lang").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
     counts = durable(word_counts(sample))
     share = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(share)

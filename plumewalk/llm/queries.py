@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumewalk.llm import decontaminate, language_id, lm_score, mixing, quality_pu, quality_rules, simhash, toxicity
+from plumewalk.llm import decontaminate, language_id, line_dedup, lm_score, mixing, quality_pu, quality_rules, simhash, toxicity
 from plumewalk.llm.common import documents, id_remainder, labels
 
 
@@ -19,6 +19,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, learn = documents(spark, sf_dir), id_remainder("doc_id", 3) != 1
     network = quality_pu.fit_quality(docs, labels(spark, sf_dir).where(learn & (F.col("quality") == 1)), docs.where(learn))
@@ -59,7 +63,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_decontaminate, op4_quality, op6_simhash, op7_rules, op8_toxicity, op9_lm_score, op10_language)
+    f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_line_dedup, op4_quality, op6_simhash, op7_rules, op8_toxicity, op9_lm_score, op10_language)
 }
 
 ORACLE_SQL: dict[str, str] = {}
