@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumewalk.llm import decontaminate, language_id, line_dedup, lm_score, mixing, quality_pu, quality_rules, simhash, toxicity
+from plumewalk.llm import decontaminate, language_id, line_dedup, lm_score, mixing, quality_pu, quality_rules, secret_scan, simhash, toxicity
 from plumewalk.llm.common import documents, id_remainder, labels
 
 
@@ -30,6 +30,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -63,7 +67,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_line_dedup, op4_quality, op6_simhash, op7_rules, op8_toxicity, op9_lm_score, op10_language)
+    f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_line_dedup, op4_quality, op5_secrets, op6_simhash, op7_rules, op8_toxicity, op9_lm_score, op10_language)
 }
 
 ORACLE_SQL: dict[str, str] = {}
