@@ -40,7 +40,7 @@ def per_text(docs: DataFrame, make: Callable[[], Kernel], schema: str, carry: Se
     slices of a batch with at most ``most_chars`` characters (one text at
     least), so memory does not follow the number of rows in an Arrow batch.
     """
-    kept = docs.select(*carry, F.col("text").cast("string").alias("_text"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("_text"))
     out_schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in carry), schema])
     names = [part.split()[0].strip("`") for part in split_schema(schema)]
 

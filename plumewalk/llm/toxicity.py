@@ -308,3 +308,16 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
         return kernel
 
     return per_text(docs, make, "score double, worst_word string")
+
+
+def drop_toxic(docs: DataFrame, machine: Machine, limit: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose text scores ``limit`` or more; judged row by row, without a join."""
+
+    def make():
+        def kernel(texts):
+            value = np.array([v for _, v in _worst(texts, machine)]) * machine.scale + machine.shift
+            return {"_toxic": (1 / (1 + np.exp(-np.clip(value, -40, 40)))).tolist()}
+
+        return kernel
+
+    return per_text(docs, make, "_toxic double", docs.columns).where(F.col("_toxic") < limit).select(*docs.columns)
