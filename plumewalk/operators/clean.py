@@ -38,9 +38,9 @@ WEATHER_NAMES = {
 
 
 def label_route(df: DataFrame, keys: Sequence[str], order: Sequence[str], signal: str = "signal") -> DataFrame:
-    """Adds location_code (running signal), location and regime."""
-    code = F.floor(F.col(signal)).cast("long")
-    out = prefix_sums(df, keys, order, {"location_code": code})
+    """Adds location_code (the running sum of the signal, cut to a whole number), location and regime."""
+    out = prefix_sums(df, keys, order, {"location_code": F.col(signal).cast("double")})
+    out = out.withColumn("location_code", F.col("location_code").cast("long"))
     out = out.withColumn("location", location_label("location_code"))
     return out.withColumn("regime", regime("location"))
 

@@ -87,13 +87,16 @@ def break_distances(routes: DataFrame, breaks: DataFrame, route: str = "route_id
 
 
 def route_segments(routes: DataFrame, breaks: DataFrame, route: str = "route_id", line: str = "pts", labels: Sequence[str] = tuple(PIECE_LABELS)) -> DataFrame:
-    """Labelled pieces of closed routes: route, location, pts, length_m.
+    """Labelled pieces of closed routes: route, location, start, stop, pts, length_m, error.
 
     The piece across the line end comes first. Routes need as many distinct
-    breaks as there are labels; others are left out.
+    breaks as there are labels; any other gives one row with ``error`` alone.
     """
     d = break_distances(routes, breaks, route, line)
-    packed = d.groupBy(route).agg(F.array_sort(F.collect_list("at")).alias("ats")).where(F.size("ats") == len(labels))
+    counted = routes.select(route).join(d.groupBy(route).agg(F.array_sort(F.collect_list("at")).alias("ats")), route, "left")
+    n = F.coalesce(F.size("ats"), F.lit(0))
+    wrong = counted.where(n != len(labels)).select(route, F.concat(n.cast("string"), F.lit(f" breaks for {len(labels)} pieces")).alias("error"))
+    packed = counted.where(n == len(labels))
     full = packed.join(routes.select(route, line), route).withColumn("_len", line_length(F.col(line)))
     each = full.select("*", F.posexplode(F.array(*map(F.lit, labels))).alias("_i", "location"))
     low, high = F.element_at("ats", F.greatest(F.col("_i"), F.lit(1))), F.element_at("ats", F.col("_i") + 1)
@@ -103,9 +106,10 @@ def route_segments(routes: DataFrame, breaks: DataFrame, route: str = "route_id"
     cut = F.when(F.col("_i") == 0, wrapped).otherwise(line_between(pts, F.col("start"), F.col("stop")))
     out = ends.withColumn("piece", cut)
     flat = F.transform("piece", lambda p: F.struct(utm(p.x, p.y)[0].alias("x"), utm(p.x, p.y)[1].alias("y")))
-    return out.withColumn("_flat", flat).select(
-        route, "location", "start", "stop", F.col("piece").alias("pts"), line_length(F.col("_flat")).alias("length_m")
+    pieces = out.withColumn("_flat", flat).select(
+        route, "location", "start", "stop", F.col("piece").alias("pts"), line_length(F.col("_flat")).alias("length_m"), F.lit(None).cast("string").alias("error")
     )
+    return pieces.unionByName(wrong, allowMissingColumns=True)
 
 
 def place_static(df: DataFrame, places: DataFrame) -> DataFrame:

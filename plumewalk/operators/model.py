@@ -304,18 +304,22 @@ def weighted_grid_ensemble(preds: DataFrame, grid_env: DataFrame, train: DataFra
     return combine_ensemble(preds, environment_similarity(grid_env, train, subject, shared, method), row, subject).drop("n_models")
 
 
-def predict_all(df: DataFrame, registry: DataFrame, row: str, xs: Sequence[str], subject: str = "subject_id") -> DataFrame:
+def predict_all(df: DataFrame, registry: DataFrame, row: str, xs: Sequence[str], subject: str = "subject_id", block: int = 10_000) -> DataFrame:
     """Long predictions (row, subject, pred, variance): every row by every model.
 
-    The models travel as one array value per row, so no join is needed; the
-    registry has one small entry per subject and its size is checked.
+    Models are packed into arrays of at most ``block`` entries. One array
+    travels with the plan as a value and needs no join; more of them are a
+    small table, and each row meets each of them by number.
     """
-    models = registry.where("error is null")
-    n = models.count()
-    if n > 10_000:
-        raise ValueError(f"{n} models are too many to send to every row")
-    packed = models.agg(F.collect_list(F.struct(subject, "intercept", "coef", F.col("train_mse").alias("variance")))).scalar()
-    each = df.select(row, *xs, packed.alias("_m")).select(row, *xs, F.inline("_m"))
+    models = registry.where("error is null").select(subject, F.struct(subject, "intercept", "coef", F.col("train_mse").alias("variance")).alias("_one"))
+    blocks = -(-models.count() // block)
+    if blocks <= 1:
+        packed = models.agg(F.collect_list("_one")).scalar()
+        each = df.select(row, *xs, packed.alias("_m"))
+    else:
+        packed = models.groupBy(F.pmod(F.xxhash64(subject), F.lit(2 * blocks)).cast("long").alias("_block")).agg(F.collect_list("_one").alias("_m"))
+        each = df.select(row, *xs, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * blocks - 1).cast("long"))).alias("_block")).join(packed, "_block")
+    each = each.select(row, *xs, F.inline("_m"))
     total = F.col("intercept")
     for i, c in enumerate(xs):
         total = total + F.col("coef")[i] * F.col(c)

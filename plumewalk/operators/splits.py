@@ -113,6 +113,8 @@ def blocked_folds(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: i
 
 
 def forecast_holdout(df: DataFrame, keys: Sequence[str], order: Sequence[str], horizon: int) -> DataFrame:
-    """Adds ``role``: the last ``horizon`` rows are 'test'; series left with less than 70 % for training are dropped."""
-    sized = _sized(df, keys, order).where((F.col("n") - horizon) >= 0.7 * F.col("n"))
-    return sized.withColumn("role", F.when(F.col("pos") >= F.col("n") - horizon, "test").otherwise("train")).drop("n")
+    """Adds ``role``: the last ``horizon`` rows are 'test', those before 'train'; all rows of a series
+    that would keep less than 70 % for training are 'short', so that nothing goes unseen."""
+    sized = _sized(df, keys, order)
+    short = (F.col("n") - horizon) < 0.7 * F.col("n")
+    return sized.withColumn("role", F.when(short, "short").when(F.col("pos") >= F.col("n") - horizon, "test").otherwise("train")).drop("n")

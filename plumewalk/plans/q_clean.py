@@ -107,8 +107,9 @@ def _coded(spark, sf_dir):
 
 @query("a05_weather_wide", sql_with("obs", _WEATHER + "SELECT ts, " + ", ".join(f"round(avg(CASE WHEN variable = '{e}' THEN value END), 6) AS s_{e}" for e in ("click", "error", "purchase", "signup", "view")) + " FROM c GROUP BY ts"))
 def a05_weather_wide(spark, sf_dir):
-    long = _coded(spark, sf_dir).groupBy("ts", F.concat(F.lit("s_"), F.col("variable")).alias("sensor")).agg(F.round(F.avg("value"), 6).alias("value"))
-    return rd.weather_wide(long, [f"s_{e}" for e in ("click", "error", "purchase", "signup", "view")])
+    sensors = [f"s_{e}" for e in ("click", "error", "purchase", "signup", "view")]
+    wide = rd.weather_wide(_coded(spark, sf_dir).select("ts", F.concat(F.lit("s_"), F.col("variable")).alias("sensor"), "value"), sensors)
+    return wide.select("ts", *[F.round(s, 6).alias(s) for s in sensors])
 
 
 @query("b08_sentinel_codes", sql_with("obs", _WEATHER + "SELECT variable, count(*) AS n, count(value) AS valid, count(CASE WHEN value = 0 THEN 1 END) AS zeros, round(avg(value), 6) AS mean FROM c GROUP BY variable"))

@@ -54,6 +54,6 @@ def l06_blocked_folds(spark, sf_dir):
     return sl.blocked_folds(v.obs(spark, sf_dir), KEYS, ORDER, k=4).select("event_id", "fold", "role")
 
 
-@query("l07_forecast_holdout", sql_with("obs", _P + "SELECT event_id, CASE WHEN pos >= n - 18 THEN 'test' ELSE 'train' END AS role FROM p WHERE n - 18 >= 0.7 * n"))
+@query("l07_forecast_holdout", sql_with("obs", _P + "SELECT event_id, CASE WHEN n - 18 < 0.7 * n THEN 'short' WHEN pos >= n - 18 THEN 'test' ELSE 'train' END AS role FROM p"))
 def l07_forecast_holdout(spark, sf_dir):
     return sl.forecast_holdout(v.obs(spark, sf_dir), KEYS, ORDER, 18).select("event_id", "role")

@@ -107,8 +107,8 @@ def read_weather(spark: SparkSession, folder: str, names: DataFrame) -> DataFram
 
 
 def weather_wide(long: DataFrame, sensors: Sequence[str]) -> DataFrame:
-    """All sensors side by side by time; a time one sensor lacks stays, with a null."""
-    return long.groupBy("ts").pivot("sensor", list(sensors)).agg(F.first("value"))
+    """All sensors side by side by time; a time one sensor lacks stays, with a null. Readings that repeat a time and sensor are averaged."""
+    return long.groupBy("ts").pivot("sensor", list(sensors)).agg(F.avg("value"))
 
 
 def read_routes(spark: SparkSession, path: str) -> DataFrame:
