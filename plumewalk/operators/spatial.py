@@ -162,6 +162,32 @@ TILE_ROWS = 1024
 PairKernel = Callable[[dict[str, np.ndarray], dict[str, np.ndarray], bool], pd.DataFrame]
 
 
+def pair_tiles(left: DataFrame, right: DataFrame, cell: Sequence[str], left_id: Sequence[str], right_id: Sequence[str], width: int, group: int = 4) -> DataFrame:
+    """Left tiles next to right tiles of the same ``cell``, with the work of a crowded cell spread over tasks.
+
+    A cell with more than ``group`` tiles on a side is a grid of groups of
+    tiles: a left tile is copied to each group of right tiles and the other way
+    round, and a pair meets under its cell and both groups, so no task gets
+    more than a few tiles of each side of one cell. Both inputs are read twice
+    and should be written down. Cells are listed only where they are crowded.
+    """
+    spark = left.sparkSession
+    numbers = [d.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias(n)) for d, n in ((left, "_na"), (right, "_nb"))]
+    crowded = durable(numbers[0].join(numbers[1], list(cell)).where("_na > 1 or _nb > 1"))
+    listed = crowded.count()
+    keys = list(cell)
+    if listed:
+        crowded = F.broadcast(crowded) if listed <= 100_000 else crowded
+        one = lambda n: F.coalesce(n, F.lit(1))
+        at = lambda ids, n: F.pmod(F.xxhash64(*ids), one(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), one(F.col(n)) - 1))
+        left = left.join(crowded, keys, "left").withColumn("_ga", at(left_id, F.col("_na"))).withColumn("_gb", every("_nb")).drop("_na", "_nb")
+        right = right.join(crowded, keys, "left").withColumn("_gb", at(right_id, F.col("_nb"))).withColumn("_ga", every("_na")).drop("_na", "_nb")
+        keys += ["_ga", "_gb"]
+        width = max(width, 3 * spark.sparkContext.defaultParallelism)
+    return left.repartition(width, *keys).join(right.repartition(width, *keys), keys).drop("_ga", "_gb")
+
+
 def tile_pairs(
     points: DataFrame,
     reach: float,
@@ -175,7 +201,7 @@ def tile_pairs(
     """Run ``kernel`` on every pair of neighbouring tiles, each unordered pair once.
 
     Points are cut into tiles of at most ``tile_rows`` rows within cells of
-    at least side ``reach``; a crowded cell simply has more tiles. Only tiles travel,
+    at least side ``reach``; the tile pairs of a crowded cell are spread over tasks. Only tiles travel,
     never pairs of rows: the kernel gets two blocks of column arrays (and
     whether they are the same block) and returns partial sums.
     """
@@ -208,7 +234,7 @@ def tile_pairs(
         )
     )
     width = block_partitions(points.sparkSession, box[2])
-    pairs = left.repartition(width, "_cx", "_cy").join(right.repartition(width, "_cx", "_cy"), ["_cx", "_cy"]).where(F.col("ka") <= F.col("kb"))
+    pairs = pair_tiles(left, right, ["_cx", "_cy"], ["ka"], ["kb"], width).where(F.col("ka") <= F.col("kb"))
     pairs = pairs.withColumn("same", F.col("ka") == F.col("kb")).drop("_cx", "_cy", "ka", "kb")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

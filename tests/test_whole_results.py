@@ -1,9 +1,12 @@
 """Inputs that used to vanish or be refused give rows."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from plumewalk.operators import clean, model, route, splits
 from plumewalk.operators.geometry import route_segments
+from plumewalk.operators.spatial import pair_tiles
 from plumewalk.sources.readers import weather_wide
 
 
@@ -47,3 +50,13 @@ def test_signals_are_added_before_they_are_cut(spark):
     rows = spark.createDataFrame([(1, t, 0.6) for t in range(4)], "k int, t int, signal double")
     got = [r["location_code"] for r in clean.label_route(rows, ["k"], ["t"]).orderBy("t").select(F.col("location_code")).collect()]
     assert got == [0, 1, 1, 2]
+
+
+def test_tile_pairs_of_a_crowded_cell_are_spread(spark):
+    cells = lambda n, name: spark.range(n + 3).select(F.when(F.col("id") < n, 0).otherwise(F.col("id")).alias("cell"), F.col("id").alias(name))
+    left, right = cells(60, "a"), cells(45, "b").where("cell < 47")
+    got = pair_tiles(left, right, ["cell"], ["a"], ["b"], 24)
+    rows = got.select("cell", "a", "b", F.spark_partition_id().alias("task")).collect()
+    want = {(0, a, b) for a in range(60) for b in range(45)}
+    assert sorted((r["cell"], r["a"], r["b"]) for r in rows) == sorted(want)
+    assert max(Counter(r["task"] for r in rows).values()) <= 0.25 * len(rows)
