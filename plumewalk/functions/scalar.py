@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -57,10 +58,28 @@ def feature_similarity(a, b, circular: Column | bool = False) -> Column:
     return F.when(flag, around).otherwise(plain)
 
 
+#: Letters and signs without an ASCII decomposition, and what stands for them in a name; fixed values.
+SPELLED_OUT = {"°": "deg", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "€": "EUR", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ð": "d", "Ð": "D", "ı": "i", "×": "x", "µ": "u", "μ": "u"}
+
+
+def _folded() -> dict[str, str]:
+    """Latin letters and signs whose compatibility decomposition is one ASCII character and marks."""
+    out = {}
+    for c in map(chr, (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0))):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain.isascii():
+            out[c] = plain
+    return out
+
+
 def plain_name(text) -> Column:
-    """Accent-free lower-case name with underscores, usable as a column name."""
-    accents, letters = "àáâãäèéêëìíîïòóôõöùúûüçñÀÁÂÃÄÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÇÑ", "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
-    return F.lower(F.regexp_replace(F.trim(F.translate(col(text), accents, letters)), " ", "_"))
+    """Lower-case ASCII name with underscores, usable as a column name: accents are folded, a few signs spelled out, other characters dropped."""
+    one = _folded() | {c: v for c, v in SPELLED_OUT.items() if len(v) == 1}
+    out = F.translate(F.trim(col(text)), "".join(one), "".join(one.values()))
+    for c, v in SPELLED_OUT.items():
+        if len(v) > 1:
+            out = F.replace(out, F.lit(c), F.lit(v))
+    return F.lower(F.replace(F.regexp_replace(out, r"[^\x00-\x7F]", ""), F.lit(" "), F.lit("_")))
 
 
 def half_open_bin(value, start: float, width, bins: int) -> Column:

@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from plumewalk.functions.scalar import plain_name
 from plumewalk.operators import clean, model, route, splits
 from plumewalk.operators.geometry import route_segments
 from plumewalk.operators.spatial import pair_tiles
@@ -60,3 +61,9 @@ def test_tile_pairs_of_a_crowded_cell_are_spread(spark):
     want = {(0, a, b) for a in range(60) for b in range(45)}
     assert sorted((r["cell"], r["a"], r["b"]) for r in rows) == sorted(want)
     assert max(Counter(r["task"] for r in rows).values()) <= 0.25 * len(rows)
+
+
+def test_names_are_folded_to_ascii(spark):
+    names = {"Velocità Più": "velocita_piu", " Straße 10 µg/m³ ": "strasse_10_ug/m3", "Łódź °C": "lodz_degc", "ễ ø 漢x": "e_o_x"}
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r["n"]: r["p"] for r in rows.select("n", plain_name("n").alias("p")).collect()} == names
