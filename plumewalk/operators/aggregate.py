@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumewalk.operators.ordered import sliding, with_position
 from plumewalk.operators.quantile import average_ranks, quantiles
@@ -242,7 +241,3 @@ def match_lung_capacity(people: DataFrame, fvc: DataFrame) -> DataFrame:
     order = F.struct(F.abs(F.col("_h") - F.col("height")), "_h")
     best = combos.groupBy("sex", "age", "height").agg(F.min_by("fvc_predicted", order).alias("fvc_predicted"))
     return people.join(best, ["sex", "age", "height"], "left")
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]

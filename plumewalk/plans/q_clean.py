@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumewalk.functions import geo, scalar
 from plumewalk.operators import clean as cl
+from plumewalk.operators.enrich import layer_key
 from plumewalk.operators.ordered import prefix_sums
 from plumewalk.plans import views as v
 from plumewalk.plans.registry import query
@@ -128,10 +129,12 @@ def a07_tag_layer(spark, sf_dir):
     return layer.drop("tags")
 
 
-@query("a08_layer_key", "SELECT md5('{\"shop\":\"' || p_type || '\"}') AS layer_key, count(*) AS n FROM part GROUP BY 1")
+@query("a08_layer_key", "SELECT md5('{\"shop\": \"' || p_type || '\"}') AS layer_key, count(*) AS n FROM part GROUP BY 1")
 def a08_layer_key(spark, sf_dir):
-    key = F.md5(F.to_json(F.create_map(F.lit("shop"), F.col("p_type"))))
-    return v.table(spark, sf_dir, "part").groupBy(key.alias("layer_key")).agg(F.count(F.lit(1)).alias("n"))
+    part = v.table(spark, sf_dir, "part")
+    kinds = [r[0] for r in part.select("p_type").distinct().collect()]  # tag values of one tag
+    keys = spark.createDataFrame([(k, layer_key({"shop": k})) for k in kinds], "p_type string, layer_key string")
+    return part.join(keys, "p_type").groupBy("layer_key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a09_street_network", sql_with("nodes edges", "SELECT 'node' AS kind, highway, count(*) AS n, NULL::DOUBLE AS total_length FROM nodes GROUP BY highway UNION ALL SELECT 'edge', highway, count(*), round(sum(length), 2) FROM edges GROUP BY highway"))
