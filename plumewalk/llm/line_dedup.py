@@ -6,9 +6,9 @@ The segments of every line, keyed by line length and place, form the index.
 A line probes the index of each length it may have come from with its
 substrings at those few starts which an alignment of so many edits allows.
 Candidates are verified by a banded bit-parallel distance, written as a fold
-over the characters. A key under which very many lines lie is split further by
-distance to three pivot lines: linked lines differ by at most EDITS from any
-pivot, so only lines in neighbouring cells are paired.
+over the characters. A key under which many lines lie is split further by how many
+letters of a few groups a line has: linked lines differ by at most EDITS in
+each of these sums, so only lines in neighbouring cells are paired.
 
 Lines are handled by the 64-bit hash of their text, together with their
 length in every key; texts are fetched for candidates only.
@@ -16,16 +16,21 @@ length in every key; texts are fetched for candidates only.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumewalk.llm.common import settled
 from plumewalk.llm.components import components
+from plumewalk.session import block_partitions
 
 EDITS = 2
 BAND = 2 * EDITS + 1
+#: Groups of letters whose sums split crowded keys; any groups give the same links.
+LETTERS = ("eo", "ia", "tn", "rs", "hl")
 
 
 def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
@@ -44,45 +49,62 @@ def _key(length: Column, i: int, text: Column) -> Column:
     return F.xxhash64(length.cast("int"), F.lit(i), text)
 
 
-def index_keys(lines: DataFrame) -> DataFrame:
-    """(key, id): one key for each segment of each line."""
+def index_keys(lines: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(key, id, ``carry``): one key for each segment of each line."""
     n = F.length("line")
     ends = segment_ends(n)
     keys = [_key(n, i, F.substring(F.col("line"), ends[i] + 1, ends[i + 1] - ends[i])) for i in range(EDITS + 1)]
-    return lines.select("id", F.explode(F.array(*keys)).alias("key"))
+    return lines.select("id", *carry, F.explode(F.array(*keys)).alias("key"))
 
 
-def probe_keys(lines: DataFrame) -> DataFrame:
-    """(key, id, same): substrings that an indexed line of equal (``same``) or smaller length may share.
+def probe_keys(lines: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(key, id, same, ``carry``): substrings that an indexed line of equal (``same``) or smaller length may share.
 
     For segment i at start p in a line shorter by d, an alignment with at most
     EDITS edits puts it at p - i .. p + i (edits before it) and at
     p + d - (EDITS - i) .. p + d + (EDITS - i) (edits after it), i from 0.
     """
     n = F.length("line")
-    out = []
+    out, equal = [], 0
     for d in range(EDITS + 1):
         ends = segment_ends(n - d)
         for i in range(EDITS + 1):
             lo, hi = max(-i, d - (EDITS - i)), min(i, d + (EDITS - i))
             for shift in range(lo, hi + 1):
                 start, size = ends[i] + shift, ends[i + 1] - ends[i]
-                fits = (start >= 0) & (start + size <= n)
-                out.append(F.when(fits, F.struct(_key(n - d, i, F.substring(F.col("line"), start + 1, size)).alias("key"), F.lit(d == 0).alias("same"))))
-    found = lines.select("id", F.explode(F.array(*out)).alias("p"))
-    return found.where("p is not null").select("id", "p.key", "p.same")
+                out.append(F.when((start >= 0) & (start + size <= n), _key(n - d, i, F.substring(F.col("line"), start + 1, size))))
+                equal += d == 0
+    found = lines.select("id", *carry, F.posexplode(F.array(*out)).alias("nth", "key"))
+    return found.where("key is not null").select("id", *carry, "key", (F.col("nth") < equal).alias("same"))
+
+
+def characters(text: Column) -> Column:
+    """The code points of a text."""
+    return F.transform(F.split(text, ""), F.ascii)
+
+
+def bag(chars: Column, classes: int = 16) -> Column:
+    """How many characters of a text fall into each class of code points."""
+    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.size(F.filter(chars, lambda c: c % classes == k)))
+
+
+def bags_allow(a: Column, b: Column) -> Column:
+    """False if the bags of two texts alone show more than EDITS edits: an edit adds one character at most and takes one at most."""
+    gap = F.zip_with(a, b, lambda x, y: x - y)
+    over = lambda sign: F.aggregate(gap, F.lit(0), lambda acc, x: acc + F.greatest(sign * x, F.lit(0))) <= EDITS
+    return over(1) & over(-1)
 
 
 def within_edits(a: Column, b: Column) -> Column:
-    """True if two texts are within EDITS edits of each other; banded bit-parallel distance over the characters of the longer text.
+    """True if two texts, given as ``characters`` in columns of their own, are within EDITS edits: banded bit-parallel distance.
 
     The band holds the cells next to the diagonal as bits: vertical and
     horizontal differences of +1 and -1 move from column to column by a few
     operations on whole numbers. Past the limit the fold does no more work.
     """
-    longer, shorter = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
-    p, t = F.split(longer, ""), F.split(shorter, "")
-    m, n = F.length(longer), F.length(shorter)
+    long_first = F.size(a) >= F.size(b)
+    p, t = F.when(long_first, a).otherwise(b), F.when(long_first, b).otherwise(a)
+    m, n = F.size(p), F.size(t)
     full = (1 << BAND) - 1
 
     def flip(x: Column) -> Column:
@@ -120,7 +142,7 @@ def within_edits(a: Column, b: Column) -> Column:
         lambda acc, j: F.when(hopeless(acc), acc).otherwise(F.element_at(F.transform(F.array(step(acc, j)), lambda mid: settle(mid, j)), 1)),
         lambda acc: acc["score"] <= EDITS,
     )
-    return F.when(m - n > EDITS, F.lit(False)).when(n <= EDITS, F.levenshtein(a, b) <= EDITS).otherwise(folded)
+    return F.when(m - n > EDITS, F.lit(False)).when(m <= EDITS, F.lit(True)).otherwise(folded)
 
 
 def _pairs(probes: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
@@ -131,46 +153,43 @@ def _pairs(probes: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _fetch(lines: DataFrame, ids: DataFrame, small: int = 500_000) -> DataFrame:
-    """(id, line) of the wanted ids; the ids are sent to the lines while their number is small, else both are joined by shuffle."""
+    """(id, chars) of the wanted ids; the ids are sent to the lines while their number is small, else both are joined by shuffle."""
     wanted = settled(ids.select("id").distinct())
     few = wanted.count() <= small
-    return settled(lines.select("id", "line").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
-
-
-def _dense_pairs(lines: DataFrame, probes: DataFrame, index: DataFrame, dense: DataFrame) -> DataFrame:
-    """Candidate pairs under dense keys: distances to three pivots of the key, in cells of EDITS + 1, must be equal or neighbours."""
-    own, ask = settled(index.join(dense, "key").distinct()), settled(probes.join(dense, "key").distinct())
-    pivots = own.groupBy("key").agg(F.min("id").alias("p0"), F.max("id").alias("p1"), F.min_by("id", F.xxhash64("id")).alias("p2"))
-    texts = _fetch(lines, own.select("id").union(ask.select("id")))
-    members = own.select("key", "id").union(ask.select("key", "id")).distinct().join(texts, "id")
-    for k in range(3):
-        pivot = pivots.join(texts.select(F.col("id").alias(f"p{k}"), F.col("line").alias(f"_t{k}")), f"p{k}").select("key", f"_t{k}")
-        members = members.join(pivot, "key")
-    cells = settled(members.select("key", "id", *[F.levenshtein("line", f"_t{k}").alias(f"d{k}") for k in range(3)]))
-    cell = lambda d: F.floor(d / (EDITS + 1)).cast("int")
-    at = own.join(cells, ["key", "id"]).select("key", "id", *[cell(F.col(f"d{k}")).alias(f"c{k}") for k in range(3)])
-    near = ask.join(cells, ["key", "id"])
-    for k in range(3):
-        around = F.array_distinct(F.array(cell(F.col(f"d{k}") - EDITS), cell(F.col(f"d{k}") + EDITS)))
-        near = near.withColumn(f"c{k}", F.explode(around))
-    return _pairs(near.select("key", "id", "same", "c0", "c1", "c2"), at, ["key", "c0", "c1", "c2"])
-
-
-def edit_links(lines: DataFrame, dense: int = 48) -> DataFrame:
-    """Links (a, b) of distinct lines (id, line, repeats allowed) within EDITS edits. Keys with more than ``dense`` index rows go by pivots."""
-    index, probes = index_keys(lines), probe_keys(lines)
-    crowded = settled(index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where((F.col("n") > dense) & (F.col("lo") != F.col("hi"))).select("key"))
+    return settled(
+        lines.select("id", "line").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")).select("id", characters(F.col("line")).alias("chars"))
+    )
+
+
+def edit_links(lines: DataFrame, dense: int = 8) -> DataFrame:
+    """Links (a, b) of distinct lines (id, line, repeats allowed) within EDITS edits.
+
+    Keys with more than ``dense`` lines are joined with the cells of the
+    lines' letter sums: an edit changes a sum by one at most, so a line asks
+    for the two cells of BAND sums, at most, that linked lines can be in.
+    """
+    # by key first: one exchange serves the removal of repeats, the counts and the join
+    index, probes = index_keys(lines).repartition("key").distinct(), probe_keys(lines)
+    crowded = settled(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("key", F.lit(True).alias("crowded")))
     several = crowded.count()
     if several:
         known = F.broadcast(crowded) if several <= 200_000 else crowded
-        found = _pairs(probes.join(known, "key", "left_anti").distinct(), index.join(known, "key", "left_anti").distinct(), ["key"])
-        found = found.union(_dense_pairs(lines, probes, index, known)).distinct()
-    else:
-        found = _pairs(probes.distinct(), index.distinct(), ["key"])
+        summed = lines.select("id", "line", *[(F.length("line") - F.length(F.translate("line", g, ""))).alias(f"_s{k}") for k, g in enumerate(LETTERS)])
+        sums = [f"_s{k}" for k in range(len(LETTERS))]
+        cell = lambda c, shift: F.floor((F.col(c) + shift) / BAND).cast("int")
+        around = [F.xxhash64("key", *[cell(c, sign * EDITS) for c, sign in zip(sums, signs, strict=True)]) for signs in product((-1, 1), repeat=len(sums))]
+        own = F.when(F.col("crowded"), F.xxhash64("key", *[cell(c, 0) for c in sums])).otherwise(F.col("key"))
+        asked = F.when(F.col("crowded"), F.array_distinct(F.array(*around))).otherwise(F.array("key"))
+        index = index_keys(summed, sums).join(known, "key", "left").select(own.alias("key"), "id").repartition("key").distinct()
+        probes = probe_keys(summed, sums).join(known, "key", "left").select("id", "same", F.explode(asked).alias("key"))
+    found = _pairs(probes, index, ["key"])
     found = settled(found)
     texts = _fetch(lines, found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))))
-    both = found.join(texts.select(F.col("id").alias("a"), F.col("line").alias("_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("_b")), "b")
-    return settled(both.where(within_edits(F.col("_a"), F.col("_b"))).select("a", "b"))
+    texts = settled(texts.select("id", "chars", bag(F.col("chars")).alias("bag")))
+    left, right = (texts.select(F.col("id").alias(c), F.col("chars").alias(f"_{c}"), F.col("bag").alias(f"_bag_{c}")) for c in ("a", "b"))
+    both = found.repartition(block_partitions(lines.sparkSession, found.count(), 500)).join(left, "a").join(right, "b")
+    near = F.when(bags_allow(F.col("_bag_a"), F.col("_bag_b")), within_edits(F.col("_a"), F.col("_b"))).otherwise(F.lit(False))
+    return settled(both.where(near).select("a", "b"))
 
 
 def repeated_lines(docs: DataFrame, least_chars: int = 32) -> DataFrame:

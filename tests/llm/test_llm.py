@@ -368,7 +368,7 @@ def test_language_model_sums_to_one_and_matches_counts(spark, odd_rows):
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
     # what may follow a state: its arcs, and the failure arc to all words, known or spelt
     for state, arcs in list(model.pair_arcs.items())[:20]:
-        root = sum(10 ** model.root(w, c[w]) for w in c if w not in arcs)
+        root = sum(10 ** model.root(w, c[w]) for w in c if w.encode() not in arcs)
         known = sum(10**x for x in arcs.values()) + 10 ** model.pair_fail[state] * root
         assert 0.5 < known <= 1.0 + 1e-6, state
     for state, arcs in list(model.spell_arcs.items())[:200]:
