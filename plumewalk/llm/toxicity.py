@@ -92,12 +92,13 @@ class Triples:
         """Normalised image of each word times a table over triples."""
         return sum((np.bincount(o, table[t], self.n) * w for t, o, w in self.parts), np.zeros(self.n)) / self.norm
 
-    def image(self) -> np.ndarray:
-        """Dense normalised images of a few words; shape (words, triples)."""
-        out = np.zeros((self.n, CODES**3), dtype=np.float32)
+    def image(self) -> tuple[np.ndarray, np.ndarray]:
+        """The triples that occur, sorted, and the normalised images of a few words over them; shape (words, triples)."""
+        used = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[t for t, _, _ in self.parts]]))
+        out = np.zeros((self.n, len(used)))
         for t, o, w in self.parts:
-            np.add.at(out, (o, t), np.float32(w))
-        return out / self.norm[:, None].astype(np.float32)
+            np.add.at(out, (o, np.searchsorted(used, t)), w)
+        return used, out / self.norm[:, None]
 
 
 @dataclass(frozen=True)
@@ -116,12 +117,18 @@ class Machine:
 
 def fit_machine(insults: list[str], insult_weight: np.ndarray, clean: list[str], clean_weight: np.ndarray, landmarks: list[str], cost: float = 3000.0) -> Machine:
     """Squared-hinge support vector machine on Nystroem features of the landmarks, by Newton steps."""
-    base = Triples(landmarks).image()
-    values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
+    used, base = Triples(landmarks).image()
+    values, vectors = np.linalg.eigh(base @ base.T)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # landmark kernel to the power of -1/2
     triples = Triples(insults + clean)
-    k = np.stack([triples.dot(base[j].astype(np.float64)) for j in range(len(landmarks))], axis=1)
+
+    def spread(row: np.ndarray) -> np.ndarray:
+        table = np.zeros(CODES**3)
+        table[used] = row
+        return table
+
+    k = np.stack([triples.dot(spread(row)) for row in base], axis=1)
     x = np.concatenate([k @ root, np.ones((len(k), 1))], axis=1)
     y = np.concatenate([np.ones(len(insults)), -np.ones(len(clean))])
     weight = cost * np.concatenate([insult_weight / insult_weight.sum(), clean_weight / clean_weight.sum()])
@@ -137,7 +144,7 @@ def fit_machine(insults: list[str], insult_weight: np.ndarray, clean: list[str],
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return Machine((root @ w[:-1]) @ base.astype(np.float64), float(w[-1]))
+    return Machine(spread((root @ w[:-1]) @ base), float(w[-1]))
 
 
 NEVER = Machine(np.zeros(CODES**3), -1.0, 4.0, 0.0)
