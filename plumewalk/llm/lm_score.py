@@ -24,22 +24,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log10
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumewalk.llm.common import per_text
 from plumewalk.session import durable
 
 #: Marks inside the spelling automaton: before the first and after the last character of a word.
 FIRST, LAST = "\x02", "\x03"
 #: The token after the last word of a text; a word never holds a blank.
-STOP = " "
+STOP, END = " ", b" "
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of characters other than ASCII white space, A-Z in lower case."""
-    return [w.decode() for w in (text or "").encode().lower().split()]
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of characters other than ASCII white space, A-Z in lower case, as bytes: bytes.lower and bytes.split know ASCII only."""
+    return (text or "").encode().lower().split()
 
 
 def count_words(docs: DataFrame, most: int = 400_000) -> DataFrame:
@@ -131,8 +131,8 @@ class Automaton:
     spell_arcs: dict[str, dict[str, float]]
     spell_fail: dict[str, float]
     unseen: float
-    pair_arcs: dict[str, dict[str, float]] = field(default_factory=dict)
-    pair_fail: dict[str, float] = field(default_factory=dict)
+    pair_arcs: dict[bytes, dict[bytes, float]] = field(default_factory=dict)
+    pair_fail: dict[bytes, float] = field(default_factory=dict)
 
     def spell(self, word: str) -> float:
         """Log weight of spelling a word and its end: one traversal of the character states."""
@@ -158,27 +158,36 @@ class Automaton:
             return self.spell(word)
         below = self.discount * (self.vocabulary - 1) / self.tokens
         if word == STOP:
-            return log10(max(c - 0.0, 0.5) / self.tokens)
+            return log10(max(c, 0.5) / self.tokens)
         spelled = below * 10.0 ** self.spell(word) if below > 0 else 0.0
         return log10(max(c - self.discount, 0.0) / self.tokens + spelled + 1e-300)
 
-    def score(self, words: list[str], root: dict[str, float]) -> float:
-        """Log weight of a text: left to right, from state to state; ``root`` has the root weights of its words and of STOP."""
-        total, state = 0.0, STOP
-        arcs, fail = self.pair_arcs, self.pair_fail
-        for w in words:
-            own = arcs.get(state)
-            if own is None:
-                total += root[w]
-            elif w in own:
-                total += own[w]
-            else:
-                total += fail[state] + root[w]
-            state = w
-        own = arcs.get(state)
-        if own is None:
-            return total + root[STOP]
-        return total + (own[STOP] if STOP in own else fail[state] + root[STOP])
+    def score(self, words: list[bytes], root: dict[bytes, float]) -> float:
+        """Log weight of a text, left to right from state to state; ``root`` has the root weights of its words and of the end.
+
+        A word without an arc of its own from the state before takes the root's
+        arc; if that state has arcs at all, its failure weight comes on top.
+        """
+        total = sum(map(root.__getitem__, words)) + root[END]
+        states = map(self.pair_arcs.get, [END, *words])
+        for state, own, w in zip([END, *words], states, [*words, END], strict=True):
+            if own is not None:
+                arc = own.get(w)
+                total += self.pair_fail[state] if arc is None else arc - root[w]
+        return total
+
+
+class Weights(dict):
+    """Weights by word; what is absent is computed once by ``learn``, and noted."""
+
+    def __init__(self, known, learn):
+        super().__init__(known)
+        self.learn, self.absent = learn, set()
+
+    def __missing__(self, w: bytes) -> float:
+        self.absent.add(w)
+        self[w] = self.learn(w)
+        return self[w]
 
 
 def _spelling(grams: DataFrame, order: int, rarest: int) -> tuple[dict, dict, float]:
@@ -222,7 +231,7 @@ def _spelling(grams: DataFrame, order: int, rarest: int) -> tuple[dict, dict, fl
     return arcs, fail, unseen
 
 
-def fit_automaton(train: DataFrame, order: int = 5, rarest: int = 1_000_000, discount: float = 0.75) -> tuple[Automaton, DataFrame]:
+def fit_automaton(train: DataFrame, order: int = 5, rarest: int = 250_000, discount: float = 0.75) -> tuple[Automaton, DataFrame]:
     """(automaton, root arcs) learnt from all texts of ``train``; the root arcs are a table (word, c) in the shared folder."""
     counts = durable(count_words(train))
     row = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -241,17 +250,15 @@ def fit_automaton(train: DataFrame, order: int = 5, rarest: int = 1_000_000, dis
         whole = frequent[names[first]]
         below = {names[k]: roots[names[k]] for k, _ in found}
         free = max(1.0 - sum(below.values()), 1e-12)
-        # what discounting takes, and what goes to words that no kept pair leads to
-        rest = max((whole - sum(c for _, c in found) + discount * len(found)) / whole, 1e-9)
         lift = discount * len(found) / whole
         own = {names[k]: (c - discount) / whole + lift * below[names[k]] for k, c in found}
         rest = max(1.0 - sum(own.values()), 1e-9)
-        out.pair_arcs[names[first]] = {w: log10(p) for w, p in own.items()}
-        out.pair_fail[names[first]] = log10(rest / free)
+        out.pair_arcs[names[first].encode()] = {w.encode(): log10(p) for w, p in own.items()}
+        out.pair_fail[names[first].encode()] = log10(rest / free)
     return out, counts
 
 
-def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, block_chars: int = 8_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, block_chars: int = 12_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every whole text of ``docs``.
 
     Documents are dealt to blocks of about ``block_chars`` characters by a hash
@@ -275,29 +282,28 @@ def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, block_
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int32()), pa.array(list(words), pa.binary()).cast(pa.string())], ["block", "word"])
 
     wanted = dealt.mapInArrow(distinct, "block int, word string")  # all columns, so that both uses share one exchange
-    arcs = wanted.join(counts, "word").select("block", "word", "c")  # words that training lacks have no arc
     n, v, shared = automaton.tokens, automaton.vocabulary, docs.sparkSession.sparkContext.broadcast(automaton)
 
-    def score(texts: pa.Table, own: pa.Table) -> pa.Table:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # each word is spelt once, not once per block
         model = shared.value
-        c = dict(zip(own.column("word").to_pylist(), own.column("c").to_pylist(), strict=True))
-        base, root, out = {}, {}, {"doc_id": texts.column("doc_id"), "n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        floor = n + v + 1
+        for batch in batches:
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([model.root(w, c) for w, c in pairs], pa.float32())], ["word", "c", "root"])
 
-        def learn(w: str) -> None:
-            k = c.get(w, 0)
-            base[w] = log10((k + 1) / floor)
-            root[w] = model.root(w, k)
+    arcs = wanted.join(counts.select("word", "c").mapInArrow(weigh, "word string, c long, root float"), "word")  # words that training lacks have no arc
 
-        learn(STOP)
+    def score(texts: pa.Table, own: pa.Table) -> pa.Table:
+        model, floor = shared.value, n + v + 1
+        names = own.column("word").cast(pa.binary()).to_pylist()
+        base = Weights(zip(names, np.log10((own.column("c").to_numpy() + 1) / floor).tolist(), strict=True), lambda w: log10(1 / floor))
+        root = Weights(zip(names, own.column("root").to_numpy().astype(float).tolist(), strict=True), lambda w: model.root(w.decode(), 0))
+        out = {"doc_id": texts.column("doc_id"), "n_tokens": [], "n_known": [], "base_score": [], "score": []}
         for t in texts.column("text").to_pylist():
             words = words_of(t)
-            for w in words:
-                if w not in root:
-                    learn(w)
+            out["base_score"].append(sum(map(base.__getitem__, words)) + base[END])
             out["n_tokens"].append(len(words) + 1)
-            out["n_known"].append(sum(map(c.__contains__, words)) + (STOP in c))
-            out["base_score"].append(sum(map(base.__getitem__, words)) + base[STOP])
+            unknown = 0 if base.absent.isdisjoint(words) else sum(map(base.absent.__contains__, words))
+            out["n_known"].append(len(words) + 1 - unknown - (END in base.absent))
             out["score"].append(model.score(words, root))
         return pa.table(out)
 
