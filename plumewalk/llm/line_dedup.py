@@ -30,7 +30,7 @@ from plumewalk.session import block_partitions
 EDITS = 2
 BAND = 2 * EDITS + 1
 #: Groups of letters whose sums split crowded keys; any groups give the same links.
-LETTERS = ("eo", "ia", "tn", "rs", "hl")
+LETTERS = ("eo", "ia", "tn")
 
 
 def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
