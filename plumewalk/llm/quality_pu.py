@@ -41,7 +41,7 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(v, -40, 40)))
 
 
-def _train(z: np.ndarray, slope, hidden: int = 24, steps: int = 600, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> tuple:
+def _train(z: np.ndarray, slope, hidden: int = 24, steps: int = 600, rate: float = 0.02, decay: float = 2e-3, seed: int = 7) -> tuple:
     """Adam on full batches; ``slope`` gives the derivative of the risk by the outputs."""
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, z.shape[1] ** -0.5, (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
