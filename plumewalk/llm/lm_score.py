@@ -1,31 +1,34 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model has three levels. A state stands for a frequent word; its arcs are
-the frequent pairs that it starts. Its failure arc leads to the root, whose
-arcs are all training words. The root's failure arc leads to a spelling
-automaton over characters, whose states are character n-grams of the training
-words and whose failure arcs drop the first character. Every level is smoothed
-by absolute discounting, and what it takes from its arcs is the weight of the
+The model has three levels. A state stands for a training word; its arcs are
+all pairs that it starts. Its failure arc leads to the root, whose arcs are
+all training words. The root's failure arc leads to a spelling automaton over
+characters, whose states are the character n-grams of the training words and
+whose failure arcs drop the first character. Every level is smoothed by
+absolute discounting, and what it takes from its arcs is the weight of the
 failure arc, so the weights of all words that may follow a state sum to one
 (spelling includes an end mark). One traversal from left to right carries the
 state and adds up log weights.
 
-Size decides where a level lives. A word or pair is frequent if it makes up at
-least one in ``rarest`` tokens, and an n-gram of characters is kept if it makes
-up at least one in ``rarest`` characters of the distinct words, so these
-levels have at most ``rarest`` entries per order at any corpus size and travel
-with the tasks. The arcs of the root grow with the corpus: they stay a Spark
-table, and each block of documents is sent just the arcs of its own words.
+All levels grow with the corpus and stay Spark tables: nothing is left out for
+being rare, so a text's weight does not depend on a threshold. Each block of
+documents is sent just the arcs of its own words and pairs, and each block of
+words just the arcs of its own n-grams. As every token is followed by one
+token, the counts of a state's pairs sum to the state's own count, and the
+failure weight is ``discount * pairs / count``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
+from functools import cached_property
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,10 @@ from plumewalk.session import durable
 FIRST, LAST = "\x02", "\x03"
 #: The token after the last word of a text; a word never holds a blank.
 STOP, END = " ", b" "
+#: Between the two words of a pair, where the empty word stands for STOP; a word never holds a tab.
+BETWEEN = "\t"
+#: Discount of the spelling counts.
+SPELLING = 0.7
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -42,59 +49,39 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def count_words(docs: DataFrame, most: int = 400_000) -> DataFrame:
-    """(word, c) over all texts and their ends. Counts are summed in each task, in tables of at most ``most`` words, before the shuffle."""
+def pairs_of(words: list[bytes]) -> Iterator[bytes]:
+    """Neighbouring tokens of a text from its start to its end, as texts with BETWEEN in the middle."""
+    return map(b"\t".join, zip([b"", *words], [*words, b""], strict=True))
+
+
+def _count(docs: DataFrame, name: str, tokens, most: int) -> DataFrame:
+    """(``name``, c) of what ``tokens`` makes of each text's words. Counts are summed in each task, in tables of about ``most`` entries, before the shuffle."""
     rows = docs.select(F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table(seen: dict[bytes, int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+        def table(seen: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], [name, "c"])
 
-        seen: dict[bytes, int] = {}
+        seen: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                for w in (t or "").encode().lower().split():
-                    seen[w] = seen.get(w, 0) + 1
-                seen[b" "] = seen.get(b" ", 0) + 1
+                seen.update(tokens((t or "").encode().lower().split()))
                 if len(seen) >= most:
                     yield table(seen)
-                    seen = {}
+                    seen = Counter()
         yield table(seen)
 
-    return rows.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(run, f"{name} string, c long").groupBy(name).agg(F.sum("c").alias("c"))
 
 
-def count_pairs(docs: DataFrame, frequent: dict[str, int], most: int = 400_000) -> DataFrame:
-    """(first, second, c) of neighbouring tokens that are both frequent, as numbers of ``frequent``; the start of a text counts as STOP."""
-    rows = docs.select(F.col("text").cast("string").alias("text"))
-    numbers = {w.encode(): k for w, k in frequent.items()}
-    width = len(frequent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table(seen: dict[int, int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["pair", "c"])
+def count_words(docs: DataFrame, most: int = 400_000) -> DataFrame:
+    """(word, c) over all texts and their ends."""
+    return _count(docs, "word", lambda words: [*words, b" "], most)
 
-        number = numbers.get
-        stop = number(b" ", -1)
-        seen: dict[int, int] = {}
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                before = stop
-                for k in [*map(number, (t or "").encode().lower().split()), stop]:
-                    if k is None:
-                        before = -1
-                        continue
-                    if before >= 0 and k >= 0:
-                        pair = before * width + k
-                        seen[pair] = seen.get(pair, 0) + 1
-                    before = k
-                if len(seen) >= most:
-                    yield table(seen)
-                    seen = {}
-        yield table(seen)
 
-    pairs = rows.mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
-    return pairs.select(F.floor(F.col("pair") / width).cast("long").alias("first"), (F.col("pair") % width).alias("second"), "c")
+def count_pairs(docs: DataFrame, most: int = 400_000) -> DataFrame:
+    """(pair, c) of all neighbouring tokens; the start of a text counts as STOP."""
+    return _count(docs, "pair", lambda words: map(b"\t".join, zip([b"", *words], [*words, b""], strict=True)), most)
 
 
 def count_spellings(words: DataFrame, order: int, most: int = 400_000) -> DataFrame:
@@ -120,19 +107,67 @@ def count_spellings(words: DataFrame, order: int, most: int = 400_000) -> DataFr
     return words.select("word").mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
+def _split(grams: Iterable[tuple[str, float | None, float | None]]) -> tuple[dict, dict]:
+    """Arcs by state and label, and failure weights by state, as base-10 logs, of rows (gram, arc, fail)."""
+    arcs: dict[str, dict[str, float]] = {"": {}}
+    fail: dict[str, float] = {}
+    for g, arc, down in grams:
+        if arc is not None:
+            arcs.setdefault(g[:-1], {})[g[-1]] = arc
+        if down is not None:
+            fail[g] = down
+    return arcs, fail
+
+
 @dataclass
 class Automaton:
-    """Arcs and failure weights as base-10 logs. ``arcs[state][label]`` is the log weight of an arc."""
+    """What is learnt: a few numbers, and the levels as tables.
+
+    ``grams`` is (gram, arc, fail): the log weight of the gram's last character
+    after the others, and the failure weight of the gram as a state. ``pairs``
+    is (pair, c). A task has no tables but sets ``spelling`` to the grams of
+    its block. The dictionaries read a whole table into memory; they are for
+    looking at small models.
+    """
 
     tokens: int
     vocabulary: int
     discount: float
     order: int
-    spell_arcs: dict[str, dict[str, float]]
-    spell_fail: dict[str, float]
     unseen: float
-    pair_arcs: dict[bytes, dict[bytes, float]] = field(default_factory=dict)
-    pair_fail: dict[bytes, float] = field(default_factory=dict)
+    grams: DataFrame | None = None
+    pairs: DataFrame | None = None
+    counts: DataFrame | None = None
+
+    @cached_property
+    def spelling(self) -> tuple[dict, dict]:
+        return _split(tuple(r) for r in self.grams.toLocalIterator())
+
+    @property
+    def spell_arcs(self) -> dict[str, dict[str, float]]:
+        return self.spelling[0]
+
+    @property
+    def spell_fail(self) -> dict[str, float]:
+        return self.spelling[1]
+
+    @cached_property
+    def pair_arcs(self) -> dict[bytes, dict[bytes, float]]:
+        counts = {r["word"]: r["c"] for r in self.counts.toLocalIterator()}
+        followers: dict[str, dict[str, int]] = {}
+        for r in self.pairs.toLocalIterator():
+            first, second = (w or STOP for w in r["pair"].split(BETWEEN))
+            followers.setdefault(first, {})[second] = r["c"]
+        out = {}
+        for first, found in followers.items():
+            fail = self.discount * len(found) / counts[first]
+            out[first.encode()] = {w.encode(): log10((c - self.discount) / counts[first] + fail * 10.0 ** self.root(w, counts[w])) for w, c in found.items()}
+        return out
+
+    @cached_property
+    def pair_fail(self) -> dict[bytes, float]:
+        counts = {r["word"].encode(): r["c"] for r in self.counts.toLocalIterator()}
+        return {first: log10(self.discount * len(found) / counts[first]) for first, found in self.pair_arcs.items()}
 
     def spell(self, word: str) -> float:
         """Log weight of spelling a word and its end: one traversal of the character states."""
@@ -162,111 +197,78 @@ class Automaton:
         spelled = below * 10.0 ** self.spell(word) if below > 0 else 0.0
         return log10(max(c - self.discount, 0.0) / self.tokens + spelled + 1e-300)
 
-    def score(self, words: list[bytes], root: dict[bytes, float]) -> float:
-        """Log weight of a text, left to right from state to state; ``root`` has the root weights of its words and of the end.
-
-        A word without an arc of its own from the state before takes the root's
-        arc; if that state has arcs at all, its failure weight comes on top.
-        """
-        total = sum(map(root.__getitem__, words)) + root[END]
-        states = map(self.pair_arcs.get, [END, *words])
-        for state, own, w in zip([END, *words], states, [*words, END], strict=True):
-            if own is not None:
-                arc = own.get(w)
-                total += self.pair_fail[state] if arc is None else arc - root[w]
-        return total
 
+def weigh_spellings(counted: DataFrame, order: int) -> tuple[DataFrame, float]:
+    """((gram, arc, fail), log weight of an unknown character) by absolute discounting over all n-grams, level by level.
 
-class Weights(dict):
-    """Weights by word; what is absent is computed once by ``learn``, and noted."""
-
-    def __init__(self, known, learn):
-        super().__init__(known)
-        self.learn, self.absent = learn, set()
-
-    def __missing__(self, w: bytes) -> float:
-        self.absent.add(w)
-        self[w] = self.learn(w)
-        return self[w]
-
-
-def _spelling(grams: DataFrame, order: int, rarest: int) -> tuple[dict, dict, float]:
-    """Arcs, failure weights and the weight of an unknown character, by absolute discounting over the kept n-grams."""
-    places = grams.where(F.length("gram") == 1).agg(F.sum("c")).first()[0] or 0
-    least = max(1, places // rarest)
-    kept = {r["gram"]: r["c"] for r in grams.where(F.col("c") >= least).toLocalIterator()}
-    follow: dict[str, dict[str, int]] = {}
-    for g, c in kept.items():
-        follow.setdefault(g[:-1], {})[g[-1]] = c
-    d, arcs, fail = 0.7, {}, {}
-    base = follow.get("", {})
-    total = sum(base.values()) + len(base) * d or 1.0
-    unseen = log10(d / total / 0x110000) if base else log10(1 / 0x110000)
-    arcs[""] = {x: log10(c / total) for x, c in base.items()}
-    for state in sorted(follow, key=len):
-        if not state:
-            continue
-        own = follow[state]
-        whole = sum(own.values())
-        lower = state[1:]
-        while lower and lower not in arcs:
-            lower = lower[1:]
-
-        def below(x: str, at: str = lower) -> float:
-            weight = 0.0
-            while x not in arcs[at]:
-                if not at:
-                    return 10.0 ** (weight + unseen)
-                weight += fail[at]
-                at = at[1:]
-                while at and at not in arcs:
-                    at = at[1:]
-            return 10.0 ** (weight + arcs[at][x])
-
-        share = d * len(own) / whole
-        arcs[state] = {x: log10((c - d) / whole + share * below(x)) for x, c in own.items()}
-        rest = 1.0 - sum(10.0**v for v in arcs[state].values())
-        free = 1.0 - sum(below(x) for x in own)
-        fail[state] = log10(max(rest, 1e-12) / max(free, 1e-12))
-    return arcs, fail, unseen
-
-
-def fit_automaton(train: DataFrame, order: int = 5, rarest: int = 250_000, discount: float = 0.75) -> tuple[Automaton, DataFrame]:
-    """(automaton, root arcs) learnt from all texts of ``train``; the root arcs are a table (word, c) in the shared folder."""
+    Every n-gram without its first character is an n-gram too, so one join with the level below finds what an arc adds to.
+    """
+    base = counted.where(F.length("gram") == 1)
+    row = base.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).first()
+    total = (row["c"] or 0) + row["n"] * SPELLING or 1.0
+    unseen = log10(SPELLING / total / 0x110000) if row["n"] else log10(1 / 0x110000)
+    level = base.select("gram", (F.col("c") / total).alias("p"))
+    arcs, states = level, None
+    for n in range(2, order + 1):
+        own = counted.where(F.length("gram") == n).select("gram", "c", F.substring("gram", 1, n - 1).alias("state"), F.substring("gram", 2, n - 1).alias("lower"))
+        share = own.groupBy("state").agg(F.sum("c").alias("whole"), (F.count(F.lit(1)) * SPELLING / F.sum("c")).alias("share"))
+        below = level.select(F.col("gram").alias("lower"), F.col("p").alias("below"))
+        level = durable(own.join(share, "state").join(below, "lower").select("gram", ((F.col("c") - SPELLING) / F.col("whole") + F.col("share") * F.col("below")).alias("p")))
+        arcs = arcs.unionByName(level)
+        fail = share.select(F.col("state").alias("gram"), F.log10("share").alias("fail"))
+        states = fail if states is None else states.unionByName(fail)
+    if states is None:
+        return durable(arcs.select("gram", F.log10("p").alias("arc"), F.lit(None).cast("double").alias("fail"))), unseen
+    return durable(arcs.select("gram", F.log10("p").alias("arc")).join(states, "gram", "full")), unseen
+
+
+def fit_automaton(train: DataFrame, order: int = 5, rarest: int | None = None, discount: float = 0.75) -> tuple[Automaton, DataFrame]:
+    """(automaton, root arcs) learnt from all texts of ``train``; the root arcs are a table (word, c) in the shared folder.
+
+    ``rarest`` has no effect: it bounded the pairs and n-grams that were kept, and all are kept now.
+    """
     counts = durable(count_words(train))
     row = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, vocabulary = int(row["n"] or 0), int(row["v"])
-    arcs, fail, unseen = _spelling(durable(count_spellings(counts.where(F.col("word") != STOP), order)), order, rarest)
-    out = Automaton(tokens, vocabulary, discount, order, arcs, fail, unseen)
-    least = max(2, tokens // rarest)
-    frequent = {r["word"]: r["c"] for r in counts.where(F.col("c") >= least).toLocalIterator()}
-    names = sorted(frequent)
-    followers: dict[int, list[tuple[int, int]]] = {}
-    if names:
-        for r in count_pairs(train, {w: k for k, w in enumerate(names)}).where(F.col("c") >= least).toLocalIterator():
-            followers.setdefault(r["first"], []).append((r["second"], r["c"]))
-    roots = {w: 10.0 ** out.root(w, c) for w, c in frequent.items()}
-    for first, found in followers.items():
-        whole = frequent[names[first]]
-        below = {names[k]: roots[names[k]] for k, _ in found}
-        free = max(1.0 - sum(below.values()), 1e-12)
-        lift = discount * len(found) / whole
-        own = {names[k]: (c - discount) / whole + lift * below[names[k]] for k, c in found}
-        rest = max(1.0 - sum(own.values()), 1e-9)
-        out.pair_arcs[names[first].encode()] = {w.encode(): log10(p) for w, p in own.items()}
-        out.pair_fail[names[first].encode()] = log10(rest / free)
-    return out, counts
-
-
-def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, block_chars: int = 12_000_000) -> DataFrame:
+    grams, unseen = weigh_spellings(durable(count_spellings(counts.where(F.col("word") != STOP), order)), order)
+    return Automaton(int(row["n"] or 0), int(row["v"]), discount, order, unseen, grams, durable(count_pairs(train)), counts), counts
+
+
+def spell_words(words: DataFrame, automaton: Automaton, block_words: int = 40_000) -> DataFrame:
+    """(word, c, n, root) of distinct ``words`` (word, c, n): the root weight of each, spelt in blocks that fetch the arcs of their own n-grams."""
+    words = durable(words)
+    blocks = max(1, -(-words.count() // block_words))
+    dealt = words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    order, bare = automaton.order, replace(automaton, grams=None, pairs=None, counts=None)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set[str]] = {}
+        for batch in batches:
+            for w, block in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                s, own = FIRST + w + LAST, seen.setdefault(block, set())
+                own.update(s[i : i + n] for n in range(1, order + 1) for i in range(len(s) - n + 1))
+        for block, grams in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int32()), pa.array(list(grams), pa.string())], ["block", "gram"])
+
+    arcs = dealt.mapInArrow(distinct, "block int, gram string").join(automaton.grams, "gram")
+
+    def weigh(own: pa.Table, grams: pa.Table) -> pa.Table:
+        model = replace(bare)
+        model.spelling = _split(zip(*(grams.column(c).to_pylist() for c in ("gram", "arc", "fail")), strict=True))
+        pairs = zip(own.column("word").to_pylist(), own.column("c").to_pylist(), strict=True)
+        return pa.table([own.column("word"), own.column("c"), own.column("n"), pa.array([model.root(w, c) for w, c in pairs], pa.float64())], ["word", "c", "n", "root"])
+
+    return dealt.groupBy("block").cogroup(arcs.groupBy("block")).applyInArrow(weigh, "word string, c long, n long, root double")
+
+
+def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, block_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every whole text of ``docs``.
 
     Documents are dealt to blocks of about ``block_chars`` characters by a hash
-    of id and text. Each block's distinct words fetch their counts in one join
-    (a word meets once per block, not once per token), and the block is then
-    scored in one traversal per text. Null and empty texts are one end token.
-    Repeated rows get equal results; other columns are not read; an empty
-    training corpus leaves spelling alone.
+    of id and text. Each block's distinct words and pairs fetch their counts in
+    one join (each meets once per block, not once per token), and the block is
+    then scored in one traversal per text. Null and empty texts are one end
+    token. Repeated rows get equal results; other columns are not read; an
+    empty training corpus leaves spelling alone.
     """
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_chars))
@@ -277,34 +279,43 @@ def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, block_
         seen: dict[int, set[bytes]] = {}
         for batch in batches:
             for block, t in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault(block, {b" "}).update((t or "").encode().lower().split())
-        for block, words in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int32()), pa.array(list(words), pa.binary()).cast(pa.string())], ["block", "word"])
-
-    wanted = dealt.mapInArrow(distinct, "block int, word string")  # all columns, so that both uses share one exchange
-    n, v, shared = automaton.tokens, automaton.vocabulary, docs.sparkSession.sparkContext.broadcast(automaton)
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # each word is spelt once, not once per block
-        model = shared.value
-        for batch in batches:
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([model.root(w, c) for w, c in pairs], pa.float32())], ["word", "c", "root"])
-
-    arcs = wanted.join(counts.select("word", "c").mapInArrow(weigh, "word string, c long, root float"), "word")  # words that training lacks have no arc
+                words, own = words_of(t), seen.setdefault(block, {END})
+                own.update(words)
+                own.update(pairs_of(words))
+        for block, keys in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(keys), pa.int32()), pa.array(list(keys), pa.binary()).cast(pa.string())], ["block", "key"])
+
+    wanted = dealt.mapInArrow(distinct, "block int, key string")  # all columns, so that both uses share one exchange
+    followers = automaton.pairs.groupBy(F.substring_index("pair", BETWEEN, 1).alias("_first")).agg(F.count(F.lit(1)).alias("n"))
+    followers = followers.select(F.when(F.col("_first") == "", STOP).otherwise(F.col("_first")).alias("word"), "n")
+    words = count_words(docs).select("word").join(counts, "word", "left").join(followers, "word", "left")
+    words = spell_words(words.select("word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("n", F.lit(0)).alias("n")), automaton)
+    known = words.withColumnRenamed("word", "key").unionByName(automaton.pairs.select(F.col("pair").alias("key"), "c"), allowMissingColumns=True)
+    arcs = wanted.join(known, "key")  # pairs that training lacks have no arc
+    floor, discount = automaton.tokens + automaton.vocabulary + 1, automaton.discount
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        model, floor = shared.value, n + v + 1
-        names = own.column("word").cast(pa.binary()).to_pylist()
-        base = Weights(zip(names, np.log10((own.column("c").to_numpy() + 1) / floor).tolist(), strict=True), lambda w: log10(1 / floor))
-        root = Weights(zip(names, own.column("root").to_numpy().astype(float).tolist(), strict=True), lambda w: model.root(w.decode(), 0))
+        is_word = own.column("root").is_valid()
+        pairs, own = own.filter(pc.invert(is_word)), own.filter(is_word)
+        pairs = dict(zip(pairs.column("key").cast(pa.binary()).to_pylist(), pairs.column("c").to_pylist(), strict=True))
+        number = {w: k for k, w in enumerate(own.column("key").cast(pa.binary()).to_pylist())}
+        c, n = (own.column(x).to_numpy().astype(float) for x in ("c", "n"))
+        base, root = np.log10((c + 1) / floor), own.column("root").to_numpy()
+        weight, whole = 10.0**root, np.maximum(c, 1.0)
+        fail = discount * n / whole
         out = {"doc_id": texts.column("doc_id"), "n_tokens": [], "n_known": [], "base_score": [], "score": []}
         for t in texts.column("text").to_pylist():
             words = words_of(t)
-            out["base_score"].append(sum(map(base.__getitem__, words)) + base[END])
-            out["n_tokens"].append(len(words) + 1)
-            unknown = 0 if base.absent.isdisjoint(words) else sum(map(base.absent.__contains__, words))
-            out["n_known"].append(len(words) + 1 - unknown - (END in base.absent))
-            out["score"].append(model.score(words, root))
+            at = np.fromiter(map(number.__getitem__, [END, *words, END]), np.int64, len(words) + 2)
+            before, at = at[:-1], at[1:]
+            seen = np.fromiter((pairs.get(p, 0) for p in pairs_of(words)), np.float64, len(words) + 1)
+            arc = np.maximum(seen - discount, 0.0) / whole[before] + fail[before] * weight[at]
+            out["n_tokens"].append(len(at))
+            out["n_known"].append(int((c[at] > 0).sum()))
+            out["base_score"].append(float(base[at].sum()))
+            # a word without a state of its own, or a weight too small for a float, is added up in logs
+            plain = root[at] + np.log10(fail[before], where=fail[before] > 0, out=np.zeros(len(at)))
+            out["score"].append(float(np.where((fail[before] > 0) & (arc > 0), np.log10(np.maximum(arc, 1e-300)), plain).sum()))
         return pa.table(out)
 
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double"

@@ -444,3 +444,50 @@ def test_secret_scan(spark):
     assert secret_scan.scan(frame(spark, rows).limit(0)).count() == 0
     once = [r["candidate"] for r in got if r["doc_id"] == 200]
     assert once == [planted.split("'")[1]]
+
+
+def test_language_model_keeps_rare_pairs_at_any_size(spark):
+    """All pairs have arcs, whatever ``rarest`` was, and the score is that of the formulas with all counts."""
+    rng = random.Random(17)
+    rows = [(i, words(rng, 40), None, None) for i in range(60)] + [(90, "Rare pair", None, None), (91, "", None, None), (92, None, None, None)]
+    texts = [WORD.findall(lower(t or "")) for _, t, _, _ in rows]
+    c, pairs, grams = Counter(), Counter(), Counter()
+    for t in texts:
+        c.update([*t, " "])
+        pairs.update(zip([" ", *t], [*t, " "], strict=True))
+    for w in c.keys() - {" "}:
+        s = f"\x02{w}\x03"
+        grams.update(s[start:end] for end in range(2, len(s) + 1) for start in range(max(0, end - 5), end))
+    follow, base, n = defaultdict(list), sum(k for g, k in grams.items() if len(g) == 1), sum(c.values())
+    for g, k in grams.items():
+        follow[g[:-1]].append(k)
+    total = base + 0.7 * len(follow[""])
+
+    def arc(g):  # interpolated with the level below, whether the gram is known or not
+        if len(g) == 1:
+            return grams[g] / total if g in grams else 0.7 / total / 0x110000
+        own = follow.get(g[:-1])
+        return arc(g[1:]) if not own else max(grams[g] - 0.7, 0) / sum(own) + 0.7 * len(own) / sum(own) * arc(g[1:])
+
+    def root(w):
+        if w == " ":
+            return c[w] / n
+        s = f"\x02{w}\x03"
+        spelt = math.prod(arc(s[max(0, i - 4) : i + 1]) for i in range(1, len(s)))
+        return max(c[w] - 0.75, 0) / n + 0.75 * (len(c) - 1) / n * spelt
+
+    followers = Counter(a for a, _ in pairs)
+
+    def weight(a, b):
+        return root(b) if not c[a] else max(pairs[a, b] - 0.75, 0) / c[a] + 0.75 * followers[a] / c[a] * root(b)
+
+    odd = [(100, "never seen wörds ñ the", None, None), (101, "rare pair", None, None)]
+    docs = frame(spark, rows)
+    for rarest in (10, 1_000_000):
+        model, counts = lm_score.fit_automaton(docs, rarest=rarest)
+        assert {(a.decode(), b.decode()) for a, arcs in model.pair_arcs.items() for b in arcs} == set(pairs)
+        assert sum(map(len, model.spell_arcs.values())) == len(grams)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(frame(spark, rows + odd), model, counts, block_chars=2_000).collect()}
+    for d, t, _, _ in rows + odd:
+        tokens = [" ", *WORD.findall(lower(t or "")), " "]
+        assert math.isclose(got[d], sum(math.log10(weight(a, b)) for a, b in zip(tokens, tokens[1:], strict=False)), rel_tol=1e-7), d
