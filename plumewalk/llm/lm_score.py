@@ -260,7 +260,7 @@ def spell_words(words: DataFrame, automaton: Automaton, block_words: int = 40_00
     return dealt.groupBy("block").cogroup(arcs.groupBy("block")).applyInArrow(weigh, "word string, c long, n long, root double")
 
 
-def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, block_chars: int = 4_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, block_chars: int = 12_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every whole text of ``docs``.
 
     Documents are dealt to blocks of about ``block_chars`` characters by a hash
@@ -276,14 +276,23 @@ def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, block_
     dealt = dealt.repartition(blocks, "block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(block: int, keys: set[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(keys), pa.int32()), pa.array(list(keys), pa.binary()).cast(pa.string())], ["block", "key"])
+
         seen: dict[int, set[bytes]] = {}
+        pairs: dict[int, set[bytes]] = {}
         for batch in batches:
             for block, t in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, own = words_of(t), seen.setdefault(block, {END})
-                own.update(words)
+                words = words_of(t)
+                seen.setdefault(block, {END}).update(words)
+                own = pairs.setdefault(block, set())
                 own.update(pairs_of(words))
-        for block, keys in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(keys), pa.int32()), pa.array(list(keys), pa.binary()).cast(pa.string())], ["block", "key"])
+                if len(own) >= 500_000:  # a pair that comes twice does no harm below
+                    yield table(block, own)
+                    own.clear()
+        for found in (seen, pairs):
+            for block, keys in found.items():
+                yield table(block, keys)
 
     wanted = dealt.mapInArrow(distinct, "block int, key string")  # all columns, so that both uses share one exchange
     followers = automaton.pairs.groupBy(F.substring_index("pair", BETWEEN, 1).alias("_first")).agg(F.count(F.lit(1)).alias("n"))
@@ -291,14 +300,20 @@ def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, block_
     words = count_words(docs).select("word").join(counts, "word", "left").join(followers, "word", "left")
     words = spell_words(words.select("word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("n", F.lit(0)).alias("n")), automaton)
     known = words.withColumnRenamed("word", "key").unionByName(automaton.pairs.select(F.col("pair").alias("key"), "c"), allowMissingColumns=True)
-    arcs = wanted.join(known, "key")  # pairs that training lacks have no arc
+    arcs = wanted.join(known.hint("shuffle_hash"), "key")  # pairs that training lacks have no arc
     floor, discount = automaton.tokens + automaton.vocabulary + 1, automaton.discount
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.combine_chunks()
         is_word = own.column("root").is_valid()
         pairs, own = own.filter(pc.invert(is_word)), own.filter(is_word)
-        pairs = dict(zip(pairs.column("key").cast(pa.binary()).to_pylist(), pairs.column("c").to_pylist(), strict=True))
-        number = {w: k for k, w in enumerate(own.column("key").cast(pa.binary()).to_pylist())}
+        names = own.column("key").combine_chunks()
+        number = {w: k for k, w in enumerate(names.cast(pa.binary()).to_pylist())}
+        # a pair as one number made of its words' numbers, in order, with a last one that no pair has
+        ends = pc.index_in(pc.list_flatten(pc.split_pattern(pairs.column("key"), BETWEEN)), pc.if_else(pc.equal(names, STOP), "", names)).to_numpy().astype(np.int64)
+        codes = ends[0::2] * len(number) + ends[1::2]
+        order = np.argsort(codes)
+        codes, times = np.append(codes[order], np.iinfo(np.int64).max), np.append(pairs.column("c").to_numpy()[order], 0)
         c, n = (own.column(x).to_numpy().astype(float) for x in ("c", "n"))
         base, root = np.log10((c + 1) / floor), own.column("root").to_numpy()
         weight, whole = 10.0**root, np.maximum(c, 1.0)
@@ -308,7 +323,9 @@ def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, block_
             words = words_of(t)
             at = np.fromiter(map(number.__getitem__, [END, *words, END]), np.int64, len(words) + 2)
             before, at = at[:-1], at[1:]
-            seen = np.fromiter((pairs.get(p, 0) for p in pairs_of(words)), np.float64, len(words) + 1)
+            pair = before * len(number) + at
+            found = np.searchsorted(codes, pair)
+            seen = np.where(codes[found] == pair, times[found], 0)
             arc = np.maximum(seen - discount, 0.0) / whole[before] + fail[before] * weight[at]
             out["n_tokens"].append(len(at))
             out["n_known"].append(int((c[at] > 0).sum()))
