@@ -29,15 +29,18 @@ from plumewalk.session import block_partitions
 
 EDITS = 2
 BAND = 2 * EDITS + 1
+#: From this length on lines are judged by edits in the queries: each segment of the shortest ones has five characters, and two edits are an eighth of them. Shorter ones are judged by equality.
+LEAST_EDITED = 16
 #: Groups of letters whose sums split crowded keys; any groups give the same links.
 LETTERS = ("eo", "ia", "tn")
 
 
-def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(doc_id, row_key, line_no, line) for lines of at least ``least_chars`` characters; ``row_key`` is a hash of id and text."""
+def lines_of(docs: DataFrame, least_chars: int, exact_chars: int | None = None) -> DataFrame:
+    """(doc_id, row_key, line_no, line) for lines of at least ``least_chars`` characters, and non-blank ones of ``exact_chars``; ``row_key`` is a hash of id and text."""
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row_key"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    return rows.where(F.length("line") >= least_chars)
+    wanted = F.length("line") >= least_chars
+    return rows.where(wanted if exact_chars is None else wanted | ((F.length("line") >= exact_chars) & F.col("line").rlike(r"\S")))
 
 
 def segment_ends(length: Column) -> list[Column]:
@@ -192,17 +195,18 @@ def edit_links(lines: DataFrame, dense: int = 8) -> DataFrame:
     return settled(both.where(near).select("a", "b"))
 
 
-def repeated_lines(docs: DataFrame, least_chars: int = 32) -> DataFrame:
+def repeated_lines(docs: DataFrame, least_chars: int = 32, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, row_key, removed): for each row that repeats lines of earlier ones, the numbers of those lines, from 0.
 
     Lines that are equal or linked, directly or over others, form a class. The
     class keeps its first line by (doc_id, null last; row_key; line number);
     every other occurrence is to be removed. Lines of fewer than
-    ``least_chars`` characters (blank ones too) are never removed. Rows that
-    repeat both doc_id and text count as one document.
+    ``least_chars`` characters are linked to equal lines only, from
+    ``exact_chars`` on, and never where that is None; blank ones among them are
+    never removed. Rows that repeat both doc_id and text count as one document.
     """
-    lines = lines_of(docs, least_chars).withColumn("id", F.xxhash64("line"))
-    links = edit_links(lines.select("id", "line"))
+    lines = lines_of(docs, least_chars, exact_chars).withColumn("id", F.xxhash64("line"))
+    links = edit_links(lines.where(F.length("line") >= least_chars).select("id", "line"))
     classes = components(links)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "line_no")
     places = lines.select("id", place.alias("place"))
@@ -215,21 +219,21 @@ def repeated_lines(docs: DataFrame, least_chars: int = 32) -> DataFrame:
     return extra.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.row_key").alias("row_key")).agg(F.array_sort(F.collect_set("place.line_no")).alias("removed"))
 
 
-def line_report(docs: DataFrame, least_chars: int = 32) -> DataFrame:
+def line_report(docs: DataFrame, least_chars: int = 32, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) for every row of ``docs``; null texts have no line, the empty text one."""
-    found = settled(repeated_lines(docs, least_chars))
+    found = settled(repeated_lines(docs, least_chars, exact_chars))
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row_key"), F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).alias("n_lines"))
     joined = rows.join(found.withColumnRenamed("doc_id", "_id"), (rows["row_key"] == found["row_key"]) & rows["doc_id"].eqNullSafe(F.col("_id")), "left")
     return joined.select(rows["doc_id"], F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, least_chars: int = 32) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least_chars: int = 32, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with repeated lines cut from ``text`` and ``n_chars`` (where there is such a column) counted anew.
 
     No row goes; a text of which nothing is left becomes empty. Other texts are unchanged.
     """
-    found = settled(repeated_lines(docs, least_chars)).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row_key"), F.col("removed").alias("_removed"))
+    found = settled(repeated_lines(docs, least_chars, exact_chars)).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row_key"), F.col("removed").alias("_removed"))
     key = F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
     joined = docs.join(found, (key == F.col("_row_key")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left")
     parts = F.split(docs["text"].cast("string"), "\n", -1)

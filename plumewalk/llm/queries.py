@@ -20,7 +20,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(documents(spark, sf_dir))
+    return line_dedup.line_report(documents(spark, sf_dir), line_dedup.LEAST_EDITED, exact_chars=1)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -491,3 +491,17 @@ def test_language_model_keeps_rare_pairs_at_any_size(spark):
     for d, t, _, _ in rows + odd:
         tokens = [" ", *WORD.findall(lower(t or "")), " "]
         assert math.isclose(got[d], sum(math.log10(weight(a, b)) for a, b in zip(tokens, tokens[1:], strict=False)), rel_tol=1e-7), d
+
+
+def test_line_dedup_takes_short_repeats(spark, tmp_path):
+    """As the query and the stage call it: exact repeats of any non-blank line, edits from LEAST_EDITED characters on."""
+    import corpus_pipeline
+    from plumewalk.llm import queries
+
+    rows = [(1, "All rights reserved.\nok\nLine 1\n\n  \nReleased under the MIT License.", None, "a"), (2, "ok\nAll rights reserved!\nLine 2\n\n  \nReleased under the MIT License.", None, "a"), (3, None, None, "a")]
+    docs = frame(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: (6, []), 2: (6, [0, 1, 5]), 3: (0, [])}
+    assert {r["doc_id"]: (r["n_lines"], r["removed"]) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()} == want
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert left == {1: rows[0][1], 2: "Line 2\n\n  ", 3: None}
