@@ -1,7 +1,7 @@
 """Secret scan: candidate strings from whole texts, judged by a random forest; DataFrame functions and Spark ML only.
 
-Candidates are long runs of key characters with a digit, taken with the words
-around them. The forest learns from labelled findings which of them are real:
+Candidates are long runs of key characters with a digit, and all values that
+are assigned to a credential's name, taken with the words around them. The forest learns from labelled findings which of them are real:
 it sees a candidate's length, character classes and their transitions, how much
 of it a dictionary covers, whether it lies in a path or address, and whether
 the word before it names a credential.
@@ -18,15 +18,29 @@ from pyspark.sql import functions as F
 from plumewalk.llm.language_id import read_pieces
 from plumewalk.session import durable
 
-#: A run of at least 16 key characters with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
-
 #: Characters of context that are kept before and after a candidate, within its line.
 BEFORE, AFTER = 40, 20
 
 #: Words that name a credential; fixed values.
 CREDENTIAL = "api|apikey|auth|authorization|bearer|credential|key|passphrase|passwd|password|private|pwd|secret|token"
 
+#: A run of at least 16 key characters with a digit among them; '=' belongs to it as padding at its end only.
+RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
+
+#: The end of a credential's name: a word of its own, after another sign than a letter, or a capitalised one after a small letter.
+NAMED = rf"(?:^|[^A-Za-z]|[a-z](?=[A-Z]))(?i:{CREDENTIAL})s?"
+
+#: What stands between a name and the value that is assigned to it.
+ASSIGNS = r"(?::=|=>|[:=])[ \t]{0,8}[\"']?"
+
+#: A value of at least 6 characters that is assigned to a credential's name: up to its closing quote (unless that is more than one word and has a long run inside), or up to a separator.
+ASSIGNED = (
+    rf"(?<=[ \t\"'=:>])(?=[^\s\"'])(?<={ASSIGNS})(?<={NAMED}[0-9]{{0,3}}[\"']?[ \t]{{0,8}}{ASSIGNS})"
+    r"(?:(?<=\")(?![^\"\n]*[A-Za-z0-9_+/-]{16})[^\"\n]{6,}+(?=\")|(?<=')(?![^'\n]*[A-Za-z0-9_+/-]{16})[^'\n]{6,}+(?=')|[^\s\"'`,;&<>()\[\]{}]{6,}+)"
+)
+
+CANDIDATE = f"{ASSIGNED}|{RUN}"
+
 FEATURES = ("length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "hex", "dictionary", "slashes", "in_path", "names_credential", "assigned", "quoted", "word_after")
 
 
@@ -35,9 +49,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text.alias("_text"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_found")).where(F.size("_found") > 0)
     apart = rows.select("doc_id", "_found", F.split("_text", CANDIDATE, -1).alias("_rest"))  # what lies between the candidates
-    each = apart.select("doc_id", "_rest", F.posexplode("_found").alias("nth", "candidate"))
-    before = F.substring_index(F.right(F.get("_rest", F.col("nth")), F.lit(BEFORE)), "\n", -1)
-    after = F.substring_index(F.left(F.get("_rest", F.col("nth") + 1), F.lit(AFTER)), "\n", 1)
+    each = apart.select("doc_id", "_rest", "_found", F.posexplode("_found").alias("nth", "candidate"))
+    near = lambda k: F.coalesce(F.get("_found", k), F.lit(""))  # noqa: E731  # a name may be a candidate itself
+    before = F.substring_index(F.right(F.concat(near(F.col("nth") - 1), F.get("_rest", F.col("nth"))), F.lit(BEFORE)), "\n", -1)
+    after = F.substring_index(F.left(F.concat(F.get("_rest", F.col("nth") + 1), near(F.col("nth") + 1)), F.lit(AFTER)), "\n", 1)
     return each.select("doc_id", "nth", before.alias("before"), "candidate", after.alias("after"))
 
 
@@ -58,13 +73,13 @@ def with_features(found: DataFrame, grams: list[str]) -> DataFrame:
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
     listed = ", ".join(f"'{g}'" for g in grams) or "''"
     known = F.expr(f"size(filter(transform(sequence(1, greatest(length(candidate) - 3, 1)), i -> substring(lower(candidate), i, 4)), g -> g in ({listed})))")
-    word = F.lower(F.regexp_extract("before", r"([A-Za-z_]+)[^A-Za-z_]*$", 1))
+    word = F.regexp_extract("before", r"([A-Za-z_]+)[^A-Za-z_]*$", 1)
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     columns: dict[str, Column] = {
         "length": n, "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"), "others": share("[^A-Za-z0-9]"),
         "transitions": share("[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])"), "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
         "hex": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")), "dictionary": known / n, "slashes": share("/"), "in_path": flag(F.col("before").rlike(r"[A-Za-z0-9:]/+$|https?:|www\.|@\S*$")),
-        "names_credential": flag(word.rlike(f"(^|_)({CREDENTIAL})s?$")), "assigned": flag(F.col("before").rlike("[=:]\\s*[\"']?$")), "quoted": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")),
+        "names_credential": flag(word.rlike(f"{NAMED}$")), "assigned": flag(F.col("before").rlike("[=:]>?\\s*[\"']?$")), "quoted": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")),
         "word_after": F.length(F.regexp_extract("after", "^[^A-Za-z]*([A-Za-z]*)", 1)),
     }
     return found.select("*", *[columns[f].cast("double").alias(f) for f in FEATURES])

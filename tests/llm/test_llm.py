@@ -505,3 +505,24 @@ def test_line_dedup_takes_short_repeats(spark, tmp_path):
     assert {r["doc_id"]: (r["n_lines"], r["removed"]) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()} == want
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
     assert left == {1: rows[0][1], 2: "Line 2\n\n  ", 3: None}
+
+
+def test_secret_candidates_of_usual_forms(spark):
+    rng = random.Random(27)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    h = hexes(40)
+    forms = {
+        'password = "hunter2pass"': "hunter2pass", "token: abcdefghijKLMNOPqrstuvwx": "abcdefghijKLMNOPqrstuvwx", f"API_KEY={h}": h, f"export AWS2_SECRET_ACCESS_KEY={h}": h,
+        '{"db_password": "s3cr3t!x", "n": 1}': "s3cr3t!x", "clientSecret => 'two words here'": "two words here", f"secret={h}==": f"{h}==", f"https://host/?token={h}&x=1": h,
+    }
+    texts = [*forms, "monkey = banana tree", "pwd = short", f"blob {h[:20]}== end"]
+    found = secret_scan.with_features(secret_scan.candidates(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])), secret_scan.dictionary_grams())
+    got = defaultdict(dict)
+    for r in found.collect():
+        got[texts[r["doc_id"]]][r["candidate"]] = (r["names_credential"], r["assigned"])
+    for text, secret in forms.items():
+        assert got[text].get(secret) == (1, 1), (text, got[text])
+    assert not got[texts[-3]] and not got[texts[-2]] and set(got[texts[-1]]) == {f"{h[:20]}=="}
+    rows = [(i, f"API_KEY={hexes(40)}\nORDER={rng.randint(10**15, 10**16 - 1)}", None, None) for i in range(40)]
+    judged = [(r["nth"], r["predicted"]) for r in secret_scan.scan(frame(spark, rows)).collect()]
+    assert sorted(judged) == [(0, 1)] * 40 + [(1, 0)] * 40
