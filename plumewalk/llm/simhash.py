@@ -123,14 +123,15 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, found: DataFrame | None = None) -> DataFrame:
     """One row of ``docs`` for each component, with the columns of ``docs``: the row of its smallest doc_id.
 
     Among rows that repeat that id, the one with the smallest (text, n_chars)
     hash stays. Rows with a null doc_id stay only where no id of the component
-    is known, and then one of them.
+    is known, and then one of them. ``found`` (doc_id, component_id) are the
+    components, if not those of ``near_duplicates``.
     """
-    found = near_duplicates(docs, width)
+    found = near_duplicates(docs, width) if found is None else found
     chosen = settled(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep_id")).agg(F.count(F.lit(1)).alias("_rows")))
     same = docs["doc_id"].eqNullSafe(chosen["_keep_id"])
     kept = docs.join(chosen.where("_rows = 1"), same, "left_semi")

@@ -526,3 +526,49 @@ def test_secret_candidates_of_usual_forms(spark):
     rows = [(i, f"API_KEY={hexes(40)}\nORDER={rng.randint(10**15, 10**16 - 1)}", None, None) for i in range(40)]
     judged = [(r["nth"], r["predicted"]) for r in secret_scan.scan(frame(spark, rows)).collect()]
     assert sorted(judged) == [(0, 1)] * 40 + [(1, 0)] * 40
+
+
+def test_near_duplicate_stage_finds_all_similar_texts(spark, odd_rows):
+    """The pipeline's stage against all pairs: five words, similarity 0.8 or more, with a large group of near copies."""
+    import corpus_pipeline
+    from plumewalk.llm import near_sets
+
+    rng = random.Random(23)
+    rows = [r for r in odd_rows if r[0] != 204]
+    for k in range(25):
+        body = words(rng, rng.randint(40, 120)).split()
+        for j in range(3):
+            own = list(body)
+            for _ in range(rng.randint(1, 4)):
+                own[rng.randrange(len(own))] = f"x{rng.randint(0, 99)}"
+            rows.append((1000 + 10 * k + j, " ".join(own), None, "a"))
+    hot = words(rng, 150).split()
+    rows += [(2000 + j, " ".join([*hot[:j], f"y{j}", *hot[j + 1 :]]), None, "a") for j in range(80)]
+    sets = []
+    for i, t, _, _ in rows:
+        w = WORD.findall(lower(t or ""))
+        sets.append((i, frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()))
+    apart = sorted({s for _, s in sets}, key=sorted)
+    root = {s: s for s in apart}
+
+    def find(s):
+        while root[s] != s:
+            s = root[s]
+        return s
+
+    linked = 0
+    for a, p in enumerate(apart):
+        for q in apart[:a]:
+            if 5 * len(p & q) >= 4 * len(p | q) > 0:
+                linked += 1
+                root[find(p)] = find(q)
+    assert linked > 500
+    least = defaultdict(list)
+    for i, s in sets:
+        least[find(s)].append(i)
+    want = Counter((i, min((x for x in least[find(s)] if x is not None), default=None)) for i, s in sets)
+    docs = frame(spark, rows)
+    assert Counter(map(tuple, near_sets.near_duplicates(docs).collect())) == want
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {m for _, m in want}
+    assert near_sets.near_duplicates(docs.limit(0)).count() == 0
