@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumewalk.llm import decontaminate, language_id, line_dedup, lm_score, mixing, quality_pu, quality_rules, secret_scan, simhash, toxicity
+from plumewalk.llm import decontaminate, language_id, line_dedup, lm_score, mixing, phrases, quality_pu, quality_rules, secret_scan, simhash, toxicity
 from plumewalk.llm.common import documents, id_remainder, labels
 
 
@@ -66,8 +66,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best collocations of each language, from all texts."""
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_line_dedup, op4_quality, op5_secrets, op6_simhash, op7_rules, op8_toxicity, op9_lm_score, op10_language)
+    f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_line_dedup, op4_quality, op5_secrets, op6_simhash, op7_rules, op8_toxicity, op9_lm_score, op10_language, op11_phrases)
 }
 
 ORACLE_SQL: dict[str, str] = {}
