@@ -118,41 +118,43 @@ class _Numbers(dict):
         return n
 
 
-def windows(ids: np.ndarray, lo: int, hi: int, depth: int) -> np.ndarray:
-    """Rows of ``depth`` word numbers from each place of lo .. hi on, -1 from the end of the piece on; places without a second word are left out."""
-    part = np.append(ids[lo : hi + depth], np.full(depth, -1, np.int32))
-    out = np.full((hi - lo, depth), -1, np.int32)
-    alive = np.ones(hi - lo, bool)
-    for d in range(depth):
-        own = part[d : d + hi - lo]
-        alive &= own >= 0
-        out[alive, d] = own[alive]
-    return out[out[:, 1] >= 0]
+def windows(ids: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Rows of ``depth`` word numbers from each of the ``places`` on, -1 from the end of the piece on; places without a second word are left out.
+
+    ``ids`` ends with ``depth`` times -1.
+    """
+    places = places[(ids[places] >= 0) & (ids[places + 1] >= 0)]
+    out = np.empty((depth, len(places)), np.int32)
+    out[0], out[1] = ids[places], ids[places + 1]
+    for d in range(2, depth):
+        out[d] = np.where(out[d - 1] >= 0, ids[places + d], -1)
+    return out.T
 
 
 def sorted_leaves(rows: np.ndarray, times: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in order, and the sums of their ``times``."""
+    """Distinct rows in order, and the sums of their ``times``.
+
+    As many columns as fit are packed into one number; its rank then stands for them, and the next columns are packed behind it.
+    """
     if not len(rows):
         return rows, times
-    bits = max(1, (words + 1).bit_length())
-    per = max(1, 63 // bits)
-    keys = []
-    for lo in range(0, rows.shape[1], per):
-        key = np.zeros(len(rows), np.int64)
-        for d in range(lo, min(lo + per, rows.shape[1])):
-            key = key << bits | (rows[:, d].astype(np.int64) + 1)
-        keys.append(key)
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(rows), bool)
-    new[0] = True
-    for key in keys:
-        new[1:] |= np.diff(key[order]) != 0
-    starts = np.nonzero(new)[0]
+    bits, room = max(1, (words + 1).bit_length()), 63
+    key = np.zeros(len(rows), np.int64)
+    for d in range(rows.shape[1]):
+        if room < bits:
+            order = np.argsort(key)
+            new = np.diff(key[order], prepend=-1) != 0
+            key[order] = np.cumsum(new) - 1
+            room = 63 - int(len(rows)).bit_length()
+        key = key << bits | (rows[:, d].astype(np.int64) + 1)
+        room -= bits
+    order = np.argsort(key)
+    starts = np.nonzero(np.diff(key[order], prepend=-1))[0]
     return rows[order[starts]], np.add.reduceat(times[order], starts)
 
 
-def _trees(docs: DataFrame, frequent: np.ndarray, make, schema: str, depth: int) -> DataFrame:
-    """What ``make`` (lang, names, rows, times) yields for the sorted leaves of each language in bounded parts of the corpus."""
+def _trees(docs: DataFrame, frequent: np.ndarray, make, schema: str, depth: int, only: dict[str, set[bytes]] | None = None) -> DataFrame:
+    """What ``make`` (lang, names, rows, times) yields for the sorted leaves of each language in bounded parts of the corpus; of suffixes that begin with the words ``only``, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[str, _Numbers] = {}
@@ -161,15 +163,19 @@ def _trees(docs: DataFrame, frequent: np.ndarray, make, schema: str, depth: int)
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, own in parts.items():
-                ids, names = np.concatenate(own), numbers[lang].names
-                for lo in range(0, len(ids), FLUSH):
-                    rows = windows(ids, lo, min(lo + FLUSH, len(ids)), depth)
+                ids, names = np.concatenate([*own, np.full(depth, -1, np.int32)]), numbers[lang].names
+                wanted = np.append(np.ones(len(names), bool) if only is None else np.fromiter((w in only[lang] for w in names), bool, len(names)), False)
+                every = np.nonzero(wanted[ids])[0]
+                for lo in range(0, len(every), FLUSH):
+                    rows = windows(ids, every[lo : lo + FLUSH], depth)
                     rows, times = sorted_leaves(rows, np.ones(len(rows), np.int64), len(names))
                     if len(rows):
                         yield from make(lang, names, rows, times)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if only is not None and lang not in only:
+                    continue
                 number = numbers.get(lang) or numbers.setdefault(lang, _Numbers(lang, frequent))
                 own = parts.setdefault(lang, [])
                 for words in tokens_of(text):
@@ -186,6 +192,16 @@ def _trees(docs: DataFrame, frequent: np.ndarray, make, schema: str, depth: int)
     return _texts(docs).mapInArrow(run, schema)
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Non-negative whole numbers in as few bytes each as they need, the first byte saying how many."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if values.max() <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[raw[0]], offset=1).astype(np.int64)
+
+
 def _runs(rows: np.ndarray, times: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(first leaf, count) of every node of ``depth`` words in sorted leaves."""
     whole = np.nonzero(rows[:, depth - 1] >= 0)[0]
@@ -196,7 +212,7 @@ def _runs(rows: np.ndarray, times: np.ndarray, depth: int) -> tuple[np.ndarray,
     return whole[starts], np.add.reduceat(times[whole], starts)
 
 
-def _extended(docs: DataFrame, frequent: np.ndarray, heavy: set[bytes], depth: int) -> DataFrame:
+def _extended(docs: DataFrame, frequent: np.ndarray, heavy: set[bytes], first_words: dict[str, set[bytes]], depth: int) -> DataFrame:
     """(key, lang, phrase, c): the prefixes of ``depth`` words that go on from heavy ones, counted in all texts."""
 
     def make(lang, names, rows, times):
@@ -209,7 +225,7 @@ def _extended(docs: DataFrame, frequent: np.ndarray, heavy: set[bytes], depth: i
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out, strict=True)], ["key", "lang", "phrase", "c"])
 
-    pieces = _trees(docs, frequent, make, "key string, lang string, phrase string, c long", depth)
+    pieces = _trees(docs, frequent, make, "key string, lang string, phrase string, c long", depth, first_words)
     return pieces.groupBy("key", "lang", "phrase").agg(F.sum("c").alias("c"))
 
 
@@ -232,11 +248,14 @@ def partition_prefixes(docs: DataFrame, words: DataFrame, frequent: np.ndarray,
             counts.append(level.where(F.col("c") > budget).select("lang", "phrase", F.lit(d).alias("depth"), "c"))
         if last:
             break
-        found = [r["key"].encode() for r in level.where(F.col("c") > budget).select("key").collect()]
+        found = level.where(F.col("c") > budget).select("key", "lang", "phrase").collect()
         if not found:
             break
-        heavy.update(found)
-        level = durable(_extended(docs, frequent, set(found), d + 1))
+        heavy.update(r["key"].encode() for r in found)
+        first_words: dict[str, set[bytes]] = {}
+        for r in found:
+            first_words.setdefault(r["lang"], set()).add(r["phrase"].split(" ")[0].encode())
+        level = durable(_extended(docs, frequent, {r["key"].encode() for r in found}, first_words, d + 1))
     prefixes = light[0]
     for more in light[1:]:
         prefixes = prefixes.unionByName(more)
@@ -288,12 +307,14 @@ def subtree_counts(docs: DataFrame, frequent: np.ndarray, bounds: Sequence[bytes
         starts = np.nonzero(np.diff(groups[order], prepend=-1))[0]
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
             own = rows[order[lo:hi]]
-            used, where = np.unique(own, return_inverse=True)
-            local = where.reshape(own.shape).astype(np.int32) - (used[0] < 0)
-            words = [names[w].decode() for w in used[used >= 0]]
+            used = np.nonzero(np.bincount((own + 1).ravel(), minlength=len(names) + 1)[1:])[0]
+            local = np.zeros(len(names) + 1, np.int64)
+            local[used] = np.arange(1, len(used) + 1)  # 0 stays for the end of a piece, which indexes the last place
+            words = b"\t".join([names[w] for w in used]).decode()
             # by columns: neighbouring leaves share their first words, which compresses well
+            packed = _narrow(local[own].T.ravel()), _narrow(times[order[lo:hi]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([groups[order[lo]]], pa.int32()), pa.array([lang]), pa.array([words]), pa.array([np.ascontiguousarray(local.T).tobytes()], pa.binary()), pa.array([times[order[lo:hi]].tobytes()], pa.binary())],
+                [pa.array([groups[order[lo]]], pa.int32()), pa.array([lang]), pa.array([words]), pa.array(packed[:1], pa.binary()), pa.array(packed[1:], pa.binary())],
                 ["grp", "lang", "words", "rows", "times"],
             )
 
@@ -304,9 +325,10 @@ def subtree_counts(docs: DataFrame, frequent: np.ndarray, bounds: Sequence[bytes
         for i in range(pieces.num_rows):
             lang, words, raw, times = (pieces.column(c)[i].as_py() for c in ("lang", "words", "rows", "times"))
             number = numbers.setdefault(lang, {})
+            words = words.split("\t")
             place = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
-            place = np.append(place, np.int32(-1))  # -1 stays -1
-            parts.setdefault(lang, []).append((place[np.frombuffer(raw, np.int32).reshape(depth, -1).T], np.frombuffer(times, np.int64)))
+            place = np.concatenate([[-1], place]).astype(np.int32)
+            parts.setdefault(lang, []).append((place[_wide(raw).reshape(depth, -1).T], _wide(times)))
         for lang, own in parts.items():
             names = list(numbers[lang])
             rows, times = sorted_leaves(np.concatenate([r for r, _ in own]), np.concatenate([t for _, t in own]), len(names))
@@ -319,7 +341,7 @@ def subtree_counts(docs: DataFrame, frequent: np.ndarray, bounds: Sequence[bytes
         columns = zip(*found, strict=True) if found else ([], [], [], [])
         return pa.table([pa.array(list(x), k) for x, k in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["lang", "phrase", "depth", "c"])
 
-    leaves = _trees(docs, frequent, make, "grp int, lang string, words array<string>, rows binary, times binary", depth)
+    leaves = _trees(docs, frequent, make, "grp int, lang string, words string, rows binary, times binary", depth)
     return leaves.groupBy("grp").applyInArrow(build, "lang string, phrase string, depth int, c long")
 
 
