@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumewalk.llm import decontaminate, language_id, line_dedup, lm_score, mixing, phrases, quality_pu, quality_rules, secret_scan, simhash, toxicity
+from plumewalk.llm import decontaminate, language_id, line_dedup, lm_score, mixing, phrases, quality_pu, quality_rules, secret_scan, simhash, topk, toxicity, turns
 from plumewalk.llm.common import documents, id_remainder, labels
 
 
@@ -71,8 +71,20 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
 
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the repaired text's digest of every conversation after the seeded damage."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.repair(turns.damaged(rows), rows)
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows of all embeddings for every row whose vec_id is divisible by 100."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_line_dedup, op4_quality, op5_secrets, op6_simhash, op7_rules, op8_toxicity, op9_lm_score, op10_language, op11_phrases)
+    f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_line_dedup, op4_quality, op5_secrets, op6_simhash, op7_rules, op8_toxicity, op9_lm_score, op10_language, op11_phrases, op12_turns, op13_topk)
 }
 
 ORACLE_SQL: dict[str, str] = {}
