@@ -32,7 +32,7 @@ from plumewalk.session import durable
 #: Words of the longest phrase.
 DEPTH = 5
 #: Suffixes of a group, unless that made more than ``MOST_GROUPS`` groups: then the budget grows with the corpus.
-BUDGET = 1_000_000
+BUDGET = 2_000_000
 MOST_GROUPS = 50_000
 #: Bits of the bitmap of frequent words (4 MB).
 BITS = 1 << 25
@@ -192,13 +192,23 @@ def _trees(docs: DataFrame, frequent: np.ndarray, make, schema: str, depth: int,
     return _texts(docs).mapInArrow(run, schema)
 
 
+def _squeezed(raw: bytes) -> bytes:
+    """A text or array in compressed form, behind its length."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _whole(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _narrow(values: np.ndarray) -> bytes:
-    """Non-negative whole numbers in as few bytes each as they need, the first byte saying how many."""
+    """Non-negative whole numbers in as few bytes each as they need, the first byte saying how many; compressed."""
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if values.max() <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+    return _squeezed(bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes())
 
 
-def _wide(raw: bytes) -> np.ndarray:
+def _wide(packed: bytes) -> np.ndarray:
+    raw = _whole(packed)
     return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[raw[0]], offset=1).astype(np.int64)
 
 
@@ -310,11 +320,11 @@ def subtree_counts(docs: DataFrame, frequent: np.ndarray, bounds: Sequence[bytes
             used = np.nonzero(np.bincount((own + 1).ravel(), minlength=len(names) + 1)[1:])[0]
             local = np.zeros(len(names) + 1, np.int64)
             local[used] = np.arange(1, len(used) + 1)  # 0 stays for the end of a piece, which indexes the last place
-            words = b"\t".join([names[w] for w in used]).decode()
+            words = _squeezed(b"\t".join([names[w] for w in used]))
             # by columns: neighbouring leaves share their first words, which compresses well
             packed = _narrow(local[own].T.ravel()), _narrow(times[order[lo:hi]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([groups[order[lo]]], pa.int32()), pa.array([lang]), pa.array([words]), pa.array(packed[:1], pa.binary()), pa.array(packed[1:], pa.binary())],
+                [pa.array([groups[order[lo]]], pa.int32()), pa.array([lang]), pa.array([words], pa.binary()), pa.array(packed[:1], pa.binary()), pa.array(packed[1:], pa.binary())],
                 ["grp", "lang", "words", "rows", "times"],
             )
 
@@ -325,7 +335,7 @@ def subtree_counts(docs: DataFrame, frequent: np.ndarray, bounds: Sequence[bytes
         for i in range(pieces.num_rows):
             lang, words, raw, times = (pieces.column(c)[i].as_py() for c in ("lang", "words", "rows", "times"))
             number = numbers.setdefault(lang, {})
-            words = words.split("\t")
+            words = _whole(words).decode().split("\t")
             place = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
             place = np.concatenate([[-1], place]).astype(np.int32)
             parts.setdefault(lang, []).append((place[_wide(raw).reshape(depth, -1).T], _wide(times)))
@@ -341,7 +351,7 @@ def subtree_counts(docs: DataFrame, frequent: np.ndarray, bounds: Sequence[bytes
         columns = zip(*found, strict=True) if found else ([], [], [], [])
         return pa.table([pa.array(list(x), k) for x, k in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["lang", "phrase", "depth", "c"])
 
-    leaves = _trees(docs, frequent, make, "grp int, lang string, words string, rows binary, times binary", depth)
+    leaves = _trees(docs, frequent, make, "grp int, lang string, words binary, rows binary, times binary", depth)
     return leaves.groupBy("grp").applyInArrow(build, "lang string, phrase string, depth int, c long")
 
 
