@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +64,15 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder; the rows survive the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: nothing of its plan is kept.
+
+    For the state of loops. A checkpoint keeps the size estimate of its plan;
+    a state that is joined with itself in every round squares it, and after a
+    few dozen rounds the estimate alone takes longer than the work.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
