@@ -61,6 +61,18 @@ def split_schema(schema: str) -> list[str]:
     return [p.strip() for p in re.split(r",(?![^<]*>)", schema)]
 
 
+def kept_rows(docs: DataFrame, make: Callable[[], Callable[[Sequence[str | None]], Sequence[bool]]]) -> DataFrame:
+    """The rows of ``docs`` whose text a kernel keeps; the columns may have any names."""
+    inside = [f"_c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*inside).withColumn("text", F.col(inside[docs.columns.index("text")]))
+
+    def judged():
+        keep = make()
+        return lambda texts: {"_kept": list(keep(texts))}
+
+    return per_text(plain, judged, "_kept boolean", inside).where("_kept").select(*inside).toDF(*docs.columns)
+
+
 def slices(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
     lo = total = 0
     for i, n in enumerate(sizes):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumewalk.llm.common import per_text
+from plumewalk.llm.common import kept_rows, per_text
 
 RUN = re.compile(r"[^\W_]+")
 
@@ -169,8 +169,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, piece: int = 16, most_char
     def clean(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         def make():
             matcher = Matcher(items, piece)
-            return lambda texts: {"_leaks": [len(matcher.search(normal(t))) for t in texts]}
+            return lambda texts: [not matcher.search(normal(t)) for t in texts]
 
-        return per_text(rows, make, "_leaks long", docs.columns).where("_leaks = 0").select(*docs.columns)
+        return kept_rows(rows, make)
 
     return reduce(clean, item_blocks(benchmark, most_chars), docs)

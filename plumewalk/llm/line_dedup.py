@@ -234,10 +234,13 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 32, exact_chars: int
     No row goes; a text of which nothing is left becomes empty. Other texts are unchanged.
     """
     found = settled(repeated_lines(docs, least_chars, exact_chars)).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row_key"), F.col("removed").alias("_removed"))
-    key = F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
-    joined = docs.join(found, (key == F.col("_row_key")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    parts = F.split(docs["text"].cast("string"), "\n", -1)
-    left = F.filter(parts, lambda x, i: ~F.array_contains("_removed", i))
-    text = F.when(F.col("_removed").isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
-    columns = {"text": text} | ({"n_chars": F.when(F.col("_removed").isNull(), docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return joined.select(*[columns[c].alias(c) if c in columns else docs[c] for c in docs.columns])
+    inside = dict(zip(docs.columns, (f"_c{i}" for i in range(len(docs.columns))), strict=True))
+    plain = docs.toDF(*inside.values())  # so that no name of a column meets one of the report's
+    doc_id, own = F.col(inside["doc_id"]), F.col(inside["text"])
+    joined = plain.join(found, (F.xxhash64(doc_id, own.cast("string")) == F.col("_row_key")) & doc_id.eqNullSafe(F.col("_id")), "left")
+    left = F.filter(F.split(own.cast("string"), "\n", -1), lambda x, i: ~F.array_contains("_removed", i))
+    text = F.when(F.col("_removed").isNull(), own).otherwise(F.array_join(left, "\n"))
+    columns = {"text": text}
+    if "n_chars" in inside:
+        columns["n_chars"] = F.when(F.col("_removed").isNull(), F.col(inside["n_chars"])).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[columns.get(c, F.col(n)).alias(c) for c, n in inside.items()])

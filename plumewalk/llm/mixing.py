@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from plumewalk.llm.common import WORD
 from plumewalk.operators.ordered import with_position
-from plumewalk.session import durable
+from plumewalk.session import durable, written
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def multipliers(cells: DataFrame, sources: DataFrame, most_copies: int, toleranc
     """
     cap = (F.col("source_size") * most_copies).cast("double")
     free = (F.col("source_size") > 0) & (F.col("target") < cap)
-    state = durable(
+    state = written(
         sources.withColumns(
             {
                 "multiplier": F.when(F.col("target") >= cap, F.lit(float("inf"))).otherwise(0.0),
@@ -103,7 +103,7 @@ def multipliers(cells: DataFrame, sources: DataFrame, most_copies: int, toleranc
         step = F.when(inside, newton).otherwise(middle)
         open_ = F.col("open")
         stuck = (step == m) | (step <= lo) | (step >= hi)
-        state = durable(
+        state = written(
             state.join(sums, "src", "left").select(
                 "src", "source", "source_size", "docs", "weight", "target", "mean",
                 F.when(open_, lo).otherwise(F.col("lo")).alias("lo"),
@@ -116,28 +116,41 @@ def multipliers(cells: DataFrame, sources: DataFrame, most_copies: int, toleranc
 
 
 def round_cells(cells: DataFrame, sources: DataFrame, most_copies: int, tolerance: float = 1e-4) -> DataFrame:
-    """Cells (src, size, n) with ``copies``: whole copies per cell whose words come within ``tolerance`` of each target.
-
-    Expected copies are rounded up or down by a draw that is a hash of the
-    cell. What a source then lacks, or has too much, is moved in a few rounds:
-    the cell that closes most of the gap without passing it takes as many
-    copies as fit. Ends when no cell can narrow a gap that is above tolerance.
+    """Cells (src, size, n) with ``copies``: whole copies per cell whose words come as near to each target as copies allow.
+
+    Expected copies are rounded along the sizes of a source, so that what one
+    cell is rounded up the next ones are rounded down, and sizes next to each
+    other keep their rates together. What a source then lacks, or has too much,
+    is moved by all its cells at once: from the largest size that fits, the
+    running sum says how many copies each cell gives. A cell that would pass
+    the target is moved only if nothing fits and the gap becomes smaller by it.
+    Each round at least halves what fits or narrows a gap by a whole copy, so a
+    few rounds end it; a source stops when its gap is within ``tolerance`` or
+    no single copy narrows it.
     """
     rate = F.when(F.col("multiplier") == float("inf"), F.lit(float(most_copies))).otherwise(_rate(F.col("multiplier"), F.col("size") / F.col("mean"), most_copies))
-    draw = F.pmod(F.xxhash64("src", "size"), F.lit(1 << 30)) / float(1 << 30)
-    expected = F.col("n") * rate
-    rounded = F.least(F.floor(expected + draw), F.col("n") * most_copies).cast("long")
-    out = durable(cells.join(sources.select("src", "multiplier", "mean"), "src").select("src", "size", "n", expected.alias("expected"), rounded.alias("copies")))
+    expected = F.least(F.col("n") * rate, (F.col("n") * most_copies).cast("double"))
+    along = Window.partitionBy("src").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    summed = cells.join(sources.select("src", "multiplier", "mean"), "src").select("src", "size", "n", expected.alias("expected")).withColumn("_up_to", F.sum("expected").over(along))
+    rounded = F.floor(F.col("_up_to") + 0.5) - F.floor(F.col("_up_to") - F.col("expected") + 0.5)
+    out = written(summed.select("src", "size", "n", "expected", F.greatest(F.lit(0).cast("long"), F.least(rounded.cast("long"), F.col("n") * most_copies)).alias("copies")))
+    falling = Window.partitionBy("src").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     while True:
         taken = out.groupBy("src").agg(F.sum(F.col("copies") * F.col("size")).alias("_taken"))
-        gaps = durable(taken.join(sources.select("src", "target"), "src").select("src", (F.col("target") - F.col("_taken")).alias("gap"), "target").where(F.abs("gap") > tolerance * F.col("target")))
+        gaps = taken.join(sources.select("src", "target"), "src").select("src", (F.col("target") - F.col("_taken")).alias("gap"), "target").where(F.abs("gap") > tolerance * F.col("target"))
         room = F.when(F.col("gap") > 0, F.col("n") * most_copies - F.col("copies")).otherwise(F.col("copies"))
-        fits = F.least(room, F.floor(F.abs("gap") / F.col("size"))).cast("long")
-        moved = out.where("size > 0").join(gaps, "src").select("src", "size", fits.alias("k"), F.signum("gap").cast("long").alias("sign"))
-        best = durable(moved.where("k > 0").groupBy("src").agg(F.max(F.struct(F.col("k") * F.col("size"), "size", "k", "sign")).alias("b")).select("src", F.col("b.size").alias("size"), (F.col("b.k") * F.col("b.sign")).alias("change")))
-        if best.isEmpty():
+        able = out.where("size > 0").join(gaps, "src").withColumn("room", room).where("room > 0").withColumn("fits", F.col("size") <= F.abs("gap"))
+        before = F.coalesce(F.sum(F.when(F.col("fits"), F.col("room") * F.col("size"))).over(falling), F.lit(0))
+        some = F.max("fits").over(Window.partitionBy("src"))
+        least = F.min(F.when(~F.col("fits"), F.col("size"))).over(Window.partitionBy("src"))
+        fitting = F.least(F.col("room"), F.floor((F.abs("gap") - before) / F.col("size")).cast("long"))
+        passing = (F.col("size") == least) & (F.col("size") < 2 * F.abs("gap"))
+        k = F.when(some, F.when(F.col("fits"), F.greatest(fitting, F.lit(0).cast("long"))).otherwise(0)).when(passing, 1).otherwise(0)
+        moves = able.select("src", "size", (k * F.signum("gap").cast("long")).alias("change")).where("change <> 0")
+        moved = written(out.join(moves, ["src", "size"], "left").select("src", "size", "n", "expected", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies"), F.col("change").isNotNull().alias("_moved")))
+        if moved.where("_moved").isEmpty():
             return out
-        out = durable(out.join(best, ["src", "size"], "left").select("src", "size", "n", "expected", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")))
+        out = moved.drop("_moved")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most_copies: int = 2) -> DataFrame:

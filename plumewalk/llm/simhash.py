@@ -11,11 +11,12 @@ key meet, so members are grouped by ball point and linked in a star.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumewalk.llm.common import per_text, settled
@@ -59,8 +60,8 @@ def fingerprint_words(words: list[bytes], width: int, chunk: int = 1 << 16) -> i
     return int(np.packbits(2 * counts > len(spans)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row. Null and empty texts have no word and get zero."""
+def fingerprints(docs: DataFrame, width: int = 3, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(``carry``, fp long) for every row. Null and empty texts have no word and get zero."""
 
     def make():
         def kernel(texts):
@@ -69,7 +70,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
         return kernel
 
-    return per_text(docs, make, "fp long")
+    return per_text(docs, make, "fp long", carry)
 
 
 def hamming_links(points: DataFrame, dense: int = 64) -> DataFrame:
@@ -104,6 +105,26 @@ def hamming_links(points: DataFrame, dense: int = 64) -> DataFrame:
     return sparse.union(star).distinct()
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of id and text: with the id it names a row, but for rows that repeat both."""
+    return F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
+
+
+def components_of(points: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of ``points`` (fp, first_id) over ``links`` of fp; every point has a root of its own or a shared one."""
+    found = components(links)
+    rooted = settled(points.select("fp", "first_id").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return settled(rooted.join(named, "root").select("fp", "root", "component_id"))
+
+
+def grouped(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, row_key, fp, root, component_id) for every row of ``docs``; rows of one group share ``root``."""
+    prints = settled(fingerprints(docs.select("doc_id", "text", row_key(docs).alias("row_key")), width, ("doc_id", "row_key")))
+    points = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    return prints.join(components_of(points, hamming_links(points.select("fp"))), "fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -114,30 +135,27 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     becomes a component's id unless all of its ids are null. Columns other
     than doc_id and text are not read; an empty table gives an empty result.
     """
-    prints = settled(fingerprints(docs, width))
-    points = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = components(hamming_links(points.select("fp")))
-    rooted = points.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = settled(rooted.join(named, "root").select("fp", "component_id"))
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return grouped(docs, width).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 3, found: DataFrame | None = None) -> DataFrame:
-    """One row of ``docs`` for each component, with the columns of ``docs``: the row of its smallest doc_id.
+    """One row of ``docs`` for each group, with the columns of ``docs``: the row of its smallest doc_id, null last.
 
-    Among rows that repeat that id, the one with the smallest (text, n_chars)
-    hash stays. Rows with a null doc_id stay only where no id of the component
-    is known, and then one of them. ``found`` (doc_id, component_id) are the
-    components, if not those of ``near_duplicates``.
+    Rows that share an id but not a text are told apart: of several such rows
+    of one group the one with the smallest ``row_key`` stays, and rows of
+    different groups all stay. Of rows that repeat id and text the one with the
+    smallest hash of all columns stays. ``found`` (doc_id, row_key, root) are
+    the groups, if not those of ``near_duplicates``.
     """
-    found = near_duplicates(docs, width) if found is None else found
-    chosen = settled(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep_id")).agg(F.count(F.lit(1)).alias("_rows")))
-    same = docs["doc_id"].eqNullSafe(chosen["_keep_id"])
+    found = grouped(docs, width) if found is None else found
+    rows = found.groupBy("root", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "n")).alias("r"))
+    chosen = settled(first.select(F.col("r.doc_id").alias("_keep_id"), F.col("r.row_key").alias("_keep_key"), F.col("r.n").alias("_rows")))
+    same = docs["doc_id"].eqNullSafe(chosen["_keep_id"]) & (row_key(docs) == chosen["_keep_key"])
     kept = docs.join(chosen.where("_rows = 1"), same, "left_semi")
     if chosen.where("_rows > 1").isEmpty():
         return kept
     repeated = docs.join(chosen.where("_rows > 1"), same, "left_semi")
-    rows = repeated.select(F.struct(*[repeated[c] for c in repeated.columns]).alias("_row"))
-    first = rows.groupBy(F.col("_row.doc_id").alias("_id")).agg(F.min_by("_row", F.xxhash64(F.col("_row"))).alias("_row"))
-    return kept.unionByName(first.select("_row.*"))
+    whole = repeated.select(F.struct(*[repeated[c] for c in repeated.columns]).alias("_row"))
+    once = whole.groupBy(F.col("_row.doc_id").alias("_id"), F.xxhash64("_row.doc_id", F.col("_row.text").cast("string")).alias("_key")).agg(F.min_by("_row", F.xxhash64(F.col("_row"))).alias("_row"))
+    return kept.unionByName(once.select("_row.*"))

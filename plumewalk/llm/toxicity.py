@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumewalk.llm.common import bounded_sample, per_text
+from plumewalk.llm.common import bounded_sample, kept_rows, per_text
 from plumewalk.session import durable
 
 SPAN, DECAY = 6, 0.6
@@ -321,10 +321,10 @@ def drop_toxic(docs: DataFrame, machine: Machine, limit: float = 0.5) -> DataFra
     """``docs`` without the rows whose text scores ``limit`` or more; judged row by row, without a join."""
 
     def make():
-        def kernel(texts):
+        def keep(texts):
             value = np.array([v for _, v in _worst(texts, machine)]) * machine.scale + machine.shift
-            return {"_toxic": (1 / (1 + np.exp(-np.clip(value, -40, 40)))).tolist()}
+            return (1 / (1 + np.exp(-np.clip(value, -40, 40))) < limit).tolist()
 
-        return kernel
+        return keep
 
-    return per_text(docs, make, "_toxic double", docs.columns).where(F.col("_toxic") < limit).select(*docs.columns)
+    return kept_rows(docs, make)
