@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumewalk.functions.geo import euclid
 from plumewalk.functions.scalar import clip, feature_similarity, finite
+from plumewalk.operators.nearest import best_of_block, nearest
 from plumewalk.operators.ordered import sliding, with_position
 from plumewalk.operators.quantile import quantiles
 
@@ -347,18 +347,9 @@ def trend_with_residual(df: DataFrame, target: str, fitted: str, residual: str,
     return both.withColumn(name, clip(F.col(fitted) + F.col(residual), low, high)).drop("_s")
 
 
-METRICS = {
-    "euclidean": euclid,
-    "manhattan": lambda ax, ay, bx, by: F.abs(F.col(ax) - F.col(bx)) + F.abs(F.col(ay) - F.col(by)),
-    "chebyshev": lambda ax, ay, bx, by: F.greatest(F.abs(F.col(ax) - F.col(bx)), F.abs(F.col(ay) - F.col(by))),
-}
-
-
 def knn_predict(targets: DataFrame, samples: DataFrame, target_id: str, sample_id: str, value: str, k: int, metric: str = "euclidean", skip_self: bool = False) -> DataFrame:
     """Mean of the k nearest samples in the plane, ``uniform`` and ``weighted`` by inverse distance (an exact hit decides alone)."""
-    from plumewalk.operators.spatial import nearest
-
-    near = nearest(targets, samples, target_id, sample_id, k=k, distance=METRICS[metric], skip_self=skip_self)
+    near = nearest(targets, samples, target_id, sample_id, k=k, metric=metric, skip_self=skip_self)
     w = F.try_divide(F.lit(1.0), F.col("dist"))
     sums = near.groupBy(target_id).agg(
         F.avg(value).alias("uniform"), F.sum(w * F.col(value)).alias("_wv"), F.sum(w).alias("_w"), F.avg(F.when(F.col("dist") == 0, F.col(value))).alias("_exact")
@@ -368,13 +359,14 @@ def knn_predict(targets: DataFrame, samples: DataFrame, target_id: str, sample_i
 
 def knn_features(
     targets: DataFrame, samples: DataFrame, keys: Sequence[str], target_id: str, sample_id: str, xs: Sequence[str], value: str, k: int,
-    metric: str = "euclidean", p: float = 2.0, block: int = 512,
+    metric: str = "euclidean", p: float = 2.0, block: int = 512, skip_self: bool = False,
 ) -> DataFrame:
     """Exact k nearest neighbours on any number of features within each key: keys, target_id, uniform, weighted.
 
     Both sides are cut into blocks of bounded size; a kernel keeps the k best
     of each block pair and the k best of those are merged. The plan of block
     pairs is a table of its own, so the blocks of a hot key spread over all tasks.
+    ``skip_self`` leaves out the sample whose id is the target's.
     """
     types = dict(targets.dtypes) | dict(samples.dtypes)
     # In a block a sample keeps its id for ties, a target its own.
@@ -400,9 +392,11 @@ def knn_features(
                     d = np.maximum(d, step) if metric == "chebyshev" else d + step ** {"euclidean": 2.0, "manhattan": 1.0}.get(metric, p)
                 if metric not in ("chebyshev", "manhattan"):
                     d = d ** (1 / (2.0 if metric == "euclidean" else p))
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                rows, width = np.repeat(np.arange(len(d)), best.shape[1]), best.ravel()
-                out = {c: t[c] for c in keys} | {target_id: np.asarray(t[f"a_{target_id}"])[rows], "_s": np.asarray(t[f"b_{sample_id}"])[width]}
+                ids = np.asarray(t[f"b_{sample_id}"])
+                if skip_self:
+                    d[np.asarray(t[f"a_{target_id}"])[:, None] == ids[None, :]] = np.inf
+                rows, width = best_of_block(d, ids, k)
+                out = {c: t[c] for c in keys} | {target_id: np.asarray(t[f"a_{target_id}"])[rows], "_s": ids[width]}
                 yield pd.DataFrame(out | {"_d": d[rows, width], "_v": np.asarray(t[f"b_{value}"], dtype=float)[width]})
 
     order = Window.partitionBy(*keys, target_id).orderBy("_d", "_s")

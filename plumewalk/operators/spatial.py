@@ -1,4 +1,4 @@
-"""Distance, nearest and pair joins on a grid of cells.
+"""Distance and pair joins on a grid of cells.
 
 A plain ``distance <= r`` join plans as a nested loop. Here both sides get grid
 cells, the join is an equi-join on the cell and the exact distance stays as the
@@ -14,10 +14,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumewalk.functions.geo import euclid
+from plumewalk.operators.nearest import nearest  # noqa: F401  (callers find all joins here)
 from plumewalk.operators.ordered import group_sizes, with_position
 from plumewalk.session import block_partitions, durable, group_limit
 
@@ -98,66 +99,6 @@ def beyond_all(sites: DataFrame, features: DataFrame, reach: float, site_id: str
     return sites.join(taken, ["px", "py"], "left_anti")
 
 
-def nearest(
-    sites: DataFrame,
-    features: DataFrame,
-    site_id: str,
-    feature_id: str,
-    k: int = 1,
-    reach: float | None = None,
-    distance: Callable[..., Column] = euclid,
-    skip_self: bool = False,
-    limit: int | None = None,
-) -> DataFrame:
-    """The k nearest point features of each site: site_id, feature columns, dist, rank (1 = nearest).
-
-    Search discs double from a density guess until each site holds k hits; a
-    hit list is final once k features lie within the disc, so the answer is
-    exact and only unfinished sites go to the next round. ``distance`` must be
-    at least the larger axis difference (true for every Lp norm). Ties go to
-    the smaller feature id.
-    """
-    box = features.agg(F.min("fx"), F.max("fx"), F.min("fy"), F.max("fy"), F.count("fx")).first()
-    reachable = sites.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
-    if not box[4] or reachable[0] is None:
-        raise ValueError("nearest needs at least one site and one feature")
-    width = max(box[1], reachable[1]) - min(box[0], reachable[0])
-    height = max(box[3], reachable[3]) - min(box[2], reachable[2])
-    everything = 2 * (width + height) + 1.0
-    # Of features at one spot only the first few ids can be among the k nearest.
-    spot = Window.partitionBy("fx", "fy").orderBy(feature_id)
-    features = features.withColumn("_nth", F.row_number().over(spot)).where(F.col("_nth") <= k + int(skip_self)).drop("_nth")
-    features = durable(features)
-    if reach is None:
-        area = max(box[1] - box[0], 1e-9) * max(box[3] - box[2], 1e-9)
-        reach = 1.5 * math.sqrt(area * (k + 1) / box[4])
-    reach = max(reach, everything / 2**20)
-    order = Window.partitionBy(site_id).orderBy("dist", feature_id)
-    todo, parts = sites, []
-    while True:
-        pairs = cell_join(todo, features, reach, points=True, limit=limit)
-        pairs = pairs.withColumn("dist", distance("px", "py", "fx", "fy"))
-        if reach < everything:
-            pairs = pairs.where(F.col("dist") <= float(reach))
-        if skip_self:
-            pairs = pairs.where(F.col(site_id) != F.col(feature_id))
-        top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if reach >= everything:
-            parts.append(top)
-            break
-        top = durable(top)
-        done = top.where(F.col("rank") == k).select(site_id)
-        parts.append(top.join(done, site_id, "left_semi"))
-        todo = durable(todo.join(done, site_id, "left_anti"))
-        if todo.isEmpty():
-            break
-        reach *= 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 TILE_ROWS = 1024
 PairKernel = Callable[[dict[str, np.ndarray], dict[str, np.ndarray], bool], pd.DataFrame]
 

@@ -330,18 +330,20 @@ def j02_foot_rule(spark, sf_dir):
     return out.select("u", "v", (F.col("lanes").isNotNull() & F.col("maxspeed").isNotNull()).alias("has_lanes"))
 
 
-_E4 = [f"e{i}" for i in range(5, 9)]
+_E64 = [f"e{i}" for i in range(1, 65)]
 
 
 @query(
     "m04_knn_features",
-    "WITH e AS (SELECT vec_id, label, embedding[3]::DOUBLE AS z, " + ", ".join(f"embedding[{i}]::DOUBLE AS e{i}" for i in range(5, 9)) + " FROM embeddings), "
-    "d AS (SELECT a.label, a.vec_id, b.vec_id AS s, b.z, sqrt(" + " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in _E4) + ") AS d FROM e a JOIN e b ON a.label = b.label), "
-    "k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, s) <= 4) SELECT label, vec_id, round(avg(z), 6) AS uniform, round(avg(CASE WHEN d = 0 THEN z END), 6) AS weighted FROM k GROUP BY 1, 2",
+    "WITH e AS (SELECT vec_id, label, embedding[3]::DOUBLE AS z, embedding::DOUBLE[] AS e FROM embeddings), "
+    "d AS (SELECT a.label, a.vec_id, b.vec_id AS s, b.z, list_distance(a.e, b.e) AS d FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id), "
+    "k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, s) <= 4) "
+    "SELECT label, vec_id, round(avg(z), 6) AS uniform, round(coalesce(avg(CASE WHEN d = 0 THEN z END), sum(z / nullif(d, 0)) / sum(1 / nullif(d, 0))), 6) AS weighted FROM k GROUP BY 1, 2",
 )
 def m04_knn_features(spark, sf_dir):
+    """The other vectors of the same label, over all 64 elements."""
     e = v.table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", F.element_at("embedding", 3).cast("double").alias("z"), *[F.element_at("embedding", i).cast("double").alias(f"e{i}") for i in range(5, 9)]
+        "vec_id", "label", F.element_at("embedding", 3).cast("double").alias("z"), *[F.element_at("embedding", i).cast("double").alias(c) for i, c in enumerate(_E64, 1)]
     )
-    out = mo.knn_features(e, e.withColumnRenamed("vec_id", "sid"), ["label"], "vec_id", "sid", _E4, "z", k=4)
+    out = mo.knn_features(e, e.withColumnRenamed("vec_id", "sid"), ["label"], "vec_id", "sid", _E64, "z", k=4, skip_self=True)
     return _rounded(out, uniform=6, weighted=6)

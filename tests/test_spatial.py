@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumewalk.functions import geo
 from plumewalk.operators import enrich as en
 from plumewalk.operators import geostat as gs
+from plumewalk.operators import nearest as nn
 from plumewalk.operators import spatial as sp
 
 
@@ -44,14 +45,53 @@ def test_nearest_equals_brute_force(sides, k):
 
 def test_nearest_other_metric(sides):
     sites, feats, s, f = sides
-    from plumewalk.operators.model import METRICS
-
-    got = {x["pid"]: x["fid"] for x in sp.nearest(sites, feats, "pid", "fid", distance=METRICS["chebyshev"]).collect()}
+    got = {x["pid"]: x["fid"] for x in sp.nearest(sites, feats, "pid", "fid", metric="chebyshev").collect()}
     for a in s:
         want = min((max(abs(a[1] - b[1]), abs(a[2] - b[2])), b[0]) for b in f)[1]
         assert got[a[0]] == want
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev"])
+def test_nearest_of_clusters_and_outliers(spark, monkeypatch, metric):
+    """A crowd, far sites, far features, one hot spot, odd coordinates; several tiles; the site itself left out."""
+    monkeypatch.setattr(nn, "TILE", 8)
+    monkeypatch.setattr(nn, "SEATS", 16)
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.normal(0, 1, (300, 2)), rng.normal(1e6, 10, (20, 2)), rng.uniform(-1e7, 1e7, (10, 2)), np.tile([[3.0, 4.0]], (60, 1))])
+    rows = [(i, float(x), float(y), f"v{i}") for i, (x, y) in enumerate(p)]
+    odd = [(900, None, 1.0, "n"), (901, float("nan"), 1.0, "n"), (902, float("inf"), 1.0, "n")]
+    sites = spark.createDataFrame([r[:3] for r in rows + odd], "pid long, px double, py double")
+    feats = spark.createDataFrame(rows + odd, "fid long, fx double, fy double, tag string")
+    got = {}
+    for r in sp.nearest(sites, feats, "pid", "fid", k=4, metric=metric, skip_self=True).collect():
+        assert r["tag"] == f"v{r['fid']}"
+        got.setdefault(r["pid"], []).append((r["rank"], r["fid"]))
+    d = nn.METRICS[metric](np.abs(p[:, None, 0] - p[None, :, 0]), np.abs(p[:, None, 1] - p[None, :, 1]))
+    assert set(got) == set(range(len(p)))
+    for i, own in got.items():
+        order = [j for j in np.lexsort((np.arange(len(p)), d[i])) if j != i][:4]
+        assert [j for _, j in sorted(own)] == order
+
+
+def test_nearest_visits_few_tiles():
+    """Sites far outside a crowd visit its rim, and the sum of visits stays a small multiple of the sites."""
+    rng = np.random.default_rng(6)
+    f = rng.normal(0, 1, (20_000, 2))
+    f = f[np.lexsort((f[:, 1], np.floor(f[:, 0] * 10)))]
+    edge = np.arange(0, len(f), 50)
+    head = {"n": np.full(len(edge), 50), "tile": edge} | {f"{n}{c}": fn.reduceat(f[:, k], edge) for k, c in enumerate("xy") for n, fn in (("min", np.minimum), ("max", np.maximum))}
+    for sites, most in ((rng.normal(0, 1, (500, 2)), 25), (rng.normal(0, 1, (500, 2)) + [1e4, 0], 25), (rng.uniform(-1e5, 1e5, (500, 2)), 80)):
+        total = sum(len(who) for _, who in nn.visits(sites[:, 0], sites[:, 1], head, nn.METRICS["euclidean"], 5))
+        assert 500 <= total < 500 * most
+
+
+def test_nearest_without_a_side(sides):
+    sites, feats, *_ = sides
+    assert sp.nearest(sites.limit(0), feats, "pid", "fid").count() == 0
+    none = sp.nearest(sites, feats.limit(0), "pid", "fid")
+    assert none.count() == 0 and none.columns == ["pid", "px", "py", "fid", "fx", "fy", "v", "dist", "rank"]
+
+
 @pytest.mark.parametrize("tile_rows", [4, 1000])
 def test_pair_counts_with_crowded_cells(spark, sides, monkeypatch, tile_rows):
     _, _, s, _ = sides
