@@ -170,6 +170,42 @@ def p01_shortest_distance(spark, sf_dir):
     return best.select("source", "node", F.round("dist", 3).alias("dist"))
 
 
+# A long one-way network: streets n -> n+1 and n -> n+17, so paths have many edges and no way leads back.
+_WIDE = "wide AS (SELECT a.osmid AS u, b.osmid AS v, " + v.HAV.format(lat1="a.y", lon1="a.x", lat2="b.y", lon2="b.x") + " * 1000 AS w FROM nodes a JOIN nodes b ON b.osmid IN (a.osmid + 1, a.osmid + 17)), "
+
+
+def _wide(spark, sf_dir):
+    n = v.nodes(spark, sf_dir).select("osmid", "x", "y")
+    fan = n.select(F.col("osmid").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"), F.explode(F.array(F.col("osmid") + 1, F.col("osmid") + 17)).alias("v"))
+    to = n.select(F.col("osmid").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
+    return fan.join(to, "v").select("u", "v", (geo.haversine_km("uy", "ux", "vy", "vx") * 1000).alias("length"))
+
+
+_SEARCH_WIDE = (
+    "WITH RECURSIVE " + _WIDE + _PAIRS + ", sp(source, node, dist) USING KEY (source, node) AS (SELECT DISTINCT source, source, 0.0::DOUBLE FROM od UNION "
+    "SELECT n.source, n.node, n.dist FROM (SELECT sp.source, e.v AS node, min(sp.dist + e.w) AS dist FROM sp JOIN wide e ON e.u = sp.node GROUP BY 1, 2) n "
+    "LEFT JOIN recurring.sp o ON o.source = n.source AND o.node = n.node WHERE o.dist IS NULL OR n.dist < o.dist) "
+)
+
+
+@query("p01_one_way_distance", sql_with("nodes", _SEARCH_WIDE + "SELECT source, node, round(dist, 3) AS dist FROM sp"))
+def p01_one_way_distance(spark, sf_dir):
+    best = rt.distances(rt.directed(_wide(spark, sf_dir), "length"), _pairs(spark, sf_dir))
+    return best.select("source", "node", F.round("dist", 3).alias("dist"))
+
+
+@query("p03_one_way_paths", sql_with("nodes", _SEARCH_WIDE + "SELECT od.source, od.target, round(dist, 3) AS dist, round(dist, 3) AS along FROM od LEFT JOIN sp ON sp.source = od.source AND sp.node = od.target"))
+def p03_one_way_paths(spark, sf_dir):
+    """Distances of all pairs, unreachable ones included, and the same summed along the edges of each path."""
+    edges = _wide(spark, sf_dir)
+    found = rt.shortest_paths(edges, _pairs(spark, sf_dir), "length", one_way=True)
+    step = F.expr("transform(sequence(0, size(path) - 2), i -> struct(path[i] AS u, path[i + 1] AS v))")
+    legs = found.select("source", "target", F.explode_outer(F.when(F.size("path") > 1, step)).alias("s"))
+    along = legs.select("source", "target", "s.u", "s.v").join(edges, ["u", "v"], "left").groupBy("source", "target").agg(F.sum("length").alias("along"))
+    both = found.join(along, ["source", "target"])
+    return both.select("source", "target", F.round("dist", 3).alias("dist"), F.round(F.when(F.size("path") == 1, 0.0).otherwise(F.col("along")), 3).alias("along"))
+
+
 def _exposed(spark, sf_dir):
     """Exposure of an edge by its street class; service streets have none."""
     e = v.edges(spark, sf_dir)

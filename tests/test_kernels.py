@@ -208,6 +208,49 @@ def test_routes(spark):
     assert got == {(1, 3): (4.0, [1, 2, 3]), (3, 3): (0.0, [3]), (1, 8): (None, None)}
 
 
+@pytest.mark.parametrize("placed", [False, True])
+def test_search_over_cells(spark, monkeypatch, placed):
+    """Random one-way networks in small cells against a plain search, with paths that leave a cell and come back."""
+    rng = np.random.default_rng(12)
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 60, 170), rng.integers(0, 60, 170), rng.uniform(0, 9, 170))] + [(0, 1, None), (5, 5, 1.0)]
+    nodes = spark.createDataFrame([(i, float(rng.uniform()), float(rng.uniform())) for i in range(55)], "osmid long, x double, y double") if placed else None
+    e = spark.createDataFrame(edges, "u long, v long, length double")
+    monkeypatch.setattr(rt, "CELL", 6)
+    best = {s: {s: 0.0} for s in (0, 3, 99)}
+    for own in best.values():
+        for _ in range(60):
+            for a, b, w in edges:
+                if a in own and w is not None and own[a] + w < own.get(b, 1e9):
+                    own[b] = own[a] + w
+    pairs = spark.createDataFrame([(s, t) for s in best for t in (0, 7, 20, 59, 99, 1000)], "source long, target long")
+    found = rt.search(rt.directed(e, "length"), pairs, None, nodes, 6)
+    assert found.packed.count() > 9
+    got = {(r["source"], r["node"]): r["dist"] for r in rt.distances(rt.directed(e, "length"), pairs, nodes).collect()}
+    assert got == pytest.approx({(s, n): d for s, own in best.items() for n, d in own.items()})
+    cost = {}
+    for a, b, w in edges:
+        if w is not None:
+            cost[a, b] = min(w, cost.get((a, b), 1e9))
+    for f in (rt.paths(rt.search(rt.directed(e, "length"), pairs, pairs, nodes, 6), pairs), rt.shortest_paths(e, pairs, one_way=True, nodes=nodes)):
+        for r in f.collect():
+            want = best[r["source"]].get(r["target"])
+            assert (r["dist"] is None) == (want is None) == (r["path"] is None)
+            if want is not None:
+                assert r["path"][0] == r["source"] and r["path"][-1] == r["target"]
+                assert r["dist"] == pytest.approx(want) == pytest.approx(sum(cost[x] for x in zip(r["path"], r["path"][1:])))
+
+
+def test_rounds_follow_cells(spark, tmp_path, monkeypatch):
+    """A chain of 161 nodes in cells of 40 takes 5 rounds, and each writes just the cell that is reached."""
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(160)], "u long, v long, length double")
+    start = spark.createDataFrame([(0,)], "source long")
+    monkeypatch.setattr(rt, "shared_folder", lambda _: str(tmp_path))
+    found = rt.search(rt.directed(e, "length"), start, size=40)
+    (folder,) = tmp_path.glob("search-*")
+    written = [spark.read.schema(rt._STATE).parquet(str(p)).count() for p in sorted(folder.iterdir(), key=lambda p: int(p.name))]
+    assert written == [1] * 5 + [0] and found.reached.count() == 5
+
+
 def test_long_path_backtracking(spark):
     e = spark.createDataFrame([(i, i + 1, 0, 1.0) for i in range(20)], "u long, v long, key int, length double")
     pairs = spark.createDataFrame([(0, 20)], "source long, target long")
