@@ -87,4 +87,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_line_dedup, op4_quality, op5_secrets, op6_simhash, op7_rules, op8_toxicity, op9_lm_score, op10_language, op11_phrases, op12_turns, op13_topk)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+ORACLE_SQL: dict[str, str] = {
+    "op11_phrases": rf"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS text FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+        w AS (SELECT lang, [x for x in regexp_split_to_array(piece, '[\x20\x09]+') if x <> ''] AS ws FROM p),
+        g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM
+              (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(ws) >= k)),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+        n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
+        h AS (SELECT f.*, n, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS one, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS two
+              FROM f JOIN n USING (lang), (VALUES (1), (2), (3), (4)) v(j) WHERE j < f.k),
+        c AS (SELECT h.lang, h.phrase, h.k, h.a, h.n, l.a AS l, r.a AS r, (1000::HUGEINT * h.a * h.n) // (l.a::HUGEINT * r.a) AS score
+              FROM h JOIN f l ON l.lang = h.lang AND l.phrase = h.one JOIN f r ON r.lang = h.lang AND r.phrase = h.two
+              QUALIFY row_number() OVER (PARTITION BY h.lang, h.phrase ORDER BY score, h.j) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM c
+        WHERE NOT EXISTS (SELECT 1 FROM f q WHERE q.lang = c.lang AND q.k > c.k AND q.a >= c.a AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))
+        QUALIFY rank <= 2000""",
+    "op13_topk": """
+        WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([z[1] * z[2] for z in list_zip(q.e, c.e)])::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10""",
+}
