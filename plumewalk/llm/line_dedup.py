@@ -6,9 +6,14 @@ The segments of every line, keyed by line length and place, form the index.
 A line probes the index of each length it may have come from with its
 substrings at those few starts which an alignment of so many edits allows.
 Candidates are verified by a banded bit-parallel distance, written as a fold
-over the characters. A key under which many lines lie is split further by how many
-letters of a few groups a line has: linked lines differ by at most EDITS in
-each of these sums, so only lines in neighbouring cells are paired.
+over the characters.
+
+Lines under a crowded key are cut finer: among 5, 9 or 17 segments two at most
+are open, and all others have to agree in one key. Templates and copies that
+were changed in different places part there. What stays crowded in the finest
+cut are close neighbours; where classes are wanted and not all links, they are
+linked to one pivot of the key first, and only lines that this leaves in
+different classes are paired.
 
 Lines are handled by the 64-bit hash of their text, together with their
 length in every key; texts are fetched for candidates only.
@@ -18,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +35,8 @@ EDITS = 2
 BAND = 2 * EDITS + 1
 #: From this length on lines are judged by edits in the queries: each segment of the shortest ones has five characters, and two edits are an eighth of them. Shorter ones are judged by equality.
 LEAST_EDITED = 16
-#: Groups of letters whose sums split crowded keys; any groups give the same links.
-LETTERS = ("eo", "ia", "tn")
+#: Segments of each cut: the first serves all lines, a later one those that share a crowded key of the cut before.
+CUTS = (EDITS + 1, 5, 9, 17)
 
 
 def lines_of(docs: DataFrame, least_chars: int, exact_chars: int | None = None) -> DataFrame:
@@ -43,42 +47,73 @@ def lines_of(docs: DataFrame, least_chars: int, exact_chars: int | None = None)
     return rows.where(wanted if exact_chars is None else wanted | ((F.length("line") >= exact_chars) & F.col("line").rlike(r"\S")))
 
 
-def segment_ends(length: Column) -> list[Column]:
-    """Ends of the EDITS + 1 near-equal segments of a line of that length, from 0 on."""
-    return [F.floor(length * i / (EDITS + 1)).cast("int") for i in range(EDITS + 2)]
+def open_segments(parts: int) -> list[tuple[int, int, int, int]]:
+    """(i, j, longer, shift): what a line may share with an indexed one that is ``longer`` characters shorter.
+
+    Each edit touches one of the indexed line's segments, so all but two, i
+    and j, occur in the other line: those before i in place, those after j
+    moved by ``longer``, those between moved by ``shift``, where i takes one
+    edit and j the other. Both edits in one segment is the case of two
+    adjacent ones. The patterns of equal place (the index itself) come first.
+    """
+    found = [
+        (i, j, longer, shift)
+        for i in range(parts)
+        for j in range(i + 1, parts)
+        for longer in range(EDITS + 1)
+        for shift in (range(longer - 1, 2) if j > i + 1 else (0,))
+    ]
+    return sorted(found, key=lambda c: (_kind(c[2], c[3]), c))
 
 
-def _key(length: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), text)
+def _kind(longer: int, shift: int) -> int:
+    """0: the line's own place in the index, 1: another place at the same length, 2: a shorter line's."""
+    return 2 if longer else int(shift != 0)
 
 
-def index_keys(lines: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """(key, id, ``carry``): one key for each segment of each line."""
-    n = F.length("line")
-    ends = segment_ends(n)
-    keys = [_key(n, i, F.substring(F.col("line"), ends[i] + 1, ends[i + 1] - ends[i])) for i in range(EDITS + 1)]
-    return lines.select("id", *carry, F.explode(F.array(*keys)).alias("key"))
+def _key(parts: int, i: Column, j: Column, longer: Column, shift: Column, given: Sequence[bool] = (True, True, True)) -> Column:
+    """Hash of the shared segments of ``line`` (``_n`` characters); ``given`` says which of the three runs of segments there are."""
+    n = F.col("_n") - longer
+    end = lambda p: F.floor(n * p / parts).cast("int")
+    runs = [(F.lit(0), F.lit(0), i), (shift, i + 1, j), (longer, j + 1, F.lit(parts))]
+    texts = [F.substring(F.col("line"), end(lo) + moved + 1, end(hi) - end(lo)) for (moved, lo, hi), there in zip(runs, given, strict=True) if there]
+    return F.when(n >= 0, F.xxhash64(n, i, j, *texts))
 
 
-def probe_keys(lines: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """(key, id, same, ``carry``): substrings that an indexed line of equal (``same``) or smaller length may share.
+def first_keys(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, own): (key, id, kind) of the first cut for each distinct line, and the index's (key, id) alone.
 
-    For segment i at start p in a line shorter by d, an alignment with at most
-    EDITS edits puts it at p - i .. p + i (edits before it) and at
-    p + d - (EDITS - i) .. p + d + (EDITS - i) (edits after it), i from 0.
+    The keys of a line are one row of whole numbers, of which a task keeps one
+    for each line: a line that occurs everywhere is a few rows from there on.
     """
-    n = F.length("line")
-    out, equal = [], 0
-    for d in range(EDITS + 1):
-        ends = segment_ends(n - d)
-        for i in range(EDITS + 1):
-            lo, hi = max(-i, d - (EDITS - i)), min(i, d + (EDITS - i))
-            for shift in range(lo, hi + 1):
-                start, size = ends[i] + shift, ends[i + 1] - ends[i]
-                out.append(F.when((start >= 0) & (start + size <= n), _key(n - d, i, F.substring(F.col("line"), start + 1, size))))
-                equal += d == 0
-    found = lines.select("id", *carry, F.posexplode(F.array(*out)).alias("nth", "key"))
-    return found.where("key is not null").select("id", *carry, "key", (F.col("nth") < equal).alias("same"))
+    parts = CUTS[0]
+    cases = open_segments(parts)
+    n_own, n_same = (sum(_kind(longer, shift) < k for _, _, longer, shift in cases) for k in (1, 2))
+    sized = lines.select("id", "line", F.length("line").alias("_n"))
+    keys = [_key(parts, *map(F.lit, c), given=(c[0] > 0, c[1] > c[0] + 1, c[1] < parts - 1)).alias(f"_k{x}") for x, c in enumerate(cases)]
+    names = [f"_k{x}" for x in range(len(cases))]
+
+    def once(wanted: list[str], made: list[Column]) -> DataFrame:
+        return sized.select("id", *made).groupBy("id").agg(*[F.min(c).alias(c) for c in wanted])
+
+    asked = once(names, keys).select("id", F.posexplode(F.array(*names)).alias("nth", "key")).where("key is not null")
+    kind = F.when(F.col("nth") < n_own, 0).when(F.col("nth") < n_same, 1).otherwise(2)
+    own = once(names[:n_own], keys[:n_own]).select("id", F.explode(F.array(*names[:n_own])).alias("key"))
+    return asked.select("key", "id", kind.alias("kind")), own.select("key", "id")
+
+
+def finer_keys(lines: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """``first_keys`` for ``parts`` segments and distinct lines."""
+    rows = lines.select("id", "line", F.length("line").alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(parts - 2))).alias("_i"))
+    rows = rows.select("*", F.explode(F.sequence(F.col("_i") + 1, F.lit(parts - 1))).alias("_j"))
+    shifts = lambda longer: F.when(F.col("_j") == F.col("_i") + 1, F.array(F.lit(0))).otherwise(F.sequence(longer - 1, F.lit(1)))
+    key = _key(parts, F.col("_i"), F.col("_j"), F.col("_longer"), F.col("_shift"))
+    asked = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(EDITS))).alias("_longer"))
+    asked = asked.select("*", F.explode(shifts(F.col("_longer"))).alias("_shift"))
+    kind = F.when(F.col("_longer") > 0, 2).when(F.col("_shift") != 0, 1).otherwise(0)
+    asked = asked.select(key.alias("key"), "id", kind.alias("kind")).where("key is not null")
+    own = rows.select("*", F.lit(0).alias("_longer"), F.lit(0).alias("_shift")).select(key.alias("key"), "id")
+    return asked, own
 
 
 def characters(text: Column) -> Column:
@@ -148,53 +183,78 @@ def within_edits(a: Column, b: Column) -> Column:
     return F.when(m - n > EDITS, F.lit(False)).when(m <= EDITS, F.lit(True)).otherwise(folded)
 
 
-def _pairs(probes: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
+def _pairs(asked: DataFrame, own: DataFrame, apart: str = "true") -> DataFrame:
     """Distinct candidate pairs (a, b), a < b, of probes and index rows under equal keys; equal lengths pair in one direction."""
-    other = index.select(*on, F.col("id").alias("other"))
-    found = probes.join(other, on).where("id <> other and (not same or id > other)")
+    found = asked.join(own.withColumnRenamed("id", "other"), "key").where(f"id <> other and (kind = 2 or id > other) and {apart}")
     return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def _fetch(lines: DataFrame, ids: DataFrame, small: int = 500_000) -> DataFrame:
-    """(id, chars) of the wanted ids; the ids are sent to the lines while their number is small, else both are joined by shuffle."""
+    """(id, line) of the wanted ids, once each; the ids are sent to the lines while their number is small, else both are joined by shuffle."""
     wanted = settled(ids.select("id").distinct())
     few = wanted.count() <= small
-    return settled(
-        lines.select("id", "line").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")).select("id", characters(F.col("line")).alias("chars"))
-    )
+    return settled(lines.select("id", "line").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
 
 
-def edit_links(lines: DataFrame, dense: int = 8) -> DataFrame:
-    """Links (a, b) of distinct lines (id, line, repeats allowed) within EDITS edits.
-
-    Keys with more than ``dense`` lines are joined with the cells of the
-    lines' letter sums: an edit changes a sum by one at most, so a line asks
-    for the two cells of BAND sums, at most, that linked lines can be in.
-    """
-    # by key first: one exchange serves the removal of repeats, the counts and the join
-    index, probes = index_keys(lines).repartition("key").distinct(), probe_keys(lines)
-    crowded = settled(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("key", F.lit(True).alias("crowded")))
-    several = crowded.count()
-    if several:
-        known = F.broadcast(crowded) if several <= 200_000 else crowded
-        summed = lines.select("id", "line", *[(F.length("line") - F.length(F.translate("line", g, ""))).alias(f"_s{k}") for k, g in enumerate(LETTERS)])
-        sums = [f"_s{k}" for k in range(len(LETTERS))]
-        cell = lambda c, shift: F.floor((F.col(c) + shift) / BAND).cast("int")
-        around = [F.xxhash64("key", *[cell(c, sign * EDITS) for c, sign in zip(sums, signs, strict=True)]) for signs in product((-1, 1), repeat=len(sums))]
-        own = F.when(F.col("crowded"), F.xxhash64("key", *[cell(c, 0) for c in sums])).otherwise(F.col("key"))
-        asked = F.when(F.col("crowded"), F.array_distinct(F.array(*around))).otherwise(F.array("key"))
-        index = index_keys(summed, sums).join(known, "key", "left").select(own.alias("key"), "id").repartition("key").distinct()
-        probes = probe_keys(summed, sums).join(known, "key", "left").select("id", "same", F.explode(asked).alias("key"))
-    found = _pairs(probes, index, ["key"])
+def _verified(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """The candidate pairs that are within EDITS edits."""
     found = settled(found)
-    texts = _fetch(lines, found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))))
-    texts = settled(texts.select("id", "chars", bag(F.col("chars")).alias("bag")))
+    ends = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id")))
+    texts = settled(_fetch(lines, ends).select("id", characters(F.col("line")).alias("chars")).select("id", "chars", bag(F.col("chars")).alias("bag")))
     left, right = (texts.select(F.col("id").alias(c), F.col("chars").alias(f"_{c}"), F.col("bag").alias(f"_bag_{c}")) for c in ("a", "b"))
     both = found.repartition(block_partitions(lines.sparkSession, found.count(), 500)).join(left, "a").join(right, "b")
     near = F.when(bags_allow(F.col("_bag_a"), F.col("_bag_b")), within_edits(F.col("_a"), F.col("_b"))).otherwise(F.lit(False))
     return settled(both.where(near).select("a", "b"))
 
 
+def _classed(asked: DataFrame, own: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
+    """Links that join the same classes as all links of ``found`` and of the crowded rows do.
+
+    Every line is held against the least line of each of its keys. Pairs are
+    made only where that leaves a key with lines of several classes, and one
+    side of each is a line outside the class of the key's pivot.
+    """
+    pivots = settled(own.groupBy("key").agg(F.min("id").alias("pivot")))
+    star = asked.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    links = _verified(found.union(star).distinct(), lines)
+    classes = settled(components(links))
+    roots = lambda rows, c: rows.join(classes.withColumnRenamed("node", c), c, "left").withColumn("root", F.coalesce("root", c))
+    mains = roots(pivots, "pivot").select("key", F.col("root").alias("main"))
+    asked, own = (roots(rows, "id").join(mains, "key").withColumn("outside", F.col("root") != F.col("main")).drop("main") for rows in (asked, own))
+    asked, own = settled(asked), settled(own.withColumnRenamed("root", "other_root").withColumnRenamed("outside", "other_outside"))
+    rest = _pairs(asked.where("outside"), own, "root <> other_root").union(_pairs(asked.where("not outside"), own.where("other_outside"), "root <> other_root"))
+    return settled(links.union(_verified(rest.distinct(), lines)))
+
+
+def edit_links(lines: DataFrame, dense: int = 8, spanning: bool = False) -> DataFrame:
+    """Links (a, b) of distinct lines (id, line, repeats allowed) within EDITS edits.
+
+    Lines of keys with more than ``dense`` index rows are joined by the keys of
+    the next cut instead. ``spanning`` leaves out links inside a class that
+    other links hold together, where a key of the last cut is crowded.
+    """
+    found, members, crowd = [], lines, None
+    for parts in CUTS:
+        asked, own = first_keys(members) if parts == CUTS[0] else finer_keys(members, parts)
+        last = parts == CUTS[-1]
+        if last and not spanning:
+            found.append(_pairs(asked, own))
+            break
+        crowded = settled(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("key"))
+        several = crowded.count()
+        if not several:
+            found.append(_pairs(asked, own))
+            break
+        known = F.broadcast(crowded) if several <= 200_000 else crowded
+        found.append(_pairs(asked.join(known, "key", "left_anti"), own.join(known, "key", "left_anti")))
+        if last:
+            crowd = tuple(settled(rows.join(known, "key", "left_semi")) for rows in (asked, own))
+        else:
+            members = _fetch(members, asked.join(known, "key", "left_semi"))
+    pairs = reduce(DataFrame.union, found).distinct()
+    return _verified(pairs, lines) if crowd is None else _classed(*crowd, pairs, lines)
+
+
 def repeated_lines(docs: DataFrame, least_chars: int = 32, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, row_key, removed): for each row that repeats lines of earlier ones, the numbers of those lines, from 0.
 
@@ -206,7 +266,7 @@ def repeated_lines(docs: DataFrame, least_chars: int = 32, exact_chars: int | No
     never removed. Rows that repeat both doc_id and text count as one document.
     """
     lines = lines_of(docs, least_chars, exact_chars).withColumn("id", F.xxhash64("line"))
-    links = edit_links(lines.where(F.length("line") >= least_chars).select("id", "line"))
+    links = edit_links(lines.where(F.length("line") >= least_chars).select("id", "line"), spanning=True)
     classes = components(links)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "line_no")
     places = lines.select("id", place.alias("place"))

@@ -242,6 +242,39 @@ def test_edit_links_match_all_pairs(spark, dense):
     assert {tuple(r) for r in line_dedup.edit_links(rows, dense).collect()} == want
 
 
+@pytest.mark.parametrize("dense", [1, 8])
+def test_crowded_lines_keep_their_classes(spark, dense):
+    rng = random.Random(21)
+    base = [words(rng, 9) for _ in range(3)]
+    lines = {"".join(c if k not in at else "#" for k, c in enumerate(x)) for x in base for _ in range(40) for at in [rng.sample(range(len(x)), rng.choice([1, 1, 2, 4]))]}
+    lines |= {f"sold on the {rng.randrange(10**9):09d} to the buyer of the day" for _ in range(60)}  # a template
+    lines |= {base[0][:k] + "+" * 3 + base[0][k:] for k in range(0, 30, 3)}
+    lines = sorted(lines)
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("id"), "line")
+    rows = rows.union(rows)
+    ids = {r["line"]: r["id"] for r in rows.collect()}
+    links = {tuple(sorted((ids[a], ids[b]))) for i, a in enumerate(lines) for b in lines[:i] if edits(a, b) <= 2}
+
+    def classes(pairs):
+        root = {}
+
+        def top(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[top(a)] = top(b)
+        groups = {}
+        for x in root:
+            groups.setdefault(top(x), set()).add(x)
+        return {frozenset(g) for g in groups.values()}
+
+    assert {tuple(r) for r in line_dedup.edit_links(rows, dense).collect()} == links
+    got = {tuple(r) for r in line_dedup.edit_links(rows, dense, spanning=True).collect()}
+    assert got <= links and classes(got) == classes(links)
+
+
 def test_line_dedup_keeps_the_first(spark):
     a, b, c = "a line that is long enough to be judged", "another line, also long enough to be judged", "short"
     rows = [(5, f"{a}\n{c}", None, None), (2, f"{b}\n{a}!\n{c}\n\n", None, None), (9, None, None, None), (8, "", None, None), (7, f"{b}\n{b}", None, None), (None, a, None, None)]
