@@ -37,6 +37,8 @@ BAND = 2 * EDITS + 1
 LEAST_EDITED = 16
 #: Segments of each cut: the first serves all lines, a later one those that share a crowded key of the cut before.
 CUTS = (EDITS + 1, 5, 9, 17)
+#: Index rows from which a key of each cut is crowded: about where a line's pairs under it outnumber the line's keys in the next cut.
+DENSE = (12, 48, 192, 192)
 
 
 def lines_of(docs: DataFrame, least_chars: int, exact_chars: int | None = None) -> DataFrame:
@@ -80,11 +82,12 @@ def _key(parts: int, i: Column, j: Column, longer: Column, shift: Column, given:
     return F.when(n >= 0, F.xxhash64(n, i, j, *texts))
 
 
-def first_keys(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(asked, own): (key, id, kind) of the first cut for each distinct line, and the index's (key, id) alone.
+def first_keys(lines: DataFrame) -> DataFrame:
+    """(key, id, kind) of the first cut, once for each distinct line; the rows of kind 0 are the index.
 
     The keys of a line are one row of whole numbers, of which a task keeps one
     for each line: a line that occurs everywhere is a few rows from there on.
+    They are written once for the count, the pairs and the crowded lines.
     """
     parts = CUTS[0]
     cases = open_segments(parts)
@@ -92,28 +95,22 @@ def first_keys(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = lines.select("id", "line", F.length("line").alias("_n"))
     keys = [_key(parts, *map(F.lit, c), given=(c[0] > 0, c[1] > c[0] + 1, c[1] < parts - 1)).alias(f"_k{x}") for x, c in enumerate(cases)]
     names = [f"_k{x}" for x in range(len(cases))]
-
-    def once(wanted: list[str], made: list[Column]) -> DataFrame:
-        return sized.select("id", *made).groupBy("id").agg(*[F.min(c).alias(c) for c in wanted])
-
-    asked = once(names, keys).select("id", F.posexplode(F.array(*names)).alias("nth", "key")).where("key is not null")
+    once = settled(sized.select("id", *keys).groupBy("id").agg(*[F.min(c).alias(c) for c in names]))
+    asked = once.select("id", F.posexplode(F.array(*names)).alias("nth", "key")).where("key is not null")
     kind = F.when(F.col("nth") < n_own, 0).when(F.col("nth") < n_same, 1).otherwise(2)
-    own = once(names[:n_own], keys[:n_own]).select("id", F.explode(F.array(*names[:n_own])).alias("key"))
-    return asked.select("key", "id", kind.alias("kind")), own.select("key", "id")
+    return asked.select("key", "id", kind.alias("kind"))
 
 
-def finer_keys(lines: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+def finer_keys(lines: DataFrame, parts: int) -> DataFrame:
     """``first_keys`` for ``parts`` segments and distinct lines."""
     rows = lines.select("id", "line", F.length("line").alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(parts - 2))).alias("_i"))
     rows = rows.select("*", F.explode(F.sequence(F.col("_i") + 1, F.lit(parts - 1))).alias("_j"))
-    shifts = lambda longer: F.when(F.col("_j") == F.col("_i") + 1, F.array(F.lit(0))).otherwise(F.sequence(longer - 1, F.lit(1)))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(EDITS))).alias("_longer"))
+    shifts = F.when(F.col("_j") == F.col("_i") + 1, F.array(F.lit(0))).otherwise(F.sequence(F.col("_longer") - 1, F.lit(1)))
+    rows = rows.select("*", F.explode(shifts).alias("_shift"))
     key = _key(parts, F.col("_i"), F.col("_j"), F.col("_longer"), F.col("_shift"))
-    asked = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(EDITS))).alias("_longer"))
-    asked = asked.select("*", F.explode(shifts(F.col("_longer"))).alias("_shift"))
     kind = F.when(F.col("_longer") > 0, 2).when(F.col("_shift") != 0, 1).otherwise(0)
-    asked = asked.select(key.alias("key"), "id", kind.alias("kind")).where("key is not null")
-    own = rows.select("*", F.lit(0).alias("_longer"), F.lit(0).alias("_shift")).select(key.alias("key"), "id")
-    return asked, own
+    return settled(rows.select(key.alias("key"), "id", kind.alias("kind")).where("key is not null"))
 
 
 def characters(text: Column) -> Column:
@@ -196,18 +193,17 @@ def _fetch(lines: DataFrame, ids: DataFrame, small: int = 500_000) -> DataFrame:
     return settled(lines.select("id", "line").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
 
 
-def _verified(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """The candidate pairs that are within EDITS edits."""
+def _verified(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """The candidate pairs that are within EDITS edits; ``texts`` holds (id, line) of all of them."""
     found = settled(found)
-    ends = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id")))
-    texts = settled(_fetch(lines, ends).select("id", characters(F.col("line")).alias("chars")).select("id", "chars", bag(F.col("chars")).alias("bag")))
+    texts = settled(texts.select("id", characters(F.col("line")).alias("chars")).select("id", "chars", bag(F.col("chars")).alias("bag")))
     left, right = (texts.select(F.col("id").alias(c), F.col("chars").alias(f"_{c}"), F.col("bag").alias(f"_bag_{c}")) for c in ("a", "b"))
-    both = found.repartition(block_partitions(lines.sparkSession, found.count(), 500)).join(left, "a").join(right, "b")
+    both = found.repartition(block_partitions(found.sparkSession, found.count(), 500)).join(left, "a").join(right, "b")
     near = F.when(bags_allow(F.col("_bag_a"), F.col("_bag_b")), within_edits(F.col("_a"), F.col("_b"))).otherwise(F.lit(False))
     return settled(both.where(near).select("a", "b"))
 
 
-def _classed(asked: DataFrame, own: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
+def _classed(asked: DataFrame, own: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     """Links that join the same classes as all links of ``found`` and of the crowded rows do.
 
     Every line is held against the least line of each of its keys. Pairs are
@@ -216,43 +212,49 @@ def _classed(asked: DataFrame, own: DataFrame, found: DataFrame, lines: DataFram
     """
     pivots = settled(own.groupBy("key").agg(F.min("id").alias("pivot")))
     star = asked.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-    links = _verified(found.union(star).distinct(), lines)
+    links = _verified(found.union(star).distinct(), texts)
     classes = settled(components(links))
     roots = lambda rows, c: rows.join(classes.withColumnRenamed("node", c), c, "left").withColumn("root", F.coalesce("root", c))
     mains = roots(pivots, "pivot").select("key", F.col("root").alias("main"))
     asked, own = (roots(rows, "id").join(mains, "key").withColumn("outside", F.col("root") != F.col("main")).drop("main") for rows in (asked, own))
     asked, own = settled(asked), settled(own.withColumnRenamed("root", "other_root").withColumnRenamed("outside", "other_outside"))
     rest = _pairs(asked.where("outside"), own, "root <> other_root").union(_pairs(asked.where("not outside"), own.where("other_outside"), "root <> other_root"))
-    return settled(links.union(_verified(rest.distinct(), lines)))
+    return settled(links.union(_verified(rest.distinct(), texts)))
 
 
-def edit_links(lines: DataFrame, dense: int = 8, spanning: bool = False) -> DataFrame:
+def edit_links(lines: DataFrame, dense: int | None = None, spanning: bool = False) -> DataFrame:
     """Links (a, b) of distinct lines (id, line, repeats allowed) within EDITS edits.
 
-    Lines of keys with more than ``dense`` index rows are joined by the keys of
-    the next cut instead. ``spanning`` leaves out links inside a class that
-    other links hold together, where a key of the last cut is crowded.
+    Lines of keys with more than ``dense`` index rows (unset: ``DENSE`` of the
+    cut) are joined by the keys of the next cut instead. ``spanning`` leaves
+    out links inside a class that other links hold together, where a key of
+    the last cut is crowded. The lines themselves are read for the first keys
+    and for one fetch of the texts that are wanted later.
     """
-    found, members, crowd = [], lines, None
-    for parts in CUTS:
-        asked, own = first_keys(members) if parts == CUTS[0] else finer_keys(members, parts)
+    found, members, texts, crowd = [], None, None, None
+    for parts, most in zip(CUTS, DENSE, strict=True):
+        asked = first_keys(lines) if members is None else finer_keys(texts.join(members, "id", "left_semi"), parts)
+        own = asked.where("kind = 0").select("key", "id")
         last = parts == CUTS[-1]
-        if last and not spanning:
-            found.append(_pairs(asked, own))
-            break
-        crowded = settled(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("key"))
-        several = crowded.count()
+        several = 0
+        if spanning or not last:
+            crowded = settled(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (dense or most)).select("key"))
+            several = crowded.count()
         if not several:
-            found.append(_pairs(asked, own))
-            break
-        known = F.broadcast(crowded) if several <= 200_000 else crowded
-        found.append(_pairs(asked.join(known, "key", "left_anti"), own.join(known, "key", "left_anti")))
-        if last:
-            crowd = tuple(settled(rows.join(known, "key", "left_semi")) for rows in (asked, own))
+            found.append(settled(_pairs(asked, own)))
         else:
-            members = _fetch(members, asked.join(known, "key", "left_semi"))
+            known = F.broadcast(crowded) if several <= 200_000 else crowded
+            found.append(settled(_pairs(asked.join(known, "key", "left_anti"), own.join(known, "key", "left_anti"))))
+            members = settled(asked.join(known, "key", "left_semi").select("id").distinct())
+        if texts is None:
+            ends = found[0].select(F.explode(F.array("a", "b")).alias("id"))
+            texts = _fetch(lines, ends.union(members) if several else ends)
+        if last and several:
+            crowd = tuple(settled(rows.join(known, "key", "left_semi")) for rows in (asked, own))
+        if not several:
+            break
     pairs = reduce(DataFrame.union, found).distinct()
-    return _verified(pairs, lines) if crowd is None else _classed(*crowd, pairs, lines)
+    return _verified(pairs, texts) if crowd is None else _classed(*crowd, pairs, texts)
 
 
 def repeated_lines(docs: DataFrame, least_chars: int = 32, exact_chars: int | None = None) -> DataFrame:

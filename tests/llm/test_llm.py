@@ -242,7 +242,7 @@ def test_edit_links_match_all_pairs(spark, dense):
     assert {tuple(r) for r in line_dedup.edit_links(rows, dense).collect()} == want
 
 
-@pytest.mark.parametrize("dense", [1, 8])
+@pytest.mark.parametrize("dense", [1, 8, None])
 def test_crowded_lines_keep_their_classes(spark, dense):
     rng = random.Random(21)
     base = [words(rng, 9) for _ in range(3)]
