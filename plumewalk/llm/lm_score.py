@@ -11,16 +11,19 @@ failure arc, so the weights of all words that may follow a state sum to one
 state and adds up log weights.
 
 All levels grow with the corpus and stay Spark tables: nothing is left out for
-being rare, so a text's weight does not depend on a threshold. Each block of
-documents is sent just the arcs of its own words and pairs, and each block of
-words just the arcs of its own n-grams. As every token is followed by one
-token, the counts of a state's pairs sum to the state's own count, and the
-failure weight is ``discount * pairs / count``.
+being rare, so a text's weight does not depend on a threshold. Texts are read
+into slices: the tokens as numbers into the slice's own list of words. A slice
+asks each part of the lexicon for its words and each part of the pair table for
+its pairs. Both are sorted lists, so what goes through a shuffle is a few bytes
+for each distinct word or pair of a slice, and an answer needs no keys. As every
+token is followed by one token, the counts of a state's pairs sum to the state's
+own count, and the failure weight is ``discount * pairs / count``.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
@@ -28,7 +31,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +41,6 @@ from plumewalk.session import durable
 FIRST, LAST = "\x02", "\x03"
 #: The token after the last word of a text; a word never holds a blank.
 STOP, END = " ", b" "
-#: Between the two words of a pair, where the empty word stands for STOP; a word never holds a tab.
-BETWEEN = "\t"
 #: Discount of the spelling counts.
 SPELLING = 0.7
 
@@ -49,39 +50,217 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def pairs_of(words: list[bytes]) -> Iterator[bytes]:
-    """Neighbouring tokens of a text from its start to its end, as texts with BETWEEN in the middle."""
-    return map(b"\t".join, zip([b"", *words], [*words, b""], strict=True))
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers from -1 on in as few bytes each as they need, byte by byte, compressed; floats as they are."""
+    if values.dtype.kind != "f":
+        values = values.astype(np.int64) + 1
+        values = values.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(values) or values.max() <= np.iinfo(k).max))
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    head = bytes([values.itemsize, values.dtype.kind == "f"]) + len(planes).to_bytes(8, "little")
+    return head + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _count(docs: DataFrame, name: str, tokens, most: int) -> DataFrame:
-    """(``name``, c) of what ``tokens`` makes of each text's words. Counts are summed in each task, in tables of about ``most`` entries, before the shuffle."""
-    rows = docs.select(F.col("text").cast("string").alias("text"))
+def unpack(packed: bytes) -> np.ndarray:
+    size, planes = packed[0], pa.decompress(packed[10:], decompressed_size=int.from_bytes(packed[2:10], "little"), codec="zstd", asbytes=True)
+    raw = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).reshape(-1)
+    return raw.view(np.float64) if packed[1] else raw.view(f"u{size}").astype(np.int64) - 1
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Words and ends, none of which holds a line feed."""
+    whole = b"\n".join(words)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True).split(b"\n")
+
+
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+#: What slices and parts say to each other: ``part`` or ``slice`` is the group that reads the row.
+MESSAGE, MESSAGE_ARROW = "part long, slice long, kind string, a binary, b binary, c binary, d binary", pa.schema([("part", pa.int64()), ("slice", pa.int64()), ("kind", pa.string()), *((x, pa.binary()) for x in "abcd")])
+
+
+def _said(rows: Iterable[tuple]) -> pa.Table:
+    return _rows(MESSAGE_ARROW, [(*r, *[None] * (7 - len(r))) for r in rows])
+
+
+def slices_of(docs: DataFrame, block_chars: int) -> DataFrame:
+    """(slice, ids, lengths, tokens, words, times): the texts as numbers into the slice's distinct words, of which the end is number 0.
+
+    A slice ends with the text that brings it to ``block_chars`` characters; a
+    longer text is a slice by itself. The rows are settled, so the numbers of
+    the slices hold for all that follows.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = ["slice", "ids", "lengths", "tokens", "words", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table(seen: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], [name, "c"])
+        first, done = TaskContext.get().partitionId() << 32, 0
+
+        def fresh():
+            number: defaultdict = defaultdict()
+            number.default_factory = number.__len__
+            number[END]
+            return number, [], []
+
+        def flush() -> pa.RecordBatch:
+            tokens = np.concatenate(found)
+            row = [first + done, pack(np.array([len(x) for x in found])), pack(tokens), pack_words(list(number)), pack(np.bincount(tokens, minlength=len(number)))]
+            listed = pa.concat_arrays(ids)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
+            return pa.RecordBatch.from_arrays([pa.array(row[:1], pa.int64()), listed, *(pa.array([x], pa.binary()) for x in row[1:])], fields)
+
+        (number, found, ids), chars = fresh(), 0
+        for batch in batches:
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                words = words_of(t)
+                found.append(np.fromiter(map(number.__getitem__, [*words, END]), np.int64, len(words) + 1))
+                ids.append(batch.column(0).slice(k, 1))
+                chars += len(t or "")
+                if chars >= block_chars:
+                    yield flush()
+                    (number, found, ids), chars, done = fresh(), 0, done + 1
+        if found:
+            yield flush()
+
+    out = f"slice long, ids array<{kind}>, lengths binary, tokens binary, words binary, times binary"
+    return durable(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, out))
+
+
+def _places(words: list[bytes], parts: int) -> list[np.ndarray]:
+    """The positions of the words of each part of the lexicon."""
+    part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.searchsorted(part[order], np.arange(1, parts)))
 
-        seen: Counter = Counter()
+
+def _asked(slices: DataFrame, parts: int) -> DataFrame:
+    """The words of each slice and how often it has them, for each part of the lexicon."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(tokens((t or "").encode().lower().split()))
-                if len(seen) >= most:
-                    yield table(seen)
-                    seen = Counter()
-        yield table(seen)
+            for own, packed, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words, c = unpack_words(packed), unpack(times)
+                found = ((p, own, "asked", pack_words([words[i] for i in at]), pack(c[at])) for p, at in enumerate(_places(words, parts)) if len(at))
+                yield from _said(found).to_batches()
 
-    return rows.mapInArrow(run, f"{name} string, c long").groupBy(name).agg(F.sum("c").alias("c"))
+    return slices.select("slice", "words", "times").mapInArrow(run, MESSAGE)
 
 
-def count_words(docs: DataFrame, most: int = 400_000) -> DataFrame:
-    """(word, c) over all texts and their ends."""
-    return _count(docs, "word", lambda words: [*words, b" "], most)
+def _grouped(messages: DataFrame, by: str, groups: int, run, schema: str = MESSAGE) -> DataFrame:
+    return messages.repartition(max(1, groups), by).groupBy(by).applyInArrow(run, schema)
 
 
-def count_pairs(docs: DataFrame, most: int = 400_000) -> DataFrame:
-    """(pair, c) of all neighbouring tokens; the start of a text counts as STOP."""
-    return _count(docs, "pair", lambda words: map(b"\t".join, zip([b"", *words], [*words, b""], strict=True)), most)
+def _messages(rows: pa.Table) -> Iterator[dict]:
+    for batch in rows.to_batches(max_chunksize=64):
+        yield from batch.to_pylist()
+
+
+def lexicon_of(asked: DataFrame, parts: int) -> DataFrame:
+    """One message of each part: its words in byte order and their counts. A word's number is its place times ``parts`` plus its part."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        seen: dict[bytes, int] = {}
+        for r in _messages(rows):
+            for w, c in zip(unpack_words(r["a"]), unpack(r["b"]).tolist(), strict=True):
+                seen[w] = seen.get(w, 0) + c
+        words = sorted(seen)
+        return _said([(r["part"], 0, "lexicon", pack_words(words), pack(np.array([seen[w] for w in words])))])
+
+    return durable(_grouped(asked, "part", parts, merge))
+
+
+def counted_words(lexicon: DataFrame, parts: int) -> DataFrame:
+    """(word, c, number) of a lexicon."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                words, c = unpack_words(r["a"]), unpack(r["b"])
+                number = np.arange(len(words)) * parts + r["part"]
+                for i in range(0, len(words), 50_000):
+                    cut = slice(i, i + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(words[cut], pa.binary()).cast(pa.string()), pa.array(c[cut]), pa.array(number[cut])], ["word", "c", "number"])
+
+    return lexicon.mapInArrow(run, "word string, c long, number long")
+
+
+@dataclass(frozen=True)
+class PairCode:
+    """A pair of word numbers as its part and one number within the part: hot words spread over all parts, and the code is exact."""
+
+    numbers: int
+    parts: int
+
+    @property
+    def width(self) -> int:
+        return -(-self.numbers // self.parts) or 1
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (first + second) % self.parts, first * self.width + second // self.parts
+
+    def back(self, part: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = code // self.width
+        return first, code % self.width * self.parts + (part - first) % self.parts
+
+
+def _slice_pairs(tokens: np.ndarray, number: np.ndarray, code: PairCode) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """For each token the number of its pair among the slice's distinct pairs; and (part, their numbers, their sorted codes) of the pairs of two known words."""
+    local, of = np.unique(np.concatenate([[0], tokens[:-1]]) * len(number) + tokens, return_inverse=True)
+    first, second = number[local // len(number)], number[local % len(number)]
+    known = np.nonzero((first >= 0) & (second >= 0))[0]
+    part, codes = code.of(first[known], second[known])
+    order = np.lexsort((codes, part))
+    known, part, codes = known[order], part[order], codes[order]
+    starts = np.nonzero(np.diff(part, prepend=-1))[0].tolist()
+    return of, [(int(part[i]), known[i:j], codes[i:j]) for i, j in zip(starts, [*starts, len(part)][1:], strict=True)]
+
+
+def pairs_of(slices: DataFrame, asked: DataFrame, lexicon: DataFrame, parts: int, code: PairCode) -> DataFrame:
+    """One message of each part of the pair table: sorted codes (as steps) and counts."""
+
+    def number(rows: pa.Table) -> pa.Table:
+        rows = list(_messages(rows))
+        own = next(r for r in rows if r["kind"] == "lexicon")
+        numbers = {w: i * parts + own["part"] for i, w in enumerate(unpack_words(own["a"]))}
+        return _said((r["part"], r["slice"], "number", pack(np.array([numbers[w] for w in unpack_words(r["a"])]))) for r in rows if r["kind"] == "asked")
+
+    def count(own: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        for r in own.to_pylist():
+            tokens, words = unpack(r["tokens"]), unpack_words(r["words"])
+            numbers, = _answers(words, parts, told, "a")
+            of, found = _slice_pairs(tokens, numbers, code)
+            times = np.bincount(of)
+            out += [(p, r["slice"], "pairs", pack(np.diff(codes, prepend=0)), pack(times[at])) for p, at, codes in found]
+        return _said(out)
+
+    def merge(rows: pa.Table) -> pa.Table:
+        found = [(np.cumsum(unpack(r["a"])), unpack(r["b"])) for r in _messages(rows)]
+        codes, of = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+        times = np.bincount(of, np.concatenate([x for _, x in found])).astype(np.int64)
+        return _said([(rows.column("part")[0].as_py(), 0, "pairs", pack(np.diff(codes, prepend=0)), pack(times))])
+
+    numbers = _grouped(asked.union(lexicon), "part", parts, number)
+    own = slices.select("slice", "tokens", "words").groupBy("slice").cogroup(numbers.groupBy("slice")).applyInArrow(count, MESSAGE)
+    return durable(_grouped(own, "part", code.parts, merge))
+
+
+def _answers(words: list[bytes], parts: int, told: pa.Table, columns: str) -> list[np.ndarray]:
+    """What the parts of the lexicon told a slice, in the order of its words."""
+    at = _places(words, parts)
+    out: list = [None] * len(columns)
+    for r in _messages(told):
+        for k, name in enumerate(columns):
+            values = unpack(r[name])
+            if out[k] is None:
+                out[k] = np.zeros(len(words), values.dtype)
+            out[k][at[r["part"]]] = values
+    return out
 
 
 def count_spellings(words: DataFrame, order: int, most: int = 400_000) -> DataFrame:
@@ -124,8 +303,8 @@ class Automaton:
     """What is learnt: a few numbers, and the levels as tables.
 
     ``grams`` is (gram, arc, fail): the log weight of the gram's last character
-    after the others, and the failure weight of the gram as a state. ``pairs``
-    is (pair, c). A task has no tables but sets ``spelling`` to the grams of
+    after the others, and the failure weight of the gram as a state.
+    ``lexicon`` and ``pairs`` have one row for each of their parts. A task has no tables but sets ``spelling`` to the grams of
     its block. The dictionaries read a whole table into memory; they are for
     looking at small models.
     """
@@ -136,7 +315,10 @@ class Automaton:
     order: int
     unseen: float
     grams: DataFrame | None = None
+    lexicon: DataFrame | None = None
+    parts: int = 1
     pairs: DataFrame | None = None
+    code: PairCode = PairCode(1, 1)
     counts: DataFrame | None = None
 
     @cached_property
@@ -153,11 +335,13 @@ class Automaton:
 
     @cached_property
     def pair_arcs(self) -> dict[bytes, dict[bytes, float]]:
-        counts = {r["word"]: r["c"] for r in self.counts.toLocalIterator()}
+        rows = self.counts.collect()
+        counts, named = {r["word"]: r["c"] for r in rows}, {r["number"]: r["word"] for r in rows}
         followers: dict[str, dict[str, int]] = {}
         for r in self.pairs.toLocalIterator():
-            first, second = (w or STOP for w in r["pair"].split(BETWEEN))
-            followers.setdefault(first, {})[second] = r["c"]
+            ends = self.code.back(r["part"], np.cumsum(unpack(bytes(r["a"]))))
+            for first, second, c in zip(*(x.tolist() for x in ends), unpack(bytes(r["b"])).tolist(), strict=True):
+                followers.setdefault(named[first], {})[named[second]] = c
         out = {}
         for first, found in followers.items():
             fail = self.discount * len(found) / counts[first]
@@ -222,118 +406,175 @@ def weigh_spellings(counted: DataFrame, order: int) -> tuple[DataFrame, float]:
     return durable(arcs.select("gram", F.log10("p").alias("arc")).join(states, "gram", "full")), unseen
 
 
-def fit_automaton(train: DataFrame, order: int = 5, rarest: int | None = None, discount: float = 0.75) -> tuple[Automaton, DataFrame]:
-    """(automaton, root arcs) learnt from all texts of ``train``; the root arcs are a table (word, c) in the shared folder.
+def fit_automaton(train: DataFrame, order: int = 5, rarest: int | None = None, discount: float = 0.75, block_chars: int = 24_000_000, part_words: int = 500_000, part_pairs: int = 3_000_000) -> tuple[Automaton, DataFrame]:
+    """(automaton, counts) learnt from all texts of ``train``; counts is (word, c, number).
 
-    ``rarest`` has no effect: it bounded the pairs and n-grams that were kept, and all are kept now.
+    A part of the lexicon reads about ``part_words`` distinct words of slices
+    and a part of the pair table at most about ``part_pairs`` pairs of slices.
+    ``rarest`` has no effect: it bounded the pairs and n-grams that were kept,
+    and all are kept now.
     """
-    counts = durable(count_words(train))
-    row = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    slices = slices_of(train, block_chars)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(len(unpack(t)), int(unpack(n).sum())) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["words", "tokens"])
+
+    size = slices.select("times", "lengths").mapInArrow(sizes, "words long, tokens long").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
+    tokens, parts = int(size["tokens"] or 0), max(1, -(-int(size["words"] or 0) // part_words))
+    asked = _asked(slices, parts)
+    lexicon = lexicon_of(asked, parts)
+    counts = counted_words(lexicon, parts)
+    row = counts.agg(F.count(F.lit(1)).alias("v"), F.max("number").alias("last")).first()
+    code = PairCode(int(row["last"] or 0) + 1, max(1, -(-tokens // part_pairs)))
+    pairs = pairs_of(slices, asked, lexicon, parts, code)
     grams, unseen = weigh_spellings(durable(count_spellings(counts.where(F.col("word") != STOP), order)), order)
-    return Automaton(int(row["n"] or 0), int(row["v"]), discount, order, unseen, grams, durable(count_pairs(train)), counts), counts
+    return Automaton(tokens, int(row["v"]), discount, order, unseen, grams, lexicon, parts, pairs, code, counts), counts
 
 
-def spell_words(words: DataFrame, automaton: Automaton, block_words: int = 40_000) -> DataFrame:
-    """(word, c, n, root) of distinct ``words`` (word, c, n): the root weight of each, spelt in blocks that fetch the arcs of their own n-grams."""
-    words = durable(words)
-    blocks = max(1, -(-words.count() // block_words))
-    dealt = words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    order, bare = automaton.order, replace(automaton, grams=None, pairs=None, counts=None)
+def _followers(pairs: DataFrame, code: PairCode, parts: int) -> DataFrame:
+    """For each part of the lexicon, how many different tokens follow its words, as far as a part of the pair table knows."""
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w, block in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, own = FIRST + w + LAST, seen.setdefault(block, set())
-                own.update(s[i : i + n] for n in range(1, order + 1) for i in range(len(s) - n + 1))
-        for block, grams in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int32()), pa.array(list(grams), pa.string())], ["block", "gram"])
+            for r in batch.to_pylist():
+                first, n = np.unique(code.back(r["part"], np.cumsum(unpack(r["a"])))[0], return_counts=True)
+                part, place = first % parts, first // parts
+                found = ((p, 0, "followers", pack(np.diff(place[part == p], prepend=0)), pack(n[part == p])) for p in np.unique(part).tolist())
+                yield from _said(found).to_batches()
+
+    return pairs.mapInArrow(run, MESSAGE)
+
+
+def known_words(asked: DataFrame, automaton: Automaton) -> DataFrame:
+    """One message of each part: the distinct words that slices ask for, with their numbers (-1: not learnt), counts and followers, as columns a to d."""
+    parts = automaton.parts
+
+    def look(rows: pa.Table) -> pa.Table:
+        names, c, n, wanted = [], np.zeros(0, np.int64), [], set()
+        for r in _messages(rows):
+            if r["kind"] == "lexicon":
+                names, c = unpack_words(r["a"]), unpack(r["b"])
+            elif r["kind"] == "followers":
+                n.append((np.cumsum(unpack(r["a"])), unpack(r["b"])))
+            else:
+                wanted.update(unpack_words(r["a"]))
+        if not wanted:
+            return _said([])
+        part = rows.column("part")[0].as_py()
+        after = np.zeros(len(names) + 1, np.int64)
+        for at, more in n:
+            after[at] += more
+        place, words = {w: i for i, w in enumerate(names)}, sorted(wanted)
+        at = np.array([place.get(w, -1) for w in words])
+        return _said([(part, 0, "known", pack_words(words), pack(np.where(at >= 0, at * parts + part, -1)), pack(np.append(c, 0)[at]), pack(after[at]))])
+
+    return durable(_grouped(asked.union(automaton.lexicon).union(_followers(automaton.pairs, automaton.code, parts)), "part", parts, look))
+
+
+def spell_words(known: DataFrame, automaton: Automaton) -> DataFrame:
+    """(part, words, number, c, n, root): ``known`` with the root weight of each word, spelt in parts that fetch the arcs of their own n-grams."""
+    order, bare = automaton.order, replace(automaton, grams=None, lexicon=None, pairs=None, counts=None)
 
-    arcs = dealt.mapInArrow(distinct, "block int, gram string").join(automaton.grams, "gram")
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                grams: set[str] = set()
+                for w in unpack_words(packed):
+                    s = FIRST + w.decode() + LAST
+                    grams.update(s[i : i + n] for n in range(1, order + 1) for i in range(len(s) - n + 1))
+                found = list(grams)
+                for i in range(0, len(found), 50_000):
+                    cut = found[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(cut), pa.int64()), pa.array(cut, pa.string())], ["part", "gram"])
+
+    arcs = known.select("part", "a").mapInArrow(distinct, "part long, gram string").join(automaton.grams, "gram")
 
     def weigh(own: pa.Table, grams: pa.Table) -> pa.Table:
         model = replace(bare)
         model.spelling = _split(zip(*(grams.column(c).to_pylist() for c in ("gram", "arc", "fail")), strict=True))
-        pairs = zip(own.column("word").to_pylist(), own.column("c").to_pylist(), strict=True)
-        return pa.table([own.column("word"), own.column("c"), own.column("n"), pa.array([model.root(w, c) for w, c in pairs], pa.float64())], ["word", "c", "n", "root"])
+        r = own.to_pylist()[0]
+        root = np.array([model.root(w.decode(), c) for w, c in zip(unpack_words(r["a"]), unpack(r["c"]).tolist(), strict=True)])
+        return pa.table([own.column(x) for x in ("part", "a", "b", "c", "d")] + [pa.array([pack(root)], pa.binary())], ["part", "words", "number", "c", "n", "root"])
 
-    return dealt.groupBy("block").cogroup(arcs.groupBy("block")).applyInArrow(weigh, "word string, c long, n long, root double")
+    return known.groupBy("part").cogroup(arcs.groupBy("part")).applyInArrow(weigh, "part long, words binary, number binary, c binary, n binary, root binary")
 
 
-def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, block_chars: int = 12_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame | None = None, block_chars: int = 24_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every whole text of ``docs``.
 
-    Documents are dealt to blocks of about ``block_chars`` characters by a hash
-    of id and text. Each block's distinct words and pairs fetch their counts in
-    one join (each meets once per block, not once per token), and the block is
-    then scored in one traversal per text. Null and empty texts are one end
-    token. Repeated rows get equal results; other columns are not read; an
-    empty training corpus leaves spelling alone.
+    Texts are read into slices of about ``block_chars`` characters. A slice
+    asks once for each of its distinct words and once for each of its distinct
+    pairs, and is then scored in one traversal from left to right. Null and
+    empty texts are one end token. Repeated rows get equal results; other
+    columns are not read; an empty training corpus leaves spelling alone.
+    ``counts`` is not needed any more.
     """
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_chars))
-    dealt = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    dealt = dealt.repartition(blocks, "block")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table(block: int, keys: set[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(keys), pa.int32()), pa.array(list(keys), pa.binary()).cast(pa.string())], ["block", "key"])
-
-        seen: dict[int, set[bytes]] = {}
-        pairs: dict[int, set[bytes]] = {}
+    parts, code = automaton.parts, automaton.code
+    slices = slices_of(docs, block_chars)
+    asked = _asked(slices, parts)
+    known = spell_words(known_words(asked, automaton), automaton)
+
+    def tell(rows: pa.Table, known: pa.Table) -> pa.Table:
+        own = known.to_pylist()[0]
+        place = {w: i for i, w in enumerate(unpack_words(own["words"]))}
+        values = [unpack(own[x]) for x in ("number", "c", "n", "root")]
+        found = ((r, np.array([place[w] for w in unpack_words(r["a"])])) for r in _messages(rows))
+        return _said([(r["part"], r["slice"], "told", *(pack(v[at]) for v in values)) for r, at in found])
+
+    told = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(tell, MESSAGE)
+    columns = ["slice", "ids", "lengths", "tokens", "number", "c", "n", "root"]
+
+    def join(own: pa.Table, told: pa.Table) -> pa.Table:
+        values = _answers(unpack_words(own.column("words")[0].as_py()), parts, told, "abcd")
+        return pa.table([*(own.column(x) for x in columns[:4]), *(pa.array([pack(v)], pa.binary()) for v in values)], columns)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ready = slices.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(join, f"slice long, ids array<{kind}>, " + ", ".join(f"{c} binary" for c in columns[2:]))
+    ready = durable(ready)
+
+    def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, t in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(t)
-                seen.setdefault(block, {END}).update(words)
-                own = pairs.setdefault(block, set())
-                own.update(pairs_of(words))
-                if len(own) >= 500_000:  # a pair that comes twice does no harm below
-                    yield table(block, own)
-                    own.clear()
-        for found in (seen, pairs):
-            for block, keys in found.items():
-                yield table(block, keys)
-
-    wanted = dealt.mapInArrow(distinct, "block int, key string")  # all columns, so that both uses share one exchange
-    followers = automaton.pairs.groupBy(F.substring_index("pair", BETWEEN, 1).alias("_first")).agg(F.count(F.lit(1)).alias("n"))
-    followers = followers.select(F.when(F.col("_first") == "", STOP).otherwise(F.col("_first")).alias("word"), "n")
-    words = count_words(docs).select("word").join(counts, "word", "left").join(followers, "word", "left")
-    words = spell_words(words.select("word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("n", F.lit(0)).alias("n")), automaton)
-    known = words.withColumnRenamed("word", "key").unionByName(automaton.pairs.select(F.col("pair").alias("key"), "c"), allowMissingColumns=True)
-    arcs = wanted.join(known.hint("shuffle_hash"), "key")  # pairs that training lacks have no arc
+            for own, tokens, number in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = _slice_pairs(unpack(tokens), unpack(number), code)[1]
+                yield from _said((p, own, "asked", pack(np.diff(codes, prepend=0))) for p, _, codes in found).to_batches()
+
+    def find(rows: pa.Table) -> pa.Table:
+        rows = sorted(_messages(rows), key=lambda r: r["kind"] != "pairs")
+        if not rows or rows[0]["kind"] != "pairs":
+            return _said((r["part"], r["slice"], "times", pack(np.zeros(len(unpack(r["a"])), np.int64))) for r in rows)
+        codes, times = np.cumsum(unpack(rows[0]["a"])), unpack(rows[0]["b"])
+        out = []
+        for r in rows[1:]:
+            own = np.cumsum(unpack(r["a"]))
+            at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+            out.append((r["part"], r["slice"], "times", pack(np.where(codes[at] == own, times[at], 0))))
+        return _said(out)
+
+    requests = ready.select("slice", "tokens", "number").mapInArrow(request, MESSAGE)
+    times = _grouped(requests.union(automaton.pairs), "part", code.parts, find)
     floor, discount = automaton.tokens + automaton.vocabulary + 1, automaton.discount
 
-    def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        own = own.combine_chunks()
-        is_word = own.column("root").is_valid()
-        pairs, own = own.filter(pc.invert(is_word)), own.filter(is_word)
-        names = own.column("key").combine_chunks()
-        number = {w: k for k, w in enumerate(names.cast(pa.binary()).to_pylist())}
-        # a pair as one number made of its words' numbers, in order, with a last one that no pair has
-        ends = pc.index_in(pc.list_flatten(pc.split_pattern(pairs.column("key"), BETWEEN)), pc.if_else(pc.equal(names, STOP), "", names)).to_numpy().astype(np.int64)
-        codes = ends[0::2] * len(number) + ends[1::2]
-        order = np.argsort(codes)
-        codes, times = np.append(codes[order], np.iinfo(np.int64).max), np.append(pairs.column("c").to_numpy()[order], 0)
-        c, n = (own.column(x).to_numpy().astype(float) for x in ("c", "n"))
-        base, root = np.log10((c + 1) / floor), own.column("root").to_numpy()
-        weight, whole = 10.0**root, np.maximum(c, 1.0)
-        fail = discount * n / whole
-        out = {"doc_id": texts.column("doc_id"), "n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for t in texts.column("text").to_pylist():
-            words = words_of(t)
-            at = np.fromiter(map(number.__getitem__, [END, *words, END]), np.int64, len(words) + 2)
-            before, at = at[:-1], at[1:]
-            pair = before * len(number) + at
-            found = np.searchsorted(codes, pair)
-            seen = np.where(codes[found] == pair, times[found], 0)
-            arc = np.maximum(seen - discount, 0.0) / whole[before] + fail[before] * weight[at]
-            out["n_tokens"].append(len(at))
-            out["n_known"].append(int((c[at] > 0).sum()))
-            out["base_score"].append(float(base[at].sum()))
-            # a word without a state of its own, or a weight too small for a float, is added up in logs
-            plain = root[at] + np.log10(fail[before], where=fail[before] > 0, out=np.zeros(len(at)))
-            out["score"].append(float(np.where((fail[before] > 0) & (arc > 0), np.log10(np.maximum(arc, 1e-300)), plain).sum()))
-        return pa.table(out)
-
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(arcs.groupBy("block")).applyInArrow(score, kind)
+    def score(own: pa.Table, told: pa.Table) -> pa.Table:
+        r = {x: unpack(own.column(x)[0].as_py()) for x in columns[2:]}
+        of, found = _slice_pairs(r["tokens"], r["number"], code)
+        seen = np.zeros(int(of.max()) + 1)
+        at_part = {p: at for p, at, _ in found}
+        for m in _messages(told):
+            seen[at_part[m["part"]]] = unpack(m["a"])
+        at, root = r["tokens"], r["root"]
+        before = np.concatenate([[0], at[:-1]])  # every text starts behind an end
+        c = r["c"].astype(float)
+        whole = np.maximum(c, 1.0)
+        fail = (discount * r["n"] / whole)[before]
+        arc = np.maximum(seen[of] - discount, 0.0) / whole[before] + fail * (10.0**root)[at]
+        # a word without a state of its own, or a weight too small for a float, is added up in logs
+        plain = root[at] + np.log10(fail, where=fail > 0, out=np.zeros(len(at)))
+        weight = np.where((fail > 0) & (arc > 0), np.log10(np.maximum(arc, 1e-300)), plain)
+        starts = np.cumsum(r["lengths"]) - r["lengths"]
+        sums = [np.add.reduceat(v, starts) for v in ((c[at] > 0).astype(np.int64), np.log10((c + 1) / floor)[at], weight)]
+        return pa.table([own.column("ids").combine_chunks().flatten(), pa.array(r["lengths"]), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    out = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
+    return ready.groupBy("slice").cogroup(times.groupBy("slice")).applyInArrow(score, out)
