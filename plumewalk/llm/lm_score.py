@@ -22,6 +22,7 @@ own count, and the failure weight is ``discount * pairs / count``.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -31,16 +32,19 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumewalk.session import durable
+from plumewalk.session import durable, shared_folder
 
 #: Marks inside the spelling automaton: before the first and after the last character of a word.
 FIRST, LAST = "\x02", "\x03"
 #: The token after the last word of a text; a word never holds a blank.
 STOP, END = " ", b" "
+#: Root weights travel as whole numbers of this part of a base-10 log, 6e-8.
+ROOT_UNITS = 1 << 24
 #: Discount of the spelling counts.
 SPELLING = 0.7
 
@@ -88,12 +92,14 @@ def _said(rows: Iterable[tuple]) -> pa.Table:
     return _rows(MESSAGE_ARROW, [(*r, *[None] * (7 - len(r))) for r in rows])
 
 
-def slices_of(docs: DataFrame, block_chars: int) -> DataFrame:
-    """(slice, ids, lengths, tokens, words, times): the texts as numbers into the slice's distinct words, of which the end is number 0.
+def slices_of(docs: DataFrame, block_chars: int, learn: bool = False) -> DataFrame:
+    """(slice, ids, lengths, tokens, words, times): the texts as numbers into the slice's distinct words, the end first and then frequent words.
 
-    A slice ends with the text that brings it to ``block_chars`` characters; a
-    longer text is a slice by itself. The rows are settled, so the numbers of
-    the slices hold for all that follows.
+    To learn from, ``tokens`` are the slice's distinct pairs instead, as steps
+    from one (first word, second word) to the next, ``lengths`` their counts,
+    and there are no ids. A slice ends with the text that brings it to ``block_chars`` characters; a
+    longer text is a slice by itself. The rows must be settled before they are
+    used, so that the numbers of the slices hold for all that follows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = ["slice", "ids", "lengths", "tokens", "words", "times"]
@@ -108,9 +114,17 @@ def slices_of(docs: DataFrame, block_chars: int) -> DataFrame:
             return number, [], []
 
         def flush() -> pa.RecordBatch:
-            tokens = np.concatenate(found)
-            row = [first + done, pack(np.array([len(x) for x in found])), pack(tokens), pack_words(list(number)), pack(np.bincount(tokens, minlength=len(number)))]
-            listed = pa.concat_arrays(ids)
+            tokens, words = np.concatenate(found), list(number)
+            times = np.bincount(tokens, minlength=len(words))
+            order = np.concatenate([[0], 1 + np.argsort(-times[1:], kind="stable")])
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            tokens, lengths = rank[tokens], np.array([len(x) for x in found])
+            if learn:
+                tokens, lengths = np.unique(_local(tokens, len(words)), return_counts=True)
+                tokens = np.diff(tokens, prepend=0)
+            row = [first + done, pack(lengths), pack(tokens), pack_words([words[i] for i in order.tolist()]), pack(times[order])]
+            listed = pa.concat_arrays(ids)[: 0 if learn else None]
             listed = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
             return pa.RecordBatch.from_arrays([pa.array(row[:1], pa.int64()), listed, *(pa.array([x], pa.binary()) for x in row[1:])], fields)
 
@@ -128,12 +142,20 @@ def slices_of(docs: DataFrame, block_chars: int) -> DataFrame:
             yield flush()
 
     out = f"slice long, ids array<{kind}>, lengths binary, tokens binary, words binary, times binary"
-    return durable(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, out))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, out)
 
 
-def _places(words: list[bytes], parts: int) -> list[np.ndarray]:
+def _local(tokens: np.ndarray, words: int) -> np.ndarray:
+    """Each token with the one before it, as one number; every text starts behind an end."""
+    return np.concatenate([[0], tokens[:-1]]) * words + tokens
+
+
+def _parts_of(words: list[bytes], parts: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+
+
+def _places(part: np.ndarray, parts: int) -> list[np.ndarray]:
     """The positions of the words of each part of the lexicon."""
-    part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
     order = np.argsort(part, kind="stable")
     return np.split(order, np.searchsorted(part[order], np.arange(1, parts)))
 
@@ -145,7 +167,7 @@ def _asked(slices: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for own, packed, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words, c = unpack_words(packed), unpack(times)
-                found = ((p, own, "asked", pack_words([words[i] for i in at]), pack(c[at])) for p, at in enumerate(_places(words, parts)) if len(at))
+                found = ((p, own, "asked", pack_words([words[i] for i in at]), pack(c[at])) for p, at in enumerate(_places(_parts_of(words, parts), parts)) if len(at))
                 yield from _said(found).to_batches()
 
     return slices.select("slice", "words", "times").mapInArrow(run, MESSAGE)
@@ -210,14 +232,19 @@ class PairCode:
 
 def _slice_pairs(tokens: np.ndarray, number: np.ndarray, code: PairCode) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
     """For each token the number of its pair among the slice's distinct pairs; and (part, their numbers, their sorted codes) of the pairs of two known words."""
-    local, of = np.unique(np.concatenate([[0], tokens[:-1]]) * len(number) + tokens, return_inverse=True)
+    local, of = np.unique(_local(tokens, len(number)), return_inverse=True)
+    return of, _coded(local, number, code)
+
+
+def _coded(local: np.ndarray, number: np.ndarray, code: PairCode) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(part, their places, their sorted codes) of the pairs of two known words."""
     first, second = number[local // len(number)], number[local % len(number)]
     known = np.nonzero((first >= 0) & (second >= 0))[0]
     part, codes = code.of(first[known], second[known])
     order = np.lexsort((codes, part))
     known, part, codes = known[order], part[order], codes[order]
     starts = np.nonzero(np.diff(part, prepend=-1))[0].tolist()
-    return of, [(int(part[i]), known[i:j], codes[i:j]) for i, j in zip(starts, [*starts, len(part)][1:], strict=True)]
+    return [(int(part[i]), known[i:j], codes[i:j]) for i, j in zip(starts, [*starts, len(part)][1:], strict=True)]
 
 
 def pairs_of(slices: DataFrame, asked: DataFrame, lexicon: DataFrame, parts: int, code: PairCode) -> DataFrame:
@@ -232,11 +259,9 @@ def pairs_of(slices: DataFrame, asked: DataFrame, lexicon: DataFrame, parts: int
     def count(own: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for r in own.to_pylist():
-            tokens, words = unpack(r["tokens"]), unpack_words(r["words"])
-            numbers, = _answers(words, parts, told, "a")
-            of, found = _slice_pairs(tokens, numbers, code)
-            times = np.bincount(of)
-            out += [(p, r["slice"], "pairs", pack(np.diff(codes, prepend=0)), pack(times[at])) for p, at, codes in found]
+            local, times = np.cumsum(unpack(r["tokens"])), unpack(r["lengths"])
+            numbers, = _answers(unpack(r["part"]), parts, told, "a")
+            out += [(p, r["slice"], "pairs", pack(np.diff(codes, prepend=0)), pack(times[at])) for p, at, codes in _coded(local, numbers, code)]
         return _said(out)
 
     def merge(rows: pa.Table) -> pa.Table:
@@ -246,13 +271,25 @@ def pairs_of(slices: DataFrame, asked: DataFrame, lexicon: DataFrame, parts: int
         return _said([(rows.column("part")[0].as_py(), 0, "pairs", pack(np.diff(codes, prepend=0)), pack(times))])
 
     numbers = _grouped(asked.union(lexicon), "part", parts, number)
-    own = slices.select("slice", "tokens", "words").groupBy("slice").cogroup(numbers.groupBy("slice")).applyInArrow(count, MESSAGE)
+    own = _with_parts(slices.select("slice", "lengths", "tokens", "words"), parts).groupBy("slice").cogroup(numbers.groupBy("slice")).applyInArrow(count, MESSAGE)
     return durable(_grouped(own, "part", code.parts, merge))
 
 
-def _answers(words: list[bytes], parts: int, told: pa.Table, columns: str) -> list[np.ndarray]:
+def _with_parts(slices: DataFrame, parts: int) -> DataFrame:
+    """The last column, the words, as the part of each: all that a slice needs to put answers in place."""
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slices.schema.fields[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = [pack(_parts_of(unpack_words(w), parts)) for w in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(part, pa.binary())], [*batch.schema.names[:-1], "part"])
+
+    return slices.mapInArrow(run, f"{kept}, part binary")
+
+
+def _answers(part: np.ndarray, parts: int, told: pa.Table, columns: str) -> list[np.ndarray]:
     """What the parts of the lexicon told a slice, in the order of its words."""
-    at = _places(words, parts)
+    at, words = _places(part, parts), part
     out: list = [None] * len(columns)
     for r in _messages(told):
         for k, name in enumerate(columns):
@@ -414,7 +451,7 @@ def fit_automaton(train: DataFrame, order: int = 5, rarest: int | None = None, d
     ``rarest`` has no effect: it bounded the pairs and n-grams that were kept,
     and all are kept now.
     """
-    slices = slices_of(train, block_chars)
+    slices, folder = _table(slices_of(train, block_chars, learn=True))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,10 +466,24 @@ def fit_automaton(train: DataFrame, order: int = 5, rarest: int | None = None, d
     row = counts.agg(F.count(F.lit(1)).alias("v"), F.max("number").alias("last")).first()
     code = PairCode(int(row["last"] or 0) + 1, max(1, -(-tokens // part_pairs)))
     pairs = pairs_of(slices, asked, lexicon, parts, code)
+    _drop(train.sparkSession, folder)
     grams, unseen = weigh_spellings(durable(count_spellings(counts.where(F.col("word") != STOP), order)), order)
     return Automaton(tokens, int(row["v"]), discount, order, unseen, grams, lexicon, parts, pairs, code, counts), counts
 
 
+def _table(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and the table's own folder."""
+    folder = f"{shared_folder(df.sparkSession)}/slices-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    """Deletes a table of ``_table`` once all that was made of it is settled."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _followers(pairs: DataFrame, code: PairCode, parts: int) -> DataFrame:
     """For each part of the lexicon, how many different tokens follow its words, as far as a part of the pair table knows."""
 
@@ -496,6 +547,7 @@ def spell_words(known: DataFrame, automaton: Automaton) -> DataFrame:
         model.spelling = _split(zip(*(grams.column(c).to_pylist() for c in ("gram", "arc", "fail")), strict=True))
         r = own.to_pylist()[0]
         root = np.array([model.root(w.decode(), c) for w, c in zip(unpack_words(r["a"]), unpack(r["c"]).tolist(), strict=True)])
+        root = np.rint(root * -ROOT_UNITS).astype(np.int64)
         return pa.table([own.column(x) for x in ("part", "a", "b", "c", "d")] + [pa.array([pack(root)], pa.binary())], ["part", "words", "number", "c", "n", "root"])
 
     return known.groupBy("part").cogroup(arcs.groupBy("part")).applyInArrow(weigh, "part long, words binary, number binary, c binary, n binary, root binary")
@@ -512,7 +564,7 @@ def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame | None
     ``counts`` is not needed any more.
     """
     parts, code = automaton.parts, automaton.code
-    slices = slices_of(docs, block_chars)
+    slices, _ = _table(slices_of(docs, block_chars))
     asked = _asked(slices, parts)
     known = spell_words(known_words(asked, automaton), automaton)
 
@@ -524,21 +576,22 @@ def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame | None
         return _said([(r["part"], r["slice"], "told", *(pack(v[at]) for v in values)) for r, at in found])
 
     told = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(tell, MESSAGE)
-    columns = ["slice", "ids", "lengths", "tokens", "number", "c", "n", "root"]
+    told = durable(told.select("slice", "part", "a", "b", "c", "d"))
 
-    def join(own: pa.Table, told: pa.Table) -> pa.Table:
-        values = _answers(unpack_words(own.column("words")[0].as_py()), parts, told, "abcd")
-        return pa.table([*(own.column(x) for x in columns[:4]), *(pa.array([pack(v)], pa.binary()) for v in values)], columns)
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, tokens, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = unpack_words(words)
+                steps = np.diff(np.unique(_local(unpack(tokens), len(words))), prepend=0)
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in (steps, _parts_of(words, parts)))], ["slice", "pairs", "part"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    ready = slices.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(join, f"slice long, ids array<{kind}>, " + ", ".join(f"{c} binary" for c in columns[2:]))
-    ready = durable(ready)
+    def request(own: pa.Table, told: pa.Table) -> pa.Table:
+        r = own.to_pylist()[0]
+        number, = _answers(unpack(r["part"]), parts, told, "a")
+        return _said((p, r["slice"], "asked", pack(np.diff(codes, prepend=0))) for p, _, codes in _coded(np.cumsum(unpack(r["pairs"])), number, code))
 
-    def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own, tokens, number in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = _slice_pairs(unpack(tokens), unpack(number), code)[1]
-                yield from _said((p, own, "asked", pack(np.diff(codes, prepend=0))) for p, _, codes in found).to_batches()
+    local_pairs = slices.select("slice", "tokens", "words").mapInArrow(local, "slice long, pairs binary, part binary")
+    requests = local_pairs.groupBy("slice").cogroup(told.select("slice", "part", "a").groupBy("slice")).applyInArrow(request, MESSAGE)
 
     def find(rows: pa.Table) -> pa.Table:
         rows = sorted(_messages(rows), key=lambda r: r["kind"] != "pairs")
@@ -552,22 +605,24 @@ def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame | None
             out.append((r["part"], r["slice"], "times", pack(np.where(codes[at] == own, times[at], 0))))
         return _said(out)
 
-    requests = ready.select("slice", "tokens", "number").mapInArrow(request, MESSAGE)
-    times = _grouped(requests.union(automaton.pairs), "part", code.parts, find)
+    times = _grouped(requests.union(automaton.pairs), "part", code.parts, find).select("slice", "part", F.col("a").alias("e"))
+    told = told.unionByName(times, allowMissingColumns=True)
     floor, discount = automaton.tokens + automaton.vocabulary + 1, automaton.discount
 
     def score(own: pa.Table, told: pa.Table) -> pa.Table:
-        r = {x: unpack(own.column(x)[0].as_py()) for x in columns[2:]}
-        of, found = _slice_pairs(r["tokens"], r["number"], code)
+        r = {x: unpack(own.column(x)[0].as_py()) for x in ("lengths", "tokens", "part")}
+        is_word = told.column("a").is_valid()
+        number, c, n, root = _answers(r["part"], parts, told.filter(is_word), "abcd")
+        of, found = _slice_pairs(r["tokens"], number, code)
         seen = np.zeros(int(of.max()) + 1)
         at_part = {p: at for p, at, _ in found}
-        for m in _messages(told):
-            seen[at_part[m["part"]]] = unpack(m["a"])
-        at, root = r["tokens"], r["root"]
+        for m in _messages(told.filter(pc.invert(is_word))):
+            seen[at_part[m["part"]]] = unpack(m["e"])
+        at, root = r["tokens"], root / -ROOT_UNITS
         before = np.concatenate([[0], at[:-1]])  # every text starts behind an end
-        c = r["c"].astype(float)
+        c = c.astype(float)
         whole = np.maximum(c, 1.0)
-        fail = (discount * r["n"] / whole)[before]
+        fail = (discount * n / whole)[before]
         arc = np.maximum(seen[of] - discount, 0.0) / whole[before] + fail * (10.0**root)[at]
         # a word without a state of its own, or a weight too small for a float, is added up in logs
         plain = root[at] + np.log10(fail, where=fail > 0, out=np.zeros(len(at)))
@@ -576,5 +631,6 @@ def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame | None
         sums = [np.add.reduceat(v, starts) for v in ((c[at] > 0).astype(np.int64), np.log10((c + 1) / floor)[at], weight)]
         return pa.table([own.column("ids").combine_chunks().flatten(), pa.array(r["lengths"]), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    out = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
-    return ready.groupBy("slice").cogroup(times.groupBy("slice")).applyInArrow(score, out)
+    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double"
+    texts = _with_parts(slices.select("slice", "ids", "lengths", "tokens", "words"), parts)
+    return texts.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(score, out)
