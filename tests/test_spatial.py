@@ -32,6 +32,42 @@ def test_within_equals_brute_force(sides, r, limit):
     assert sorted((x["pid"], x["fid"]) for x in got.collect()) == brute(s, f, r)
 
 
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_features_copied_to_cells_are_not_broadcast(sides):
+    sites, feats, *_ = sides
+    assert broadcasts(sp.within(sites, feats, 7.5, limit=10_000)) == 0
+
+
+@pytest.mark.parametrize("limit", ["3", "10000"])
+def test_beyond_all_ends_at_the_first_feature(spark, sides, limit):
+    sites, feats, s, f = sides
+    spark.conf.set("spark.plumewalk.maxGroupRows", limit)
+    try:
+        twice = sites.unionByName(sites).unionByName(spark.createDataFrame([(900, None, 1.0)], sites.schema))
+        got = sp.beyond_all(twice, feats, 7.5, "pid")
+        near = {a for a, _ in brute(s, f, 7.5)}
+        assert sorted(r["pid"] for r in got.collect()) == sorted([a[0] for a in s if a[0] not in near] * 2 + [900])
+        assert "LeftSemi" in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.plumewalk.maxGroupRows")
+
+
+def test_inverse_distance_does_not_broadcast_cells(spark, sides, monkeypatch):
+    """The sums over near samples are written down; the plan that is written holds no broadcast."""
+    sites, feats, s, f = sides
+    real, seen = gs.durable, []
+    monkeypatch.setattr(gs, "durable", lambda df: seen.append(broadcasts(df)) or real(df))
+    got = {r["pid"]: r["residual"] for r in gs.idw(sites, feats, "pid", "v", 60.0).collect()}
+    assert seen == [0]
+    for a in s:
+        w = [(max(math.hypot(a[1] - b[1], a[2] - b[2]), 1e-10), b[3]) for b in f]
+        w = [x for x in w if x[0] < 60] or w
+        assert got[a[0]] == pytest.approx(sum(v / d**2 for d, v in w) / sum(1 / d**2 for d, _ in w))
+
+
 @pytest.mark.parametrize("k", [1, 4, 60, 75])
 def test_nearest_equals_brute_force(sides, k):
     sites, feats, s, f = sides
