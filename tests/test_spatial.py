@@ -55,13 +55,17 @@ def test_beyond_all_ends_at_the_first_feature(spark, sides, limit):
         spark.conf.unset("spark.plumewalk.maxGroupRows")
 
 
-def test_inverse_distance_does_not_broadcast_cells(spark, sides, monkeypatch):
-    """The sums over near samples are written down; the plan that is written holds no broadcast."""
+@pytest.mark.parametrize("rows", [3, 1024])
+def test_inverse_distance_makes_no_row_per_pair(spark, sides, monkeypatch, rows):
+    """Sums over near samples come from blocks; nothing that is written down holds a broadcast or a pair."""
     sites, feats, s, f = sides
     real, seen = gs.durable, []
-    monkeypatch.setattr(gs, "durable", lambda df: seen.append(broadcasts(df)) or real(df))
+    monkeypatch.setattr(gs, "TILE_ROWS", rows)
+    monkeypatch.setattr(gs, "NEAR_ROWS", rows)
+    monkeypatch.setattr(gs, "durable", lambda df: seen.append(df) or real(df))
     got = {r["pid"]: r["residual"] for r in gs.idw(sites, feats, "pid", "v", 60.0).collect()}
-    assert seen == [0]
+    assert len(seen) == 3 and sum(map(broadcasts, seen[:2])) == 0
+    assert "MapInPandas" in seen[2]._jdf.queryExecution().toString()
     for a in s:
         w = [(max(math.hypot(a[1] - b[1], a[2] - b[2]), 1e-10), b[3]) for b in f]
         w = [x for x in w if x[0] < 60] or w
