@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +252,30 @@ def test_rounds_follow_cells(spark, tmp_path, monkeypatch):
     assert written == [1] * 5 + [0] and found.reached.count() == 5
 
 
+def test_a_longer_chain_has_no_more_cells(spark):
+    """Without a size the cells of a network keep their number, up to a bound on their nodes."""
+    chain = lambda n: spark.range(n).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    cells = lambda n: rt.network_cells(chain(n), spark.range(1).select(F.col("id").alias("node"))).select("cell").distinct().count()
+    assert cells(500) == 2 and cells(30_000) == cells(60_000) == rt.CELLS
+
+
+def test_a_batch_of_cells_is_taken_row_by_row(spark, monkeypatch):
+    """Rows that hold cells become Python objects one after the other, and results leave in small batches."""
+    monkeypatch.setattr(rt, "BATCH", 1)
+    arcs = pa.list_(pa.struct([("ua", pa.int32()), ("va", pa.int32()), ("weight", pa.float64())]))
+    old = pa.struct([("dist", pa.list_(pa.float64())), ("prev", pa.list_(pa.int64())), ("prev_at", pa.list_(pa.int32()))])
+    offers = pa.list_(pa.struct([("at", pa.int32()), ("dist", pa.float64()), ("prev", pa.int64())]))
+    n = 5
+    columns = {
+        "source": pa.array(range(n), pa.int64()), "cell": pa.array([0] * n, pa.int64()), "round": pa.array([0] * n, pa.int32()), "old": pa.array([None] * n, old),
+        "offers": pa.array([[{"at": 0, "dist": 1.0, "prev": None}]] * n, offers), "ids": pa.array([[7, 8]] * n, pa.list_(pa.int64())),
+        "arcs": pa.array([[{"ua": 0, "va": 1, "weight": 2.0}]] * n, arcs), "border": pa.array([[1]] * n, pa.list_(pa.int32())),
+    }
+    got = list(rt._settle(iter([pa.RecordBatch.from_pydict(columns)])))
+    assert [b.num_rows for b in got] == [1] * n
+    assert got[0].to_pylist()[0]["dist"] == [1.0, 3.0] and got[0].to_pylist()[0]["changed"] == [{"at": 1, "dist": 3.0}]
+
+
 def test_long_path_backtracking(spark):
     e = spark.createDataFrame([(i, i + 1, 0, 1.0) for i in range(20)], "u long, v long, key int, length double")
     pairs = spark.createDataFrame([(0, 20)], "source long, target long")
