@@ -204,6 +204,27 @@ def test_shape_blocks_in_crowded_cells(spark, monkeypatch, site_tile, edge_tile)
         assert got[pid]["close2b_100"] == 1
 
 
+def test_positions_go_by_groups():
+    """Whole groups take shapes that are near all of them; few distances are left, and sums are those of all pairs."""
+    rng = np.random.default_rng(4)
+    px, py, fx, fy, v = rng.uniform(0, 20, 512), rng.uniform(0, 20, 512), rng.uniform(-100, 120, 3000), rng.uniform(-100, 120, 3000), rng.integers(0, 9, 3000)
+    order, seen = en._along(px, py), []
+    px, py = px[order], py[order]
+
+    def distance(x, y, shape, reach):
+        seen.append(len(x))
+        return np.hypot(x - fx[shape], y - fy[shape])
+
+    got = en.near_groups(px, py, distance, v[:, None].astype(float), 80.0, 1 << 12)
+    near = np.hypot(px[:, None] - fx, py[:, None] - fy) <= 80
+    np.testing.assert_array_equal(got, np.stack([near @ v, near.sum(1)], axis=1))
+    assert sum(seen) < 0.2 * near.size
+    t = {"px": px, "py": py, "x": px, "y": py, "fx": fx, "fy": fy, "_copies": np.ones(3000), "_f0": np.ones(3000), "_s_v": v.astype(float), "_n_v": np.ones(3000)}
+    rows = en.shape_tile(t, [("n", "copies", None, 0, 80.0), ("s", "sum", "v", 0, 80.0), ("c", "any", None, 0, 0.5)])
+    np.testing.assert_array_equal(rows[["s", "n"]], got)
+    np.testing.assert_array_equal(rows["c"], (np.hypot(px[:, None] - fx, py[:, None] - fy) <= 0.5).any(1))
+
+
 def test_radius_monotone_and_copies(spark):
     pts = spark.createDataFrame([(i, 9.23, 45.478) for i in range(30)] + [(99, 9.231, 45.479)], "pid int, x double, y double")
     layer = spark.createDataFrame([(9.2301, 45.4781, "a", 2.0)] * 10 + [(9.2306, 45.4781, "b", None)], "x double, y double, kind string, v double")
