@@ -148,6 +148,30 @@ def test_pair_counts_with_crowded_cells(spark, sides, monkeypatch, tile_rows):
     assert got == want
 
 
+def test_band_counts_are_those_of_all_pairs():
+    rng = np.random.default_rng(6)
+    a, b = rng.uniform(0, 8, (2, 700)), rng.uniform(-60, 70, (2, 900))
+    a[0, 5], b[1, 7] = np.nan, np.inf
+    a[:, 6], b[:, 8:11] = 0.0, [[10.0, 0.7, 60.0], [0.0, 0.0, 0.0]]
+    d = np.sqrt((a[0][:, None] - b[0]) ** 2 + (a[1][:, None] - b[1]) ** 2)
+    for width, bands in ((10.0, 6), (0.1, 600)):
+        want = np.bincount(np.floor(d[d < 60] / width).astype(int), minlength=bands)[:bands]
+        np.testing.assert_array_equal(gs.band_counts(*a, *b, width, bands, 60.0, 1 << 12), want)
+
+
+def test_tiles_out_of_reach_are_not_compared(spark, tmp_path):
+    """Strips of a cell that lie further apart than the reach never come to the kernel."""
+    pts = spark.range(400).select("id", (F.col("id") / 10).alias("px"), F.lit(0.0).alias("py"))
+
+    def kernel(a, b, same):
+        import pandas as pd
+
+        return pd.DataFrame({"gap": [max(a["px"].min() - b["px"].max(), b["px"].min() - a["px"].max())]})
+
+    gaps = [r["gap"] for r in sp.tile_pairs(pts, 10.0, "id", ["px", "py"], kernel, "gap double", tile_rows=10).collect()]
+    assert gaps and max(gaps) <= 10.0
+
+
 def measure(spark, rings, at, radii):
     """Distances and disc areas of one polygon as seen from several positions."""
     ring = [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
@@ -208,7 +232,7 @@ def test_positions_go_by_groups():
     """Whole groups take shapes that are near all of them; few distances are left, and sums are those of all pairs."""
     rng = np.random.default_rng(4)
     px, py, fx, fy, v = rng.uniform(0, 20, 512), rng.uniform(0, 20, 512), rng.uniform(-100, 120, 3000), rng.uniform(-100, 120, 3000), rng.integers(0, 9, 3000)
-    order, seen = en._along(px, py), []
+    order, seen = en.z_sorted(px, py), []
     px, py = px[order], py[order]
 
     def distance(x, y, shape, reach):
