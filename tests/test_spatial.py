@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -360,3 +361,66 @@ def test_workers_need_no_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "found 1" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("kind", ["variogram", "covariogram"])
+def test_pairs_within_one_bin_are_not_taken_one_by_one(spark, monkeypatch, kind):
+    rng = np.random.default_rng(7)
+    n = 700
+    x, y, z = rng.uniform(0, 9, n), rng.uniform(0, 9, n), rng.normal(size=n)
+    x[:20], y[:20] = np.arange(20) * 0.45, 4.5  # on the edges of bins, with a copy
+    x[20:25], y[20:25] = x[:5], y[:5]
+    found = []
+
+    def tile_pairs(points, reach, point_id, attrs, kernel, schema, *more):
+        found.append(kernel)
+        raise StopIteration
+
+    monkeypatch.setattr(gs, "tile_pairs", tile_pairs)
+    df = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "pid long, px double, py double, v double")
+    for make in (lambda: gs.surface(df, "pid", "v", kind, extent=(4.5, 4.5)), lambda: gs.directional(df, "pid", "v", kind, lags=5, max_lag=4.0)):
+        with pytest.raises(StopIteration):
+            make()
+    looked = []
+    degrees, floor = np.degrees, np.floor
+    monkeypatch.setattr(gs.np, "degrees", lambda v: looked.append(v.size) or degrees(v))
+    tile = {"px": x, "py": y, "_z": z}
+    a, b = ({c: v[half] for c, v in tile.items()} for half in (slice(0, 500), slice(500, n)))
+    parts = [pd.concat([kernel(a, a, True), kernel(b, b, True), kernel(a, b, False)]) for kernel in found]
+    assert sum(looked) < 0.8 * n * n / 2
+    i, j = np.indices((n, n))
+    product = kind == "covariogram"
+    v = z[i] * z[j] if product else (z[i] - z[j]) ** 2
+    bx, by = (floor((w[i] - w[j]) / 0.45).astype(int) + 10 for w in (x, y))
+    ok = (bx >= 0) & (bx < 20) & (by >= 0) & (by < 20) & ((i != j) | product)
+    got = parts[0].groupby("bin").sum().reindex(range(400), fill_value=0)
+    at = (bx * 20 + by)[ok]
+    assert (got["n"].to_numpy() == np.bincount(at, minlength=400)).all()
+    assert np.allclose(got["total"], np.bincount(at, v[ok], 400), atol=1e-9)
+    dx, dy = x[i] - x[j], y[i] - y[j]
+    k, angle = floor(np.sqrt(dx * dx + dy * dy) / 0.8).astype(int), degrees(np.arctan2(dy, dx)) % 180
+    free, tol = (i < j) & (k < 5) & ((dx != 0) | (dy != 0) | (not product)), 10.0 if product else 22.5
+    want = {-1: free}
+    for d in gs.DIRECTIONS:
+        fits = free & ((np.abs(angle - d) < tol) | (np.abs(angle - d - 180) < tol) | (np.abs(angle - d + 180) < tol))
+        want[d], free = fits, free if product else free & ~fits
+    got = parts[1].groupby(["direction", "bin"]).sum()
+    for d, fits in want.items():
+        mine = got.loc[d].reindex(range(5), fill_value=0)
+        assert (mine["n"].to_numpy() == np.bincount(k[fits], minlength=5)).all()
+        assert np.allclose(mine["total"], np.bincount(k[fits], v[fits], 5), atol=1e-9)
+
+
+def test_inverse_distances_leave_out_what_is_beyond_reach():
+    rng = np.random.default_rng(3)
+    a, b = ({"px": rng.uniform(x0, x0 + 5, 300), "py": rng.uniform(0, 60, 300)} for x0 in (0, 7))
+    b["px"][0], b["py"][0] = a["px"][0], a["py"][0]
+    b["px"][1] = np.nan
+    got, looked = np.zeros((300, 300)), 0
+    for i, j, inv in gs.inverse_distances(a, b, 8.0):
+        got[np.ix_(i, j)] = inv
+        looked += inv.size
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = np.hypot(a["px"][:, None] - b["px"], a["py"][:, None] - b["py"])
+        want = np.where((d > 0) & (d <= 8.0), 1 / d, 0.0)
+    assert np.allclose(got, want) and 0 < looked < 0.4 * 300 * 300
