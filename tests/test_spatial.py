@@ -424,3 +424,42 @@ def test_inverse_distances_leave_out_what_is_beyond_reach():
         d = np.hypot(a["px"][:, None] - b["px"], a["py"][:, None] - b["py"])
         want = np.where((d > 0) & (d <= 8.0), 1 / d, 0.0)
     assert np.allclose(got, want) and 0 < looked < 0.4 * 300 * 300
+
+
+def test_areas_of_a_group_take_only_edges_at_the_rim(monkeypatch):
+    rng = np.random.default_rng(5)
+    rings = []
+    for k in range(60):
+        c, s = rng.uniform(-40, 100, 2), rng.uniform(3, 60)
+        turn = np.sort(rng.uniform(0, 2 * np.pi, 6)) if k % 3 else np.arange(4) * np.pi / 2 + np.pi / 4
+        shell = [tuple(c + s * np.array([math.cos(a), math.sin(a)])) for a in turn]
+        hole = [tuple(c + s / 3 * np.array([math.cos(a), -math.sin(a)])) for a in np.arange(4) * np.pi / 2]
+        rings.append([shell, hole] if k % 3 == 0 else [shell])
+    rows = [[(p, q) for ring in shape for p, q in zip(ring, ring[1:] + ring[:1])] for shape in rings]
+    (ax, ay), (bx, by) = (np.array([e[side] for shape in rows for e in shape]).T for side in (0, 1))
+    dx, dy = bx - ax, by - ay
+    l2 = dx * dx + dy * dy
+    t = {"ax": ax, "ay": ay, "by": by, "dx": dx, "dy": dy, "l2": l2, "il2": 1 / l2, "slope": np.divide(dx, dy, out=np.zeros_like(dx), where=dy != 0)}
+    corners = [np.array([p for ring in shape for p in ring]) for shape in rings]
+    t |= {"minx": np.array([c[:, 0].min() for c in corners]), "maxx": np.array([c[:, 0].max() for c in corners])}
+    t |= {"miny": np.array([c[:, 1].min() for c in corners]), "maxy": np.array([c[:, 1].max() for c in corners])}
+    t |= {"_size": np.array([float(len(s)) for s in rows]), "_solid": (np.arange(60) % 7 > 0) * 1.0, "_copies": np.arange(60) % 3 + 1.0, "_f0": np.ones(60), "_f1": (np.arange(60) % 2) * 1.0}
+    px, py = rng.uniform(0, 60, 400), rng.uniform(0, 60, 400)
+    px[:20], py[:20] = ax[:20], ay[:20]  # on corners
+    px[20:40], py[20:40] = ax[:20] + dx[:20] / 2, ay[:20] + dy[:20] / 2  # on edges
+    t |= {"px": px, "py": py, "x": px + 0.0, "y": py + 0.0}
+    wanted = [("a", "area", None, 0, 12.0), ("b", "area", None, 1, 30.0), ("n", "copies", None, 0, 12.0)]
+    site, shape = (v.ravel() for v in np.indices((400, 60)))
+    dist, areas = en.pair_measures(px, py, site, shape, t, (12.0, 30.0), 1 << 20)
+    fact = t["_copies"] * t["_solid"]
+    want = {"a": areas[12.0].reshape(400, 60) @ fact, "b": areas[30.0].reshape(400, 60) @ (fact * t["_f1"]), "n": (dist <= 12.0).reshape(400, 60) @ t["_copies"]}
+    measured = []
+    plain = en.pair_measures
+    monkeypatch.setattr(en, "pair_measures", lambda px, py, site, *more: measured.append(len(site)) or plain(px, py, site, *more))
+    for names in (["a", "b"], ["a", "b", "n"]):
+        got = en.shape_tile(t, [w for w in wanted if w[0] in names])
+        if names == ["a", "b"]:
+            assert sum(measured) < 0.05 * 400 * 60
+        got = got.set_index(["x", "y"]).reindex(pd.MultiIndex.from_arrays([px, py])).fillna(0.0)
+        for n in names:
+            assert np.allclose(got[n], want[n], atol=1e-6), n
