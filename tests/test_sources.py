@@ -90,3 +90,12 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "d"), header=True).count() == 2500
     sk.write_trials({"train": df.limit(3)}, df.limit(1), str(tmp_path / "t"))
     assert spark.read.json(str(tmp_path / "t" / "summary")).count() == 1
+
+
+def test_chunks_are_written_by_many_tasks_in_order(spark, tmp_path):
+    rows = spark.range(2000, numPartitions=1).select((F.col("id") % 200).alias("subject_id"), F.col("id").alias("v"))
+    sk.write_chunks(rows, f"{tmp_path}/chunks", 10)
+    files = sorted(tmp_path.glob("chunks/part-*.csv"), key=lambda f: (f.name.split("-")[1], f.name))
+    assert len({f.name.split("-")[1] for f in files}) > 4
+    held = [[int(line.split(",")[1]) for line in f.read_text().split()[1:]] for f in files]
+    assert max(map(len, held)) <= 10 and sum(held, []) == list(range(2000))
