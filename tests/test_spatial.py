@@ -126,6 +126,21 @@ def test_nearest_visits_few_tiles():
         assert 500 <= total < 500 * most
 
 
+def test_nearest_shuffles_no_row_per_tile(sides, monkeypatch):
+    """What a site finds in one tile is merged where it is found; rows that repeat a site's id share k rows."""
+    sites, feats, s, f = sides
+    monkeypatch.setattr(nn, "TILE", 8)
+    found = sp.nearest(sites, feats, "pid", "fid", k=3)
+    plan = found._jdf.queryExecution().toString()
+    assert plan.split("== Optimized")[1].index("MapInArrow") < plan.split("== Optimized")[1].index("Repartition") and "row_number" not in plan
+    want = {(r["pid"], r["rank"], r["fid"]) for r in found.collect()}
+    assert len(want) == 3 * len(s)
+    twice = sp.nearest(sites.union(sites.where("pid % 2 = 0")), feats, "pid", "fid", k=3).collect()
+    assert len(twice) == len(want)
+    lists = nn.nearest_lists(sites, feats, "pid", "fid", k=3).collect()
+    assert {(r["pid"], i, n["fid"]) for r in lists for i, n in enumerate(r["near"], 1)} == want
+
+
 def test_nearest_without_a_side(sides):
     sites, feats, *_ = sides
     assert sp.nearest(sites.limit(0), feats, "pid", "fid").count() == 0
