@@ -357,15 +357,67 @@ def knn_predict(targets: DataFrame, samples: DataFrame, target_id: str, sample_i
     return sums.select(target_id, "uniform", F.coalesce("_exact", F.col("_wv") / F.col("_w")).alias("weighted"))
 
 
+def distances(a: np.ndarray, b: np.ndarray, metric: str, p: float) -> np.ndarray:
+    """Distances of rows of ``a`` and ``b`` that broadcast; the last axis holds the features, added in their order."""
+    d = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
+    for i in range(a.shape[-1]):
+        step = np.abs(a[..., i] - b[..., i])
+        d = np.maximum(d, step) if metric == "chebyshev" else d + step ** {"euclidean": 2.0, "manhattan": 1.0}.get(metric, p)
+    return d if metric in ("chebyshev", "manhattan") else d ** (1 / (2.0 if metric == "euclidean" else p))
+
+
+def nearest_rows(a: np.ndarray, b: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, metric: str, p: float, skip_self: bool, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``a``, row of ``b``, distance) of the k nearest rows of ``b``, ties to the smaller id; all features are finite.
+
+    Euclidean distances come from one matrix product first, with a bound on
+    its rounding; only rows that may be among the k best by that bound are
+    measured, so the answer is that of measuring all.
+    """
+    found = []
+    middle = b.mean(axis=0) if len(b) else 0.0
+    with np.errstate(over="ignore", invalid="ignore"):
+        left, right = a - middle, b - middle
+        na, nb = (left**2).sum(axis=1), (right**2).sum(axis=1)
+    slack = 16 * (a.shape[1] + 4) * np.finfo(float).eps
+    quick = metric == "euclidean" and len(b) > k and max(na.max(initial=0.0), nb.max(initial=0.0)) < 1e300
+    for lo in range(0, len(a), step):
+        own_a, same = a[lo : lo + step], own[lo : lo + step, None] == ids[None, :] if skip_self else None
+        if quick:
+            size = na[lo : lo + step, None] + nb[None, :]
+            least = size - 2.0 * (left[lo : lo + step] @ right.T) - slack * size
+            if skip_self:
+                least[same] = np.inf
+            first = np.argpartition(least, k - 1, axis=1)[:, :k]
+            # the k best are no farther than the farthest of these k
+            most = (np.take_along_axis(least, first, axis=1) + 2.0 * slack * np.take_along_axis(size, first, axis=1)).max(axis=1)
+            rows, cols = np.nonzero((least <= most[:, None]) & (least < np.inf))
+            d = np.concatenate([distances(own_a[r], b[c], metric, p) for r, c in ((rows[i : i + (1 << 20)], cols[i : i + (1 << 20)]) for i in range(0, len(rows), 1 << 20))] or [np.zeros(0)])
+            order = np.lexsort((ids[cols], d, rows))
+            rows, cols, d = rows[order], cols[order], d[order]
+            keep = (np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k) & (d < np.inf)
+            rows, cols, d = rows[keep], cols[keep], d[keep]
+        else:
+            every = distances(own_a[:, None, :], b[None, :, :], metric, p)
+            if skip_self:
+                every[same] = np.inf
+            rows, cols = best_of_block(every, ids, k)
+            d = every[rows, cols]
+        found.append((lo + rows, cols, d))
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, (int, int, float)[i]) for i in range(3))
+
+
 def knn_features(
     targets: DataFrame, samples: DataFrame, keys: Sequence[str], target_id: str, sample_id: str, xs: Sequence[str], value: str, k: int,
-    metric: str = "euclidean", p: float = 2.0, block: int = 512, skip_self: bool = False,
+    metric: str = "euclidean", p: float = 2.0, block: int = 4096, skip_self: bool = False,
 ) -> DataFrame:
     """Exact k nearest neighbours on any number of features within each key: keys, target_id, uniform, weighted.
 
     Both sides are cut into blocks of bounded size; a kernel keeps the k best
     of each block pair and the k best of those are merged. The plan of block
     pairs is a table of its own, so the blocks of a hot key spread over all tasks.
+    All pairs of a key are looked at: the work grows with the square of its rows,
+    what travels with the square divided by ``block``. Rows with a feature that is
+    null or not finite have no neighbours and are none.
     ``skip_self`` leaves out the sample whose id is the target's.
     """
     types = dict(targets.dtypes) | dict(samples.dtypes)
@@ -386,18 +438,13 @@ def knn_features(
     def run(batches):
         for batch in batches:
             for t in batch.to_dict("records"):
-                d = np.zeros((len(t[f"a_{target_id}"]), len(t[f"b_{sample_id}"])))
-                for x in xs:
-                    step = np.abs(np.asarray(t[f"a_{x}"], dtype=float)[:, None] - np.asarray(t[f"b_{x}"], dtype=float)[None, :])
-                    d = np.maximum(d, step) if metric == "chebyshev" else d + step ** {"euclidean": 2.0, "manhattan": 1.0}.get(metric, p)
-                if metric not in ("chebyshev", "manhattan"):
-                    d = d ** (1 / (2.0 if metric == "euclidean" else p))
-                ids = np.asarray(t[f"b_{sample_id}"])
-                if skip_self:
-                    d[np.asarray(t[f"a_{target_id}"])[:, None] == ids[None, :]] = np.inf
-                rows, width = best_of_block(d, ids, k)
-                out = {c: t[c] for c in keys} | {target_id: np.asarray(t[f"a_{target_id}"])[rows], "_s": ids[width]}
-                yield pd.DataFrame(out | {"_d": d[rows, width], "_v": np.asarray(t[f"b_{value}"], dtype=float)[width]})
+                own, ids = np.asarray(t[f"a_{target_id}"]), np.asarray(t[f"b_{sample_id}"])
+                left, right = (np.stack([np.asarray(t[f"{tag}_{x}"], dtype=float) for x in xs], axis=1) for tag in "ab")
+                valid = [np.nonzero(np.isfinite(m).all(axis=1))[0] for m in (left, right)]
+                near = nearest_rows(left[valid[0]], right[valid[1]], own[valid[0]], ids[valid[1]], k, metric, p, skip_self)
+                rows, width, d = valid[0][near[0]], valid[1][near[1]], near[2]
+                out = {c: t[c] for c in keys} | {target_id: own[rows], "_s": ids[width]}
+                yield pd.DataFrame(out | {"_d": d, "_v": np.asarray(t[f"b_{value}"], dtype=float)[width]})
 
     order = Window.partitionBy(*keys, target_id).orderBy("_d", "_s")
     near = pairs.mapInPandas(run, schema).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)

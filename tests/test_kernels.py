@@ -341,3 +341,20 @@ def test_knn_on_features_in_small_blocks(sample, metric):
         k, v, _ = keyed[i]
         near = sorted((norm(v - w), j) for j, (kk, w, _) in keyed.items() if kk == k)[:3]
         assert got[i] == pytest.approx(np.mean([keyed[j][2] for _, j in near]))
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-3, 1e6), (0.0, 1.5)])
+def test_nearest_rows_measures_few_pairs(monkeypatch, scale, offset):
+    """The matrix product leaves few pairs to measure, and copies, ties and far origins give what measuring all gives."""
+    rng = np.random.default_rng(8)
+    b = rng.normal(offset, scale, (900, 6))
+    b[100:200] = b[:100]
+    ids = rng.permutation(900)
+    d = mo.distances(b[:400, None, :], b[None, :, :], "euclidean", 2.0)
+    d[ids[:400, None] == ids[None, :]] = np.inf
+    rows, cols = mo.best_of_block(d, ids, 4)
+    real, seen = mo.distances, []
+    monkeypatch.setattr(mo, "distances", lambda a, *rest: seen.append(len(a)) or real(a, *rest))
+    got = mo.nearest_rows(b[:400], b, ids[:400], ids, 4, "euclidean", 2.0, True)
+    assert got[0].tolist() == rows.tolist() and got[1].tolist() == cols.tolist() and got[2].tolist() == d[rows, cols].tolist()
+    assert scale == 0.0 or sum(seen) < 0.05 * d.size
