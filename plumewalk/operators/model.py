@@ -455,8 +455,16 @@ def knn_features(
     return sums.select(*keys, target_id, "uniform", F.coalesce("_exact", F.col("_wv") / F.col("_w")).alias("weighted"))
 
 
+#: Rows of a fit by ``pyspark.ml`` that one task holds in memory, at most.
+FIT_ROWS = 1_000_000
+
+
 def forest_registry(df: DataFrame, xs: Sequence[str], y: str, kind: str = "forest", **params):
-    """A fitted ``pyspark.ml`` pipeline: 'forest', 'boosted' or 'robust' (Huber linear)."""
+    """A fitted ``pyspark.ml`` pipeline: 'forest', 'boosted' or 'robust' (Huber linear).
+
+    A fit keeps its rows unpacked and reads them again in every step, so files whose
+    parts hold more than ``FIT_ROWS`` rows are dealt out to more tasks.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -468,7 +476,11 @@ def forest_registry(df: DataFrame, xs: Sequence[str], y: str, kind: str = "fores
     }
     if kind not in made:
         raise ValueError(f"unknown kind {kind!r}")
-    return Pipeline(stages=[VectorAssembler(inputCols=list(xs), outputCol="_v"), made[kind]()]).fit(df.na.drop(subset=[*xs, y]))
+    rows = df.na.drop(subset=[*xs, y])
+    largest, total = rows.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (largest or 0) > FIT_ROWS:
+        rows = rows.select(*xs, y).repartition(-(-total // (FIT_ROWS // 2)))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(xs), outputCol="_v"), made[kind]()]).fit(rows)
 
 
 STEPS: dict[str, object] = {}
