@@ -12,6 +12,7 @@ from plumewalk.functions.geo import line_between, line_length, locate, point_at,
 from plumewalk.operators.aggregate import first_per_key
 from plumewalk.operators.ordered import with_position
 from plumewalk.operators.series import group_bounds, resample
+from plumewalk.session import block_partitions
 
 # Labels of the route pieces, the one across the line end first.
 PIECE_LABELS = ["FG", "GH", "AB", "BC", "CD", "DE", "EF"]
@@ -48,9 +49,13 @@ def edge_grid(spark: SparkSession, box: tuple[float, float, float, float], resol
 
 
 def edge_points(edges: DataFrame, interval: float, lat_centre: float, line: str = "pts", carry: Sequence[str] = ("highway", "maxspeed", "lanes", "oneway")) -> DataFrame:
-    """Points every ``interval`` metres along each edge; a shorter edge gets its midpoint."""
+    """Points every ``interval`` metres along each edge; a shorter edge gets its midpoint.
+
+    A small file of nodes makes many points, so edges are dealt out to all tasks first.
+    """
     metre = F.lit(111320.0 * math.cos(math.radians(lat_centre)))
-    sized = edges.withColumn("_deg", line_length(F.col(line))).withColumn("edge_length", F.col("_deg") * metre)
+    width = block_partitions(edges.sparkSession, 1 << 62)
+    sized = edges.repartition(width, "u", "v", "key").withColumn("_deg", line_length(F.col(line))).withColumn("edge_length", F.col("_deg") * metre)
     short = F.col("edge_length") < interval
     n = F.when(short, 1).otherwise(F.floor(F.col("edge_length") / interval)).cast("int")
     each = sized.withColumn("point_id", F.explode(F.sequence(F.lit(0), n - 1)))

@@ -358,3 +358,26 @@ def test_nearest_rows_measures_few_pairs(monkeypatch, scale, offset):
     got = mo.nearest_rows(b[:400], b, ids[:400], ids, 4, "euclidean", 2.0, True)
     assert got[0].tolist() == rows.tolist() and got[1].tolist() == cols.tolist() and got[2].tolist() == d[rows, cols].tolist()
     assert scale == 0.0 or sum(seen) < 0.05 * d.size
+
+
+def test_fit_deals_out_large_parts(sample, monkeypatch):
+    """A part with more rows than a task of a fit may hold is dealt out; the fit takes every row."""
+    df, x, y = sample
+    seen = []
+    monkeypatch.setattr(mo, "FIT_ROWS", 20)
+    from pyspark.ml import Pipeline
+
+    real = Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, rows: seen.append(rows) or real(self, rows))
+    mo.forest_registry(df.coalesce(1), ["a", "b"], "y", "boosted", maxIter=1, maxDepth=1)
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == df.na.drop(subset=["a", "b", "y"]).count() and max(sizes) <= 20
+
+
+def test_edge_points_are_dealt_out(spark):
+    """The points of edges in one file part come from many tasks."""
+    line = F.array(*[F.struct(F.lit(9.0 + i * 0.01).alias("x"), F.lit(45.0).alias("y")) for i in range(2)])
+    edges = spark.range(400).coalesce(1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(0).alias("key"), line.alias("pts"))
+    points = gm.edge_points(edges, 25.0, 45.0, carry=())
+    assert points.groupBy("edge_id").count().where("count > 1").count() == 400
+    assert points.select(F.spark_partition_id().alias("p")).distinct().count() > 4
