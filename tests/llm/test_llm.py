@@ -637,3 +637,23 @@ def test_near_duplicate_stage_finds_all_similar_texts(spark, odd_rows):
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {m for _, m in want}
     assert near_sets.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_shared_passages_in_long_texts_are_left_out_before_sets_travel(spark):
+    """The bound of two sets' intersection is never too low, and in texts of any length a shared passage alone stays below the least similarity."""
+    from plumewalk.llm import near_sets
+
+    rng = np.random.default_rng(5)
+    cases = []
+    for n, shared in [(40, 40), (300, 90), (500, 490), (512, 150), (4000, 1200), (4000, 3900), (30_000, 9000)]:
+        common = rng.integers(-(1 << 63), 1 << 63, shared)
+        a, b = (np.unique(np.concatenate([common, rng.integers(-(1 << 63), 1 << 63, size - shared)])) for size in (n, n + n // 8))
+        cases.append((len(np.intersect1d(a, b)), len(a) + len(b), near_sets.part_counts(a).tolist(), near_sets.part_counts(b).tolist()))
+    one_part = np.arange(400)  # all hashes of a set in one part: its count is full and says nothing
+    cases.append((400, 800, near_sets.part_counts(one_part).tolist(), near_sets.part_counts(one_part).tolist()))
+    assert any(len(c[2]) < len(c[3]) for c in cases)
+    rows = spark.createDataFrame([(*c, i) for c in cases for i in (0, 1)], "shared long, sizes long, a array<tinyint>, b array<tinyint>, turned int")
+    rows = rows.select("shared", "sizes", F.when(F.col("turned") == 0, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("turned") == 0, F.col("b")).otherwise(F.col("a")).alias("b"))
+    for r in rows.select("shared", "sizes", near_sets.most_shared(F.col("a"), F.col("b")).alias("most")).collect():
+        assert r["most"] >= r["shared"]
+        assert (9 * r["most"] >= 4 * r["sizes"]) == (9 * r["shared"] >= 4 * r["sizes"])
