@@ -13,7 +13,8 @@ are open, and all others have to agree in one key. Templates and copies that
 were changed in different places part there. What stays crowded in the finest
 cut are close neighbours; where classes are wanted and not all links, they are
 linked to one pivot of the key first, and only lines that this leaves in
-different classes are paired.
+different classes are paired. In the finer cuts a line's character counts
+travel with its keys, and lines whose counts differ too much are not paired.
 
 Lines are handled by the 64-bit hash of their text, together with their
 length in every key; texts are fetched for candidates only.
@@ -102,15 +103,16 @@ def first_keys(lines: DataFrame) -> DataFrame:
 
 
 def finer_keys(lines: DataFrame, parts: int) -> DataFrame:
-    """``first_keys`` for ``parts`` segments and distinct lines."""
-    rows = lines.select("id", "line", F.length("line").alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(parts - 2))).alias("_i"))
+    """``first_keys`` for ``parts`` segments and distinct lines, with the signature of each line."""
+    signed = lines.select("id", "line", signature(bag(characters(F.col("line")))).alias("sig"))
+    rows = signed.select("id", "line", "sig", F.length("line").alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(parts - 2))).alias("_i"))
     rows = rows.select("*", F.explode(F.sequence(F.col("_i") + 1, F.lit(parts - 1))).alias("_j"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(EDITS))).alias("_longer"))
     shifts = F.when(F.col("_j") == F.col("_i") + 1, F.array(F.lit(0))).otherwise(F.sequence(F.col("_longer") - 1, F.lit(1)))
     rows = rows.select("*", F.explode(shifts).alias("_shift"))
     key = _key(parts, F.col("_i"), F.col("_j"), F.col("_longer"), F.col("_shift"))
     kind = F.when(F.col("_longer") > 0, 2).when(F.col("_shift") != 0, 1).otherwise(0)
-    return settled(rows.select(key.alias("key"), "id", kind.alias("kind")).where("key is not null"))
+    return settled(rows.select(key.alias("key"), "id", kind.alias("kind"), "sig").where("key is not null"))
 
 
 def characters(text: Column) -> Column:
@@ -130,6 +132,18 @@ def bags_allow(a: Column, b: Column) -> Column:
     return over(1) & over(-1)
 
 
+def signature(counts: Column) -> Column:
+    """A ``bag`` as one number: four bits for each of the 16 classes, the count modulo 16."""
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 4).bitwiseOR((x % 16).cast("long")))
+
+
+def signatures_allow(a: Column, b: Column) -> Column:
+    """``bags_allow`` for signatures: never False where the bags allow a pair."""
+    gaps = [F.pmod(F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(F.lit(15)), F.lit(16)) for k in range(16)]
+    more, less = ([F.when(g < 8, g).otherwise(0) for g in gaps], [F.when(g < 8, 0).otherwise(16 - g) for g in gaps])
+    return (reduce(lambda x, y: x + y, more) <= EDITS) & (reduce(lambda x, y: x + y, less) <= EDITS)
+
+
 def within_edits(a: Column, b: Column) -> Column:
     """True if two texts, given as ``characters`` in columns of their own, are within EDITS edits: banded bit-parallel distance.
 
@@ -181,8 +195,14 @@ def within_edits(a: Column, b: Column) -> Column:
 
 
 def _pairs(asked: DataFrame, own: DataFrame, apart: str = "true") -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of probes and index rows under equal keys; equal lengths pair in one direction."""
-    found = asked.join(own.withColumnRenamed("id", "other"), "key").where(f"id <> other and (kind = 2 or id > other) and {apart}")
+    """Distinct candidate pairs (a, b), a < b, of probes and index rows under equal keys; equal lengths pair in one direction.
+
+    Where the rows have signatures, a pair whose signatures show too many edits is never made.
+    """
+    own = own.withColumnsRenamed({"id": "other", "sig": "other_sig"})
+    found = asked.join(own, "key").where(f"id <> other and (kind = 2 or id > other) and {apart}")
+    if "sig" in asked.columns:
+        found = found.where(signatures_allow(F.col("sig"), F.col("other_sig")))
     return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
@@ -234,7 +254,7 @@ def edit_links(lines: DataFrame, dense: int | None = None, spanning: bool = Fals
     found, members, texts, crowd = [], None, None, None
     for parts, most in zip(CUTS, DENSE, strict=True):
         asked = first_keys(lines) if members is None else finer_keys(texts.join(members, "id", "left_semi"), parts)
-        own = asked.where("kind = 0").select("key", "id")
+        own = asked.where("kind = 0").drop("kind")
         last = parts == CUTS[-1]
         several = 0
         if spanning or not last:

@@ -657,3 +657,38 @@ def test_shared_passages_in_long_texts_are_left_out_before_sets_travel(spark):
     for r in rows.select("shared", "sizes", near_sets.most_shared(F.col("a"), F.col("b")).alias("most")).collect():
         assert r["most"] >= r["shared"]
         assert (9 * r["most"] >= 4 * r["sizes"]) == (9 * r["shared"] >= 4 * r["sizes"])
+
+
+def test_lines_of_a_template_are_not_paired_by_their_figures(spark, monkeypatch):
+    """Under crowded keys only lines whose character counts are near each other become candidates, and no link is lost."""
+    rng = random.Random(31)
+    lines = sorted({f"your order of this week with the number {x:08d} has been sent to you on the last day" for x in [*(rng.randrange(10**8) for _ in range(150)), *range(12345670, 12345690)]})
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("id"), "line")
+    ids = {r["line"]: r["id"] for r in rows.collect()}
+    want = {tuple(sorted((ids[a], ids[b]))) for i, a in enumerate(lines) for b in lines[:i] if edits(a, b) <= 2}
+    candidates, verified = [], line_dedup._verified
+
+    def counted(found, texts):
+        found = settled(found)
+        candidates.append(found.count())
+        return verified(found, texts)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    assert {tuple(r) for r in line_dedup.edit_links(rows).collect()} == want
+    assert len(want) > 100 and sum(candidates) < len(lines) * (len(lines) - 1) // 6
+
+
+def test_signatures_of_bags_never_refuse_what_the_bags_allow(spark):
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(300):
+        a = [rng.choice([0, 1, 15, 16, 17, 40]) for _ in range(16)]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            b[rng.randrange(16)] += 1
+            k = rng.randrange(16)
+            b[k] = max(0, b[k] - rng.randint(0, 1))
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a array<int>, b array<int>").select(line_dedup.bags_allow(F.col("a"), F.col("b")).alias("bags"), line_dedup.signatures_allow(line_dedup.signature(F.col("a")), line_dedup.signature(F.col("b"))).alias("signed"))
+    got = [tuple(r) for r in df.collect()]
+    assert all(x == y for x, y in got) and {x for x, _ in got} == {True, False}
