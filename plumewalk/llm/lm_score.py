@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumewalk.llm.common import slices as cuts
 from plumewalk.session import durable, shared_folder
 
 #: Marks inside the spelling automaton: before the first and after the last character of a word.
@@ -57,7 +58,8 @@ def words_of(text: str | None) -> list[bytes]:
 def pack(values: np.ndarray) -> bytes:
     """Whole numbers from -1 on in as few bytes each as they need, byte by byte, compressed; floats as they are."""
     if values.dtype.kind != "f":
-        values = values.astype(np.int64) + 1
+        values = values.astype(np.int64)
+        values += 1
         values = values.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(values) or values.max() <= np.iinfo(k).max))
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
     head = bytes([values.itemsize, values.dtype.kind == "f"]) + len(planes).to_bytes(8, "little")
@@ -67,7 +69,11 @@ def pack(values: np.ndarray) -> bytes:
 def unpack(packed: bytes) -> np.ndarray:
     size, planes = packed[0], pa.decompress(packed[10:], decompressed_size=int.from_bytes(packed[2:10], "little"), codec="zstd", asbytes=True)
     raw = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).reshape(-1)
-    return raw.view(np.float64) if packed[1] else raw.view(f"u{size}").astype(np.int64) - 1
+    if packed[1]:
+        return raw.view(np.float64)
+    values = raw.view(f"u{size}").astype(np.int64)
+    values -= 1
+    return values
 
 
 def pack_words(words: list[bytes]) -> bytes:
@@ -117,7 +123,7 @@ def slices_of(docs: DataFrame, block_chars: int, learn: bool = False) -> DataFra
             tokens, words = np.concatenate(found), list(number)
             times = np.bincount(tokens, minlength=len(words))
             order = np.concatenate([[0], 1 + np.argsort(-times[1:], kind="stable")])
-            rank = np.empty(len(order), np.int64)
+            rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
             tokens, lengths = rank[tokens], np.array([len(x) for x in found])
             if learn:
@@ -132,7 +138,7 @@ def slices_of(docs: DataFrame, block_chars: int, learn: bool = False) -> DataFra
         for batch in batches:
             for k, t in enumerate(batch.column(1).to_pylist()):
                 words = words_of(t)
-                found.append(np.fromiter(map(number.__getitem__, [*words, END]), np.int64, len(words) + 1))
+                found.append(np.fromiter(map(number.__getitem__, [*words, END]), np.int32, len(words) + 1))
                 ids.append(batch.column(0).slice(k, 1))
                 chars += len(t or "")
                 if chars >= block_chars:
@@ -147,7 +153,15 @@ def slices_of(docs: DataFrame, block_chars: int, learn: bool = False) -> DataFra
 
 def _local(tokens: np.ndarray, words: int) -> np.ndarray:
     """Each token with the one before it, as one number; every text starts behind an end."""
-    return np.concatenate([[0], tokens[:-1]]) * words + tokens
+    local = np.zeros(len(tokens), np.int64)
+    np.multiply(tokens[:-1], words, out=local[1:], dtype=np.int64)
+    local += tokens
+    return local
+
+
+def _first_ones(ordered: np.ndarray) -> np.ndarray:
+    """Which of the sorted numbers differ from the one before."""
+    return np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]])
 
 
 def _parts_of(words: list[bytes], parts: int) -> np.ndarray:
@@ -232,16 +246,26 @@ class PairCode:
 
 def _slice_pairs(tokens: np.ndarray, number: np.ndarray, code: PairCode) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
     """For each token the number of its pair among the slice's distinct pairs; and (part, their numbers, their sorted codes) of the pairs of two known words."""
-    local, of = np.unique(_local(tokens, len(number)), return_inverse=True)
+    local = _local(tokens, len(number))
+    order = np.argsort(local)
+    local = local[order]
+    fresh = _first_ones(local)
+    of = np.empty(len(order), np.int32)
+    of[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    del order
+    local = local[fresh]
     return of, _coded(local, number, code)
 
 
 def _coded(local: np.ndarray, number: np.ndarray, code: PairCode) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(part, their places, their sorted codes) of the pairs of two known words."""
     first, second = number[local // len(number)], number[local % len(number)]
-    known = np.nonzero((first >= 0) & (second >= 0))[0]
-    part, codes = code.of(first[known], second[known])
-    order = np.lexsort((codes, part))
+    known = np.nonzero((first >= 0) & (second >= 0))[0].astype(np.int32)
+    first, second = first[known], second[known]
+    part, codes = code.of(first, second)
+    part = part.astype(np.int32)
+    del first, second
+    order = np.lexsort((codes, part)).astype(np.int32)
     known, part, codes = known[order], part[order], codes[order]
     starts = np.nonzero(np.diff(part, prepend=-1))[0].tolist()
     return [(int(part[i]), known[i:j], codes[i:j]) for i, j in zip(starts, [*starts, len(part)][1:], strict=True)]
@@ -553,6 +577,31 @@ def spell_words(known: DataFrame, automaton: Automaton) -> DataFrame:
     return known.groupBy("part").cogroup(arcs.groupBy("part")).applyInArrow(weigh, "part long, words binary, number binary, c binary, n binary, root binary")
 
 
+def _added_up(tokens: np.ndarray, lengths: np.ndarray, of: np.ndarray, seen: np.ndarray, c: np.ndarray, n: np.ndarray, root: np.ndarray, floor: int, discount: float, most: int = 250_000) -> list[np.ndarray]:
+    """Known tokens, base score and score of each text of a slice, by texts of together ``most`` tokens (one text at least).
+
+    ``of`` and ``seen`` are the pair of each token and the counts of the pairs; the others are by word.
+    """
+    whole, base = np.maximum(c, 1.0), np.log10((c + 1) / floor)
+    down, straight = discount * n / whole, 10.0**root
+    ends = np.cumsum(lengths)
+    sums: list[list[np.ndarray]] = [[], [], []]
+    for lo, hi in cuts(lengths.tolist(), most):
+        begin = int(ends[lo] - lengths[lo])
+        cut = slice(begin, int(ends[hi - 1]))
+        at = tokens[cut]
+        before = np.concatenate([[0], at[:-1]])  # every text starts behind an end
+        fail = down[before]
+        arc = np.maximum(seen[of[cut]] - discount, 0.0) / whole[before] + fail * straight[at]
+        # a word without a state of its own, or a weight too small for a float, is added up in logs
+        plain = root[at] + np.log10(fail, where=fail > 0, out=np.zeros(len(at)))
+        weight = np.where((fail > 0) & (arc > 0), np.log10(np.maximum(arc, 1e-300)), plain)
+        starts = ends[lo:hi] - lengths[lo:hi] - begin
+        for total, v in zip(sums, ((c[at] > 0).astype(np.int64), base[at], weight), strict=True):
+            total.append(np.add.reduceat(v, starts))
+    return [np.concatenate(x) for x in sums]
+
+
 def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame | None = None, block_chars: int = 24_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every whole text of ``docs``.
 
@@ -582,7 +631,9 @@ def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame | None
         for batch in batches:
             for own, tokens, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = unpack_words(words)
-                steps = np.diff(np.unique(_local(unpack(tokens), len(words))), prepend=0)
+                pairs = _local(unpack(tokens), len(words))
+                pairs.sort()
+                steps = np.diff(pairs[_first_ones(pairs)], prepend=0)
                 yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in (steps, _parts_of(words, parts)))], ["slice", "pairs", "part"])
 
     def request(own: pa.Table, told: pa.Table) -> pa.Table:
@@ -610,26 +661,17 @@ def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame | None
     floor, discount = automaton.tokens + automaton.vocabulary + 1, automaton.discount
 
     def score(own: pa.Table, told: pa.Table) -> pa.Table:
-        r = {x: unpack(own.column(x)[0].as_py()) for x in ("lengths", "tokens", "part")}
+        lengths, part = (unpack(own.column(x)[0].as_py()) for x in ("lengths", "part"))
+        at = unpack(own.column("tokens")[0].as_py()).astype(np.int32)
         is_word = told.column("a").is_valid()
-        number, c, n, root = _answers(r["part"], parts, told.filter(is_word), "abcd")
-        of, found = _slice_pairs(r["tokens"], number, code)
+        number, c, n, root = _answers(part, parts, told.filter(is_word), "abcd")
+        of, found = _slice_pairs(at, number, code)
         seen = np.zeros(int(of.max()) + 1)
-        at_part = {p: at for p, at, _ in found}
+        at_part = {p: places for p, places, _ in found}
         for m in _messages(told.filter(pc.invert(is_word))):
             seen[at_part[m["part"]]] = unpack(m["e"])
-        at, root = r["tokens"], root / -ROOT_UNITS
-        before = np.concatenate([[0], at[:-1]])  # every text starts behind an end
-        c = c.astype(float)
-        whole = np.maximum(c, 1.0)
-        fail = (discount * n / whole)[before]
-        arc = np.maximum(seen[of] - discount, 0.0) / whole[before] + fail * (10.0**root)[at]
-        # a word without a state of its own, or a weight too small for a float, is added up in logs
-        plain = root[at] + np.log10(fail, where=fail > 0, out=np.zeros(len(at)))
-        weight = np.where((fail > 0) & (arc > 0), np.log10(np.maximum(arc, 1e-300)), plain)
-        starts = np.cumsum(r["lengths"]) - r["lengths"]
-        sums = [np.add.reduceat(v, starts) for v in ((c[at] > 0).astype(np.int64), np.log10((c + 1) / floor)[at], weight)]
-        return pa.table([own.column("ids").combine_chunks().flatten(), pa.array(r["lengths"]), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        sums = _added_up(at, lengths, of, seen, c.astype(float), n, root / -ROOT_UNITS, floor, discount)
+        return pa.table([own.column("ids").combine_chunks().flatten(), pa.array(lengths), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double"
     texts = _with_parts(slices.select("slice", "ids", "lengths", "tokens", "words"), parts)

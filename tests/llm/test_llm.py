@@ -692,3 +692,25 @@ def test_signatures_of_bags_never_refuse_what_the_bags_allow(spark):
     df = spark.createDataFrame(pairs, "a array<int>, b array<int>").select(line_dedup.bags_allow(F.col("a"), F.col("b")).alias("bags"), line_dedup.signatures_allow(line_dedup.signature(F.col("a")), line_dedup.signature(F.col("b"))).alias("signed"))
     got = [tuple(r) for r in df.collect()]
     assert all(x == y for x, y in got) and {x for x, _ in got} == {True, False}
+
+
+def test_scoring_a_slice_takes_a_bounded_number_of_bytes_a_token():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    n_tokens, n_words = 1_000_000, 50_000
+    tokens = (rng.random(n_tokens) ** 4 * n_words).astype(np.int32)
+    lengths = np.full(n_tokens // 400, 400)
+    tokens[np.cumsum(lengths) - 1] = 0  # the end of each text
+    c, n, root = rng.integers(0, 50, n_words).astype(float), rng.integers(0, 20, n_words), -9 * rng.random(n_words)
+    of, found = lm_score._slice_pairs(tokens, np.arange(n_words), lm_score.PairCode(n_words, 10))
+    seen = rng.integers(0, 5, int(of.max()) + 1).astype(float)
+    whole = lm_score._added_up(tokens, lengths, of, seen, c, n, root, 10**7, 0.75, n_tokens)
+    tracemalloc.start()
+    cut = lm_score._added_up(tokens, lengths, of, seen, c, n, root, 10**7, 0.75, 50_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10 * n_tokens
+    assert all(np.array_equal(x, y) for x, y in zip(whole, cut, strict=True))
+    local = np.unique(np.concatenate([[0], tokens[:-1]]) * np.int64(n_words) + tokens)
+    assert np.array_equal(np.sort(np.concatenate([at for _, at, _ in found])), np.arange(len(local)))
