@@ -175,6 +175,40 @@ def test_band_counts_are_those_of_all_pairs():
         np.testing.assert_array_equal(gs.band_counts(*a, *b, width, bands, 60.0, 1 << 12), want)
 
 
+def test_group_band_counts_are_those_of_all_pairs():
+    """Also for points on the ends of bands, copies, few points and far away tiles, whole groups within one band or not."""
+    rng = np.random.default_rng(8)
+    for scale, shift in ((4.0, 0.0), (30.0, 12.0), (400.0, 90.0), (3.0, 57.0)):
+        a, b = ({"px": 1e6 + rng.uniform(0, scale, n) + s, "py": 5e6 + rng.uniform(0, scale, n)} for n, s in ((700, 0.0), (901, shift)))
+        b["px"][:40], b["py"][:40] = a["px"][:40] + np.arange(40) * 2.5, a["py"][:40]
+        a["px"][50:60], a["py"][50:60] = a["px"][40:50], a["py"][40:50]
+        for width, bands, most in ((10.0, 6, 60.0), (0.1, 30, 3.0), (7.0, 9, 60.0)):
+            got, want = gs.group_band_counts(a, b, False, width, bands, most), gs.band_counts(a["px"], a["py"], b["px"], b["py"], width, bands, most)
+            np.testing.assert_array_equal(got, want)
+            want = gs.band_counts(a["px"], a["py"], a["px"], a["py"], width, bands, most)
+            want[0] -= 700
+            np.testing.assert_array_equal(gs.group_band_counts(a, a, True, width, bands, most), want // 2)
+
+
+def test_tiles_are_not_copied_more_often_for_more_points(spark, monkeypatch):
+    """A tile meets its own cell and four more, and crowded cells make larger groups, not more of them."""
+    seen, real = [], sp.pair_tiles
+
+    def pair_tiles(left, right, cell, left_id, right_id, width, group=4):
+        seen.append((left.count(), right.count(), left.columns, group))
+        return real(left, right, cell, left_id, right_id, width, group)
+
+    monkeypatch.setattr(sp, "pair_tiles", pair_tiles)
+    pts = spark.range(24_000).select("id", (F.col("id") % 200 / 10).alias("px"), F.floor(F.col("id") / 200).alias("py"))
+    kernel = lambda a, b, same: pd.DataFrame({"n": [len(a["px"]) * (len(a["px"]) - 1) // 2 if same else len(a["px"]) * len(b["px"])]})
+    few = sp.tile_pairs(pts.where("id < 600"), 500.0, "id", ["px", "py"], kernel, "n long", tile_rows=20, with_id=False)
+    assert few.agg(F.sum("n")).first()[0] == 600 * 599 // 2
+    sp.tile_pairs(pts, 500.0, "id", ["px", "py"], kernel, "n long", tile_rows=8, with_id=False)  # not run
+    tiles, copies, columns, group = seen[-1]
+    assert copies == 5 * tiles and "a_id" not in columns
+    assert tiles / group <= 2 * sp.TILE_GROUPS
+
+
 def test_tiles_out_of_reach_are_not_compared(spark, tmp_path):
     """Strips of a cell that lie further apart than the reach never come to the kernel."""
     pts = spark.range(400).select("id", (F.col("id") / 10).alias("px"), F.lit(0.0).alias("py"))
