@@ -99,3 +99,15 @@ def test_chunks_are_written_by_many_tasks_in_order(spark, tmp_path):
     assert len({f.name.split("-")[1] for f in files}) > 4
     held = [[int(line.split(",")[1]) for line in f.read_text().split()[1:]] for f in files]
     assert max(map(len, held)) <= 10 and sum(held, []) == list(range(2000))
+
+
+def test_many_subjects_are_written_by_many_tasks(spark, tmp_path, few_rows):
+    """A task for a few folders each; a small subject is one file, a large one (here over 5 rows) several; no row is lost."""
+    rows = [(i % 60, i, float(i)) for i in range(240)] + [(99, i, 0.5) for i in range(400)] + [(None, i, 1.0) for i in range(3)]
+    sk.write_subjects(spark.createDataFrame(rows, "subject_id long, ts long, co2 double"), str(tmp_path / "s"))
+    files = {p.name: [f.name for f in p.glob("part-*.parquet")] for p in (tmp_path / "s").glob("subject_id=*")}
+    assert len(files) == 62 and all(len(f) == 1 for name, f in files.items() if name != "subject_id=99")
+    assert len(files["subject_id=99"]) > 4
+    assert len({f.split("-")[1] for own in files.values() for f in own}) > 4
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, back.select("subject_id", "ts", "co2").collect())) == sorted(f"Row(subject_id={s}, ts={t}, co2={c})" for s, t, c in rows)
