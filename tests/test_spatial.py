@@ -209,6 +209,23 @@ def test_tiles_are_not_copied_more_often_for_more_points(spark, monkeypatch):
     assert tiles / group <= 2 * sp.TILE_GROUPS
 
 
+def test_groups_of_positions_and_features_grow_with_the_positions(spark, monkeypatch):
+    """So that tiles of a crowded cell are not copied more often the more there are."""
+    groups, real = [], en.pair_tiles
+
+    def pair_tiles(left, right, cell, left_id, right_id, width, group=4):
+        groups.append(group)
+        return real(left, right, cell, left_id, right_id, width, group)
+
+    monkeypatch.setattr(en, "pair_tiles", pair_tiles)
+    monkeypatch.setattr(en, "SITE_TILE", 2)
+    pts = spark.range(4_000).select("id", (F.col("id") * 1e-7).alias("x"), F.lit(0.0).alias("y"))
+    layer = spark.range(30).select((F.col("id") * 1e-5).alias("x"), F.lit(0.0).alias("y"))
+    wide = en.enrich(pts, {"poi": layer}, [en.FeatureSpec("all", "poi", [50], "count")])
+    assert groups[0] > 16
+    assert wide.where("num_all_50 <> 30").count() == 0 and wide.count() == 4_000
+
+
 def test_tiles_out_of_reach_are_not_compared(spark, tmp_path):
     """Strips of a cell that lie further apart than the reach never come to the kernel."""
     pts = spark.range(400).select("id", (F.col("id") / 10).alias("px"), F.lit(0.0).alias("py"))
